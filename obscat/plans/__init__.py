@@ -1,6 +1,6 @@
 """Registered queries; importing the package fills the registry."""
 
 from obscat.plans.registry import ORACLES, QUERIES  # isort: skip
-from obscat.plans import fold_queries  # noqa: F401
+from obscat.plans import fold_queries, search_queries, state_queries  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

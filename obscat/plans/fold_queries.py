@@ -184,12 +184,18 @@ def media_links(spark, sf_dir):
     return fo.media_links(fo.accepted(obs(spark, sf_dir)), query="source_url")
 
 
-@query("orphan_items", snap_sql(
-    "SELECT DISTINCT entity_hash FROM acc WHERE entity_hash NOT IN (SELECT entity_hash FROM snap)"))
+_MOVING_SQL = """moving AS (SELECT source, source_key, fetched_at, arrival_key, rn, concat(source_key, '-', substr(entity_hash, 1, 4)) AS entity_hash FROM acc),
+  now_ AS (SELECT source, source_key, arg_max(entity_hash, rn) AS entity_hash FROM moving GROUP BY source, source_key)"""
+
+
+@query("orphan_items", sql(
+    "SELECT DISTINCT entity_hash FROM moving WHERE entity_hash NOT IN (SELECT entity_hash FROM now_)", ACC_SQL, _MOVING_SQL))
 def orphan_items(spark, sf_dir):
-    log = obs(spark, sf_dir)
-    return fo.orphan_items(log, fo.fold(log.select(
-        "source", "source_key", "arrival_key", "fetched_at", "observed_fields", "entity_hash")))
+    log = obs(spark, sf_dir).select(
+        "source", "source_key", "arrival_key", "fetched_at", "observed_fields",
+        F.concat_ws("-", "source_key", F.substring("entity_hash", 1, 4)).alias("entity_hash"),
+    )
+    return fo.orphan_items(log, fo.fold(log))
 
 
 # --- consolidation ------------------------------------------------------------------------
