@@ -70,7 +70,9 @@ def size_label(size: Column | str) -> Column:
     value = col(size).cast("double")
     label = None
     for power, unit in enumerate(fixed.SIZE_LABELS):
-        scaled = F.format_number(F.round(value / float(1024**power), 2), "0.##")
+        scaled = F.call_function(
+            "format_number", F.round(value / float(1024**power), 2), F.lit("0.##")
+        )
         text = F.concat(scaled, F.lit(f" {unit}"))
         label = text if label is None else F.when(value >= float(1024**power), text).otherwise(label)
     return label
@@ -373,6 +375,19 @@ def strip_prefix(text: Column | str, prefix: str = fixed.DOWNLOAD_PREFIX) -> Col
     return F.when(cut, F.trim(F.substring(t, len(prefix) + 1, 2**31 - 1))).otherwise(t)
 
 
+def _upper_half() -> tuple[str, str]:
+    codes = [bytes([b]) for b in range(128, 256)]
+    known = [(c.decode("latin-1"), c.decode("cp1251")) for c in codes if c != b"\x98"]
+    return "".join(k for k, _ in known), "".join(v for _, v in known)
+
+
 def legacy_text(data: Column | str) -> Column:
-    """Text of windows-1251 bytes; the session must allow Java character sets."""
-    return F.decode(col(data), "windows-1251")
+    """Text of windows-1251 bytes: one byte per character, upper half translated."""
+    latin, cyrillic = _upper_half()
+    return F.translate(F.decode(col(data), "ISO-8859-1"), latin, cyrillic)
+
+
+def legacy_bytes(text: Column | str) -> Column:
+    """windows-1251 bytes of a text."""
+    latin, cyrillic = _upper_half()
+    return F.encode(F.translate(col(text), cyrillic, latin), "ISO-8859-1")

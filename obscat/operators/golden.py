@@ -6,11 +6,11 @@ observations costs one partial row per task, not one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obscat.functions.links import announce_urls, build_link
-from obscat.operators.skew import split_hot
+from obscat.operators.skew import numbered
 from obscat.schema import FIELD_BITS, SOURCES, has, source_ordinal, state_rank
 
 ITEM = "entity_hash"
@@ -135,26 +135,8 @@ def rank_slice() -> Column:
 
 def rank_observations(snapshot: DataFrame, sources=SOURCES) -> DataFrame:
     """Every current observation with its position inside its item, 1 best."""
-    order = [F.col("_rank").desc()]
     rows = snapshot.withColumn("_rank", rank_key(sources))
-    ordinary, hot = split_hot(rows, [ITEM])
-    ordinary = ordinary.withColumn(
-        "position", F.row_number().over(Window.partitionBy(ITEM).orderBy(*order)).cast("long")
-    )
-    hot = hot.withColumn("_slice", rank_slice())
-    before = Window.partitionBy(ITEM).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        hot.groupBy(ITEM, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
-        .select(ITEM, "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    )
-    inside = F.row_number().over(Window.partitionBy(ITEM, "_slice").orderBy(*order))
-    hot = (
-        hot.withColumn("_inside", inside)
-        .join(offsets, [ITEM, "_slice"])
-        .withColumn("position", F.col("_offset") + F.col("_inside"))
-    )
-    columns = [*snapshot.columns, "position"]
-    return ordinary.select(*columns).unionByName(hot.select(*columns))
+    return numbered(rows, [ITEM], [F.desc("_rank")], rank_slice(), "position").drop("_rank")
 
 
 def size_conflicts(snapshot: DataFrame) -> DataFrame:

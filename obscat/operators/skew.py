@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,3 +46,30 @@ def order_slice(df: DataFrame, column: str) -> Column:
     if isinstance(kind, (T.IntegerType, T.LongType)):
         return F.floor(F.col(column) / F.lit(100_000))
     return F.substring(column, 1, 2)
+
+
+def numbered(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], piece: Column, name: str
+) -> DataFrame:
+    """Add the position of every row inside its key group, from 1.
+
+    ``piece`` is a coarse, never decreasing function of ``order``; it cuts hot groups.
+    """
+    keys = list(keys)
+    ordinary, hot = split_hot(df, keys)
+    position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    ordinary = ordinary.withColumn(name, position.cast("long"))
+    hot = hot.withColumn("_piece", piece)
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        hot.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_rows"))
+        .select(*keys, "_piece", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    )
+    inside = F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy(*order))
+    hot = (
+        hot.withColumn("_inside", inside)
+        .join(offsets, [*keys, "_piece"])
+        .withColumn(name, F.col("_offset") + F.col("_inside"))
+    )
+    columns = [*df.columns, name]
+    return ordinary.select(*columns).unionByName(hot.select(*columns))

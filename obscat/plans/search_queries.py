@@ -105,11 +105,11 @@ def popularity_order(spark, sf_dir):
     return rows.orderBy(*me.popularity_order()).select("arrival_key", "popularity", "secondary_popularity")
 
 
-@query("union_sources", oracle("SELECT source, arrival_key, CASE WHEN source = 'src_a' THEN quality END AS quality FROM v_obs WHERE source IN ('src_a', 'src_b', 'src_c')", "v_obs"))
+@query("union_sources", oracle("SELECT source, arrival_key, CASE WHEN source = 'src_a' THEN quality END AS quality FROM v_obs", "v_obs"))
 def union_sources(spark, sf_dir):
     rows = view(spark, sf_dir, "v_obs")
     first = rows.where("source = 'src_a'").select("source", "arrival_key", "quality")
-    rest = [rows.where(F.col("source") == s).select("source", "arrival_key") for s in ("src_b", "src_c")]
+    rest = [rows.where(F.col("source") == s).select("source", "arrival_key") for s in ("src_b", "src_c", "src_d", "src_e", "src_f", "src_g")]
     return me.union_sources([first, *rest])
 
 

@@ -181,9 +181,9 @@ def subscription_state(spark, sf_dir):
     return subs(spark, sf_dir)
 
 
-@query("user_subscriptions", oracle("+" + _SUB_SQL + "," + _QUERY_SQL + " SELECT uid, media_id, media, last_refresh_time FROM subs LEFT JOIN q USING (media_id) WHERE uid = 'u7'", "v_subscription_log", "v_query_log"))
+@query("user_subscriptions", oracle("+" + _SUB_SQL + "," + _QUERY_SQL + " SELECT uid, media_id, media, last_refresh_time FROM subs LEFT JOIN q USING (media_id)", "v_subscription_log", "v_query_log"))
 def user_subscriptions(spark, sf_dir):
-    return st.user_subscriptions(subs(spark, sf_dir), query_table(spark, sf_dir), "u7")
+    return st.user_subscriptions(subs(spark, sf_dir), query_table(spark, sf_dir))
 
 
 @query("orphan_queries", oracle("+" + _SUB_SQL + "," + _QUERY_SQL + " SELECT media_id, query, hits FROM q WHERE media_id NOT IN (SELECT media_id FROM subs)", "v_subscription_log", "v_query_log"))
