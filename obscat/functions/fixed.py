@@ -35,6 +35,7 @@ LONG_DATE_PATTERN = (
 UNIX_DATE_RANGE = (946_684_800, 4_102_444_800)
 
 # Link parsing.
+HASH_TOPIC_PATTERN = r"urn(?::|%3A)(?:btih|btmh(?::|%3A)1220)[^&#]*"
 HASH_PREFIX_PATTERN = r"(?i)^urn:(?:btih:|btmh:1220)"
 BASE32_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE32_TO = "0123456789ABCDEFGHIJKLMNOPQRSTUV"

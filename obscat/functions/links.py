@@ -9,9 +9,15 @@ from obscat.functions import fixed
 from obscat.functions.text import col
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed a single time per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unescape(value: Column) -> Column:
     """Percent-decoding that leaves ``+`` and broken sequences as they are."""
-    return F.coalesce(F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))), value)
+    decode = lambda v: F.coalesce(F.try_url_decode(F.replace(v, F.lit("+"), F.lit("%2B"))), v)
+    return once(value, lambda v: F.when(v.contains("%"), decode(v)).otherwise(v))
 
 
 def escape(value: Column) -> Column:
@@ -38,34 +44,46 @@ def link_pairs(link: Column | str) -> Column:
     return F.when(text.rlike("(?i)^magnet:"), pairs)
 
 
+def _parameter(link: Column | str, name: str, value: str = "[^&#]*") -> Column:
+    """Raw value of the first parameter ``name`` of a link whose value fits."""
+    pattern = rf"(?i)^\s*magnet:[^?#]*\?(?:[^&#]*&)*?{name}=({value})(?:[&#]|\s*$)"
+    return F.nullif(F.regexp_extract(col(link), pattern, 1), F.lit(""))
+
+
 def normalize_hash(raw: Column | str) -> Column:
     """Lower-case hex of a 40/64 hex or 32/52 base-32 hash, NULL for anything else."""
-    value = F.trim(col(raw))
-    digits = F.translate(F.upper(value), fixed.BASE32_FROM, fixed.BASE32_TO)
+    return once(F.trim(col(raw)), _normalize_trimmed)
+
+
+def _normalize_trimmed(value: Column) -> Column:
+    is_hex = value.rlike("^(?:[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64})$")
+    is_base32 = value.rlike("^(?i:[A-Z2-7]{32}|[A-Z2-7]{52})$")
+    return F.when(is_hex, F.lower(value)).when(is_base32, once(
+        F.translate(F.upper(value), fixed.BASE32_FROM, fixed.BASE32_TO), _hex_of_base32
+    ))
+
+
+def _hex_of_base32(digits: Column) -> Column:
+    """Hex of base-32 digits, forty bits at a time."""
 
     def chunk(start: int, size: int, hexes: int) -> Column:
         return F.lpad(F.conv(F.substring(digits, start, size), 32, 16), hexes, "0")
 
-    short = F.concat(*[chunk(1 + 8 * i, 8, 10) for i in range(4)])
+    whole = lambda n: F.concat(*[chunk(1 + 8 * i, 8, 10) for i in range(n)])
     # 52 digits carry 260 bits; the last four bits are padding.
     tail = F.substring(chunk(49, 4, 5), 1, 4)
-    long = F.concat(*[chunk(1 + 8 * i, 8, 10) for i in range(6)], tail)
-    base32 = value.rlike("(?i)^[A-Z2-7]+$")
-    return (
-        F.when(value.rlike("^(?:[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64})$"), F.lower(value))
-        .when(base32 & (F.length(value) == 32), F.lower(short))
-        .when(base32 & (F.length(value) == 52), F.lower(long))
-    )
+    return F.lower(F.when(F.length(digits) == 32, whole(4)).otherwise(F.concat(whole(6), tail)))
 
 
 def link_hash(link: Column | str) -> Column:
-    """Normalised hash named by the first recognised ``xt`` parameter."""
-    topics = F.filter(
-        link_pairs(link),
-        lambda p: (F.lower(_name(p)) == "xt") & unescape(_value(p)).rlike(fixed.HASH_PREFIX_PATTERN),
-    )
-    topic = unescape(_value(F.get(topics, F.lit(0))))
-    return normalize_hash(F.regexp_replace(topic, fixed.HASH_PREFIX_PATTERN, ""))
+    """Normalised hash named by the first recognised ``xt`` parameter.
+
+    A link that starts with a hex topic, the usual form, is read by one pattern.
+    """
+    usual = F.regexp_extract(col(link), r"^magnet:\?xt=urn:btih:([0-9A-Fa-f]{40})(?:[&#]|$)", 1)
+    topic = unescape(_parameter(link, "xt", fixed.HASH_TOPIC_PATTERN))
+    other = normalize_hash(F.regexp_replace(topic, fixed.HASH_PREFIX_PATTERN, ""))
+    return F.when(usual != "", F.lower(usual)).otherwise(other)
 
 
 def is_safe_announce(url: Column) -> Column:
@@ -83,13 +101,14 @@ def announce_urls(link: Column | str) -> Column:
     values = F.transform(
         F.filter(link_pairs(link), lambda p: F.lower(_name(p)) == "tr"), lambda p: unescape(_value(p))
     )
-    return F.coalesce(F.filter(values, is_safe_announce), F.array().cast("array<string>"))
+    named = col(link).rlike(r"(?i)[?&]tr=")
+    empty = F.array().cast("array<string>")
+    return F.coalesce(F.when(named, F.filter(values, is_safe_announce)), empty)
 
 
 def display_name(link: Column | str) -> Column:
     """Value of the first ``dn`` parameter."""
-    found = F.get(F.filter(link_pairs(link), lambda p: F.lower(_name(p)) == "dn"), F.lit(0))
-    return unescape(_value(found))
+    return F.when(F.lower(col(link)).contains("dn="), unescape(_parameter(link, "dn")))
 
 
 def canonical_link(hash_: Column | str) -> Column:
@@ -107,6 +126,7 @@ def build_link(hash_: Column | str, announce: Column | str) -> Column:
         )
     )
     tail = F.array_join(F.transform(urls, lambda u: F.concat(F.lit("&tr="), escape(u))), "")
+    tail = F.when(F.size(col(announce)) > 0, tail).otherwise(F.lit(""))
     return F.concat(canonical_link(hash_), tail)
 
 
@@ -126,15 +146,20 @@ def sanitize_link(link: Column | str) -> Column:
 
 def identity_error(link: Column | str, explicit: Column | str) -> Column:
     """Why link and explicit hash do not identify an item; NULL when they do."""
-    found, stated = link_hash(link), normalize_hash(explicit)
     blank = lambda v: v.isNull() | (F.trim(v) == "")
-    stated_given = ~blank(col(explicit))
-    return (
-        F.when(blank(col(link)), "missing_magnet")
-        .when(found.isNull(), "invalid_magnet")
-        .when(stated_given & stated.isNull(), "invalid_hash")
-        .when(stated_given & (stated != found), "hash_mismatch")
+
+    def compare(h: Column) -> Column:
+        return (
+            F.when(h["found"].isNull(), "invalid_magnet")
+            .when(~blank(h["raw"]) & h["stated"].isNull(), "invalid_hash")
+            .when(~blank(h["raw"]) & (h["stated"] != h["found"]), "hash_mismatch")
+        )
+
+    hashes = F.struct(
+        link_hash(link).alias("found"), normalize_hash(explicit).alias("stated"),
+        col(explicit).alias("raw"),
     )
+    return F.when(blank(col(link)), "missing_magnet").otherwise(once(hashes, compare))
 
 
 def html_decode(value: Column) -> Column:

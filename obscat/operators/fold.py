@@ -55,6 +55,8 @@ def mark_late(
     before = Window.partitionBy(*keys).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
     newest = F.max(clock).over(before)
     ordinary = ordinary.withColumn("late", F.coalesce(F.col(clock) < newest, F.lit(False)))
+    if hot is None:
+        return ordinary
 
     hot = hot.withColumn("_slice", order_slice(obs, arrival))
     sliced = [*keys, "_slice"]
@@ -185,6 +187,8 @@ def fold(
 ) -> DataFrame:
     """Current row per key. Heavy keys are folded slice by slice, then merged."""
     ordinary, hot = split_hot(obs, keys)
+    if hot is None:
+        return finish(fold_state(obs, keys, arrival, clock), keys)
     hot = hot.withColumn("_slice", order_slice(obs, arrival))
     merged = merge_states(
         fold_state(hot, keys, arrival, clock, carry=("_slice",)), "_slice", keys
@@ -197,12 +201,15 @@ def relinks(
     obs: DataFrame, keys: Sequence[str] = KEY, arrival: str = ARRIVAL, clock: str = CLOCK
 ) -> DataFrame:
     """Accepted rows whose item differs from the previous accepted row of the same key."""
-    rows = accepted(obs, keys=keys, arrival=arrival, clock=clock).select(
-        *keys, arrival, clock, "entity_hash"
+    rows = accepted(
+        obs.select(*keys, arrival, clock, "entity_hash"), keys=keys, arrival=arrival, clock=clock
     )
     ordinary, hot = split_hot(rows, keys)
     within = Window.partitionBy(*keys).orderBy(arrival)
     ordinary = ordinary.withColumn("previous_hash", F.lag("entity_hash").over(within))
+    changed = F.col("previous_hash") != F.col("entity_hash")
+    if hot is None:
+        return ordinary.where(changed)
 
     hot = hot.withColumn("_slice", order_slice(rows, arrival))
     sliced = [*keys, "_slice"]
@@ -218,7 +225,7 @@ def relinks(
     )
     columns = [*rows.columns, "previous_hash"]
     both = ordinary.select(*columns).unionByName(hot.select(*columns))
-    return both.where(F.col("previous_hash") != F.col("entity_hash"))
+    return both.where(changed)
 
 
 def media_links(

@@ -1,13 +1,13 @@
 """Keep one heavy key from landing in one task.
 
 A window or an ordered per-key computation puts a whole key into one task. Keys with more
-rows than a task should hold are counted first (a narrow pass with map-side combine) and
-handled apart: their rows are cut into slices of the ordering column, each slice is worked
-on by itself, and only one small summary row per slice meets in the per-key step.
+rows than a task should hold are found first, by one narrow counting job with map-side
+combine, and handled apart: their rows are cut into slices of the ordering column, each slice
+is worked on by itself, and only one small summary row per slice meets in the per-key step.
 
-At most ``1 / HOT_SHARE`` keys can pass the threshold, whatever the input size, so the list
-of hot keys is safe to broadcast. With no hot key the list is empty and adaptive execution
-drops the sliced branch at run time.
+At most ``MAX_HOT_KEYS`` keys, the heaviest ones, are treated as hot, so their list has a
+fixed bound whatever the input size; any other key holds less than one part in
+``MAX_HOT_KEYS`` of all rows. Without hot keys the plan is the plain one-shuffle plan.
 """
 
 from __future__ import annotations
@@ -18,24 +18,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HOT_SHARE = 1e-5
+MAX_HOT_KEYS = 100_000
 HOT_MIN_ROWS = 1_000_000
 HOT_MIN_ROWS_CONF = "obscat.hot.minRows"
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys holding at least ``HOT_SHARE`` of all rows and the configured minimum."""
-    minimum = int(df.sparkSession.conf.get(HOT_MIN_ROWS_CONF, str(HOT_MIN_ROWS)))
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """The heavy keys of ``df`` as a small table, None when there are none."""
+    spark = df.sparkSession
+    minimum = int(spark.conf.get(HOT_MIN_ROWS_CONF, str(HOT_MIN_ROWS)))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    floor = counts.agg(F.sum("_rows").alias("_all")).scalar() * F.lit(HOT_SHARE)
-    heavy = (F.col("_rows") >= minimum) & (F.col("_rows") >= floor)
-    return counts.where(heavy).select(*keys)
+    heavy = counts.where(F.col("_rows") >= minimum).orderBy(F.desc("_rows"), *keys)
+    rows = heavy.limit(MAX_HOT_KEYS).select(*keys).collect()
+    if not rows:
+        return None
+    return spark.createDataFrame(rows, T.StructType([df.schema[k] for k in keys]))
 
 
-def split_hot(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """``(ordinary, hot)`` rows of ``df`` by the size of their key group."""
-    hot = F.broadcast(hot_keys(df, keys))
-    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
+def split_hot(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """``(ordinary, hot)`` rows of ``df`` by the size of their key; hot is None without any."""
+    heavy = hot_keys(df, keys)
+    if heavy is None:
+        return df, None
+    heavy = F.broadcast(heavy)
+    return df.join(heavy, list(keys), "left_anti"), df.join(heavy, list(keys), "left_semi")
 
 
 def order_slice(df: DataFrame, column: str) -> Column:
@@ -59,6 +65,8 @@ def numbered(
     ordinary, hot = split_hot(df, keys)
     position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     ordinary = ordinary.withColumn(name, position.cast("long"))
+    if hot is None:
+        return ordinary
     hot = hot.withColumn("_piece", piece)
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
