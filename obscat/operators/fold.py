@@ -39,7 +39,8 @@ def sparse(obs: DataFrame) -> DataFrame:
         if name == "observed_fields":
             out.append(F.col(name).bitwiseOR(F.lit(ALWAYS_OBSERVED)).alias(name))
         elif name == "size_bytes":
-            out.append(F.when(masked[name], F.greatest(F.lit(0), name)).alias(name))
+            size = F.when(F.col(name) < 0, 0).otherwise(F.col(name)).cast("long")
+            out.append(F.when(masked[name], size).alias(name))
         elif name in masked:
             out.append(F.when(masked[name], F.col(name)).alias(name))
         else:
