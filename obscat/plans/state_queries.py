@@ -234,13 +234,13 @@ def subscription_accept(spark, sf_dir):
     return st.subscribable(requests, names).select("event_id", "tracked")
 
 
-@query("refresh_rollup", oracle("""+ o AS (SELECT *, CAST(ts AS DATE) AS run, status <> 'disabled' AS en, status IN ('succeeded', 'partial', 'empty') AND write_error_code IS NULL AS ok FROM v_outcomes),
+@query("refresh_rollup", oracle("""+ o AS (SELECT *, strftime(ts, '%Y-%m-%d') AS run, status <> 'disabled' AS en, status IN ('succeeded', 'partial', 'empty') AND write_error_code IS NULL AS ok FROM v_outcomes),
   errs AS (SELECT media_id, run, source || ':' || coalesce(error_code, status) AS e FROM o WHERE en AND NOT ok UNION SELECT media_id, run, source || ':' || write_error_code FROM o WHERE en AND write_error_code IS NOT NULL),
   e AS (SELECT media_id, run, string_agg(e, ',' ORDER BY e) AS errors FROM errs GROUP BY media_id, run)
   SELECT media_id, run, bool_or(en AND ok) AS succeeded, CASE WHEN NOT bool_or(en) THEN 'no_enabled_trackers' WHEN any_value(errors) IS NOT NULL THEN any_value(errors)
     WHEN NOT bool_or(en AND ok) THEN 'no_healthy_trackers' END AS error FROM o LEFT JOIN e USING (media_id, run) GROUP BY media_id, run""", "v_outcomes"))
 def refresh_rollup(spark, sf_dir):
-    outcomes = view(spark, sf_dir, "v_outcomes").withColumn("run", F.to_date("ts"))
+    outcomes = view(spark, sf_dir, "v_outcomes").withColumn("run", F.date_format("ts", "yyyy-MM-dd"))
     return st.refresh_rollup(outcomes, ["media_id", "run"])
 
 

@@ -18,12 +18,16 @@ def duck():
     return connection
 
 
+def oracle_rows(duck, name):
+    return duck.sql(entry.oracle_sql()[name]).to_arrow_table().to_pandas()
+
+
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query_equals_oracle(spark, duck, name):
     got = entry.queries()[name](spark, SF_DIR).toArrow().to_pandas()
     if name not in entry.oracle_sql():
         return
-    want = duck.sql(entry.oracle_sql()[name]).df()
+    want = oracle_rows(duck, name)
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
@@ -37,7 +41,7 @@ SLICED = [
 @pytest.mark.parametrize("name", SLICED)
 def test_heavy_keys_give_the_same_result(spark, duck, every_key_hot, name):
     got = entry.queries()[name](spark, SF_DIR).toArrow().to_pandas()
-    assert rows(got) == rows(duck.sql(entry.oracle_sql()[name]).df())
+    assert rows(got) == rows(oracle_rows(duck, name))
 
 
 def test_entry_runs(spark):
