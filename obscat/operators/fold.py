@@ -97,6 +97,14 @@ def _followers(columns: Sequence[str], keys: Sequence[str]) -> list[str]:
     return [c for c in columns if c not in taken]
 
 
+def _not_late(obs: DataFrame, group: Sequence[str], arrival: str, clock: str) -> DataFrame:
+    """Rows no earlier row of their group is newer than, numbered by arrival in ``_n``."""
+    within = Window.partitionBy(*group).orderBy(arrival)
+    newest = F.max(clock).over(within.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = obs.select("*", newest.alias("_newest"), F.row_number().over(within).alias("_n"))
+    return numbered.where(F.col("_newest").isNull() | (F.col(clock) >= F.col("_newest")))
+
+
 def fold_state(
     obs: DataFrame, keys: Sequence[str] = KEY, arrival: str = ARRIVAL, clock: str = CLOCK,
     carry: Sequence[str] = (),
@@ -107,13 +115,7 @@ def fold_state(
     partitioning and the same order.
     """
     group = [*carry, *keys]
-    within = Window.partitionBy(*group).orderBy(arrival)
-    newest = F.max(clock).over(within.rowsBetween(Window.unboundedPreceding, -1))
-    rows = (
-        obs.withColumn("_newest", newest)
-        .withColumn("_n", F.row_number().over(within))
-        .where(F.col("_newest").isNull() | (F.col(clock) >= F.col("_newest")))
-    )
+    rows = _not_late(obs, group, arrival, clock)
 
     def last(columns: Sequence[str], when: Column | None = None) -> Column:
         at = F.col(clock).alias("at")
@@ -183,19 +185,43 @@ def finish(states: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     return states.select(*out)
 
 
+def fold_plain(
+    obs: DataFrame, keys: Sequence[str] = KEY, arrival: str = ARRIVAL, clock: str = CLOCK
+) -> DataFrame:
+    """Current row per key in one shuffle, for keys that fit a task."""
+    rows = _not_late(obs, keys, arrival, clock)
+
+    def last(columns: Sequence[str], when: Column | None = None) -> Column:
+        return F.max_by(F.struct(*columns), F.col("_n") if when is None else F.when(when, F.col("_n")))
+
+    aggregates = [
+        last(_followers(obs.columns, keys)).alias("row"),
+        F.bit_or("observed_fields").alias("mask"),
+        *[last(cols, has(f)).alias(f"last_{f}") for f, cols in _fields(obs.columns).items()],
+    ]
+    if "details" in obs.columns:
+        replaced = (F.col("_n") == 1) | ~F.col("details_state").isin(*RETAINING_STATES)
+        aggregates.append(last(["details"], replaced).alias("kept"))
+    folded = rows.groupBy(*keys).agg(*aggregates)
+    out = [*keys, "row.*"]
+    out += [F.col(f"last_{f}.{c}") for f, cols in _fields(obs.columns).items() for c in cols]
+    out.append(F.col("mask").alias("observed_fields"))
+    if "details" in obs.columns:
+        out.append(F.coalesce("kept.details", F.lit("{}")).alias("details"))
+    return folded.select(*out)
+
+
 def fold(
     obs: DataFrame, keys: Sequence[str] = KEY, arrival: str = ARRIVAL, clock: str = CLOCK
 ) -> DataFrame:
     """Current row per key. Heavy keys are folded slice by slice, then merged."""
     ordinary, hot = split_hot(obs, keys)
+    folded = fold_plain(ordinary, keys, arrival, clock)
     if hot is None:
-        return finish(fold_state(obs, keys, arrival, clock), keys)
+        return folded
     hot = hot.withColumn("_slice", order_slice(obs, arrival))
-    merged = merge_states(
-        fold_state(hot, keys, arrival, clock, carry=("_slice",)), "_slice", keys
-    )
-    states = fold_state(ordinary, keys, arrival, clock).unionByName(merged)
-    return finish(states, keys)
+    states = fold_state(hot, keys, arrival, clock, carry=("_slice",))
+    return folded.unionByName(finish(merge_states(states, "_slice", keys), keys))
 
 
 def relinks(

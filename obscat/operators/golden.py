@@ -1,7 +1,8 @@
 """One canonical row per item, elected field by field from its current observations.
 
 Everything is an aggregate that combines before the shuffle, so an item with a third of all
-observations costs one partial row per task, not one task.
+observations costs one partial row per task, not one task. The value sets of such an item
+are united value by value; those of an ordinary item inside its aggregate.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obscat.functions.links import announce_urls, build_link
-from obscat.operators.skew import numbered
+from obscat.operators.skew import numbered, split_hot
 from obscat.schema import FIELD_BITS, SOURCES, has, source_ordinal, state_rank
 
 ITEM = "entity_hash"
@@ -32,10 +33,16 @@ def rank_key(sources=SOURCES) -> Column:
     )
 
 
-def elect(field: str, columns: tuple[str, ...], rank: Column) -> Column:
-    """Columns of the best row with the bit of ``field``, else of the best row."""
-    value = F.struct(*columns)
-    return F.coalesce(F.max_by(value, F.when(has(field), rank)), F.max_by(value, rank))
+ELECTED = {
+    "title": ("title",), "names": ("name", "original_name"), "size": ("size_bytes",),
+    "publish_date": ("publish_date",), "release_year": ("release_year",),
+    "quality": ("quality",), "video_type": ("video_type",),
+}
+
+
+def elect(field: str, rank: Column) -> Column:
+    """Columns of the best row with the bit of ``field``, NULL when no row has it."""
+    return F.max_by(F.struct(*ELECTED[field]), F.when(has(field), rank))
 
 
 def fresh_max(column: str, field: str, fresh: Column, rank: Column) -> Column:
@@ -78,49 +85,95 @@ def union_ints(column: str, field: str) -> Column:
     )
 
 
+SETS = ("types", "languages", "voices", "seasons", "announce")
+
+
 def golden_record(
-    snapshot: DataFrame, as_of: str, freshness_minutes: int = FRESHNESS_MINUTES, sources=SOURCES
+    snapshot: DataFrame, as_of: str, freshness_minutes: int = FRESHNESS_MINUTES, sources=SOURCES,
+    sized_by: DataFrame | None = None,
+) -> DataFrame:
+    """Canonical rows of all items with at least one current observation.
+
+    ``sized_by``, best the log the snapshot was folded from, tells the heavy items.
+    """
+    ordinary, hot = split_hot(snapshot, [ITEM], sized_by)
+    settings = (as_of, freshness_minutes, sources)
+    items = _canonical(_elections(ordinary, *settings, inline_sets=True), as_of)
+    if hot is None:
+        return items
+    elected = _elections(hot, *settings, inline_sets=False)
+    heavy = elected.join(_value_sets(hot), ITEM, "left")
+    return items.unionByName(_canonical(heavy, as_of))
+
+
+def _value_sets(rows: DataFrame) -> DataFrame:
+    """All value sets per item, from one row per distinct value."""
+
+    def tag(name: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(name).alias("set"), v.cast("string").alias("v")))
+
+    observed = [F.when(has(c), F.col(c)) for c in SETS[:4]] + [announce_urls("link")]
+    tagged = [F.coalesce(tag(n, c), F.array().cast("array<struct<set:string,v:string>>")) for n, c in zip(SETS, observed)]
+    values = rows.select(ITEM, F.explode(F.concat(*tagged)).alias("x")).where(F.trim("x.v") != "")
+    key = F.when(F.col("x.set").isin("types", "languages", "voices"), F.lower("x.v")).otherwise(F.col("x.v"))
+    distinct = values.groupBy(ITEM, F.col("x.set").alias("set"), key.alias("k")).agg(F.min("x.v").alias("v"))
+
+    def collect(name: str) -> Column:
+        pairs = F.array_sort(F.collect_list(F.when(F.col("set") == name, F.struct("k", "v"))))
+        return F.transform(pairs, lambda x: x["v"])
+
+    sets = {n: collect(n) for n in SETS}
+    sets["seasons"] = F.array_sort(F.transform(sets["seasons"], lambda v: v.cast("int")))
+    return distinct.groupBy(ITEM).agg(*[c.alias(n) for n, c in sets.items()])
+
+
+def _elections(
+    rows: DataFrame, as_of: str, freshness_minutes: int, sources, inline_sets: bool
 ) -> DataFrame:
-    """Canonical rows of all items with at least one current observation."""
     rank = rank_key(sources)
     cutoff = F.expr(f"TIMESTAMP_NTZ '{as_of}' - INTERVAL {int(freshness_minutes)} MINUTES")
     fresh = F.col("fetched_at") >= cutoff
-    rows = snapshot.withColumn("_announce", announce_urls("link"))
-    best = rows.groupBy(ITEM).agg(
-        F.max_by(F.struct("source", "source_url", "fetched_at"), rank).alias("top"),
-        elect("title", ("title",), rank).alias("title"),
-        elect("names", ("name", "original_name"), rank).alias("names"),
-        elect("size", ("size_bytes",), rank).alias("size"),
-        elect("publish_date", ("publish_date",), rank).alias("published"),
-        elect("release_year", ("release_year",), rank).alias("year"),
-        elect("quality", ("quality",), rank).alias("quality"),
-        elect("video_type", ("video_type",), rank).alias("video"),
+    fallback = [c for columns in ELECTED.values() for c in columns]
+    sets = []
+    if inline_sets:
+        rows = rows.withColumn("_announce", announce_urls("link"))
+        sets = [union_arrays(c, c).alias(c) for c in ("types", "languages", "voices")]
+        sets.append(union_ints("seasons", "seasons").alias("seasons"))
+        sets.append(F.array_distinct(F.flatten(F.collect_set("_announce"))).alias("announce"))
+    return rows.groupBy(ITEM).agg(
+        F.max_by(F.struct("source", "source_url", "fetched_at", *fallback), rank).alias("top"),
+        *[elect(field, rank).alias(f"best_{field}") for field in ELECTED],
         fresh_max("popularity", "popularity", fresh, rank).alias("popularity"),
         fresh_max("secondary_popularity", "secondary_popularity", fresh, rank).alias(
             "secondary_popularity"
         ),
-        union_arrays("types", "types").alias("types"),
-        union_arrays("languages", "languages").alias("languages"),
-        union_arrays("voices", "voices").alias("voices"),
-        union_ints("seasons", "seasons").alias("seasons"),
-        F.array_distinct(F.flatten(F.collect_set("_announce"))).alias("announce"),
+        *sets,
     )
+
+
+def _canonical(best: DataFrame, as_of: str) -> DataFrame:
+    def elected(field: str, column: str) -> Column:
+        winner = F.col(f"best_{field}")
+        return F.when(winner.isNull(), F.col(f"top.{column}")).otherwise(winner[column])
+
+    none = F.array().cast("array<string>")
     return best.select(
         ITEM,
         F.col("top.source").alias("source"),
         F.col("top.source_url").alias("source_url"),
-        F.coalesce("title.title", F.lit("")).alias("title"),
-        F.col("names.name").alias("name"),
-        F.col("names.original_name").alias("original_name"),
-        F.coalesce("size.size_bytes", F.lit(0)).alias("size_bytes"),
-        build_link(F.col(ITEM), F.col("announce")).alias("link"),
+        F.coalesce(elected("title", "title"), F.lit("")).alias("title"),
+        elected("names", "name").alias("name"),
+        elected("names", "original_name").alias("original_name"),
+        F.coalesce(elected("size", "size_bytes"), F.lit(0)).alias("size_bytes"),
+        build_link(F.col(ITEM), F.coalesce("announce", none)).alias("link"),
         "popularity",
         "secondary_popularity",
-        F.coalesce("published.publish_date", "top.fetched_at").alias("publish_date"),
-        F.col("year.release_year").alias("release_year"),
-        F.col("quality.quality").alias("quality"),
-        F.col("video.video_type").alias("video_type"),
-        "types", "languages", "voices", "seasons",
+        F.coalesce(elected("publish_date", "publish_date"), "top.fetched_at").alias("publish_date"),
+        elected("release_year", "release_year").alias("release_year"),
+        elected("quality", "quality").alias("quality"),
+        elected("video_type", "video_type").alias("video_type"),
+        *[F.coalesce(c, none).alias(c) for c in ("types", "languages", "voices")],
+        F.coalesce("seasons", F.array().cast("array<int>")).alias("seasons"),
         F.lit(as_of).cast("timestamp_ntz").alias("updated_at"),
     )
 
@@ -133,10 +186,13 @@ def rank_slice() -> Column:
     return F.struct(state_rank().alias("s"), updated.alias("u"), fetched.alias("f"))
 
 
-def rank_observations(snapshot: DataFrame, sources=SOURCES) -> DataFrame:
+def rank_observations(
+    snapshot: DataFrame, sources=SOURCES, sized_by: DataFrame | None = None
+) -> DataFrame:
     """Every current observation with its position inside its item, 1 best."""
     rows = snapshot.withColumn("_rank", rank_key(sources))
-    return numbered(rows, [ITEM], [F.desc("_rank")], rank_slice(), "position").drop("_rank")
+    order = [F.desc("_rank")]
+    return numbered(rows, [ITEM], order, rank_slice(), "position", sized_by).drop("_rank")
 
 
 def size_conflicts(snapshot: DataFrame) -> DataFrame:

@@ -161,8 +161,9 @@ def result_rows(items: DataFrame) -> DataFrame:
 
 def attach_overrides(results: DataFrame, summaries: DataFrame) -> DataFrame:
     """Override summary of each result whose id is an item hash."""
+    # Other ids keep their own text as the key: it matches nothing and does not pile up on NULL.
     is_hash = F.col("id").rlike("^[0-9A-Fa-f]{40}$")
-    keyed = results.withColumn("_h", F.when(is_hash, F.lower("id")))
+    keyed = results.withColumn("_h", F.when(is_hash, F.lower("id")).otherwise(F.col("id")))
     return keyed.join(summaries.withColumnRenamed("hash", "_h"), "_h", "left").drop("_h")
 
 

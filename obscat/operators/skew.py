@@ -35,9 +35,15 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     return spark.createDataFrame(rows, T.StructType([df.schema[k] for k in keys]))
 
 
-def split_hot(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
-    """``(ordinary, hot)`` rows of ``df`` by the size of their key; hot is None without any."""
-    heavy = hot_keys(df, keys)
+def split_hot(
+    df: DataFrame, keys: Sequence[str], sized_by: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """``(ordinary, hot)`` rows of ``df`` by the size of their key; hot is None without any.
+
+    ``sized_by`` is a cheaper table with at least as many rows per key, such as the log a
+    snapshot was folded from; ``keys`` are then the columns the two share.
+    """
+    heavy = hot_keys(df if sized_by is None else sized_by, keys)
     if heavy is None:
         return df, None
     heavy = F.broadcast(heavy)
@@ -55,14 +61,16 @@ def order_slice(df: DataFrame, column: str) -> Column:
 
 
 def numbered(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], piece: Column, name: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], piece: Column, name: str,
+    sized_by: DataFrame | None = None, size_keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add the position of every row inside its key group, from 1.
 
     ``piece`` is a coarse, never decreasing function of ``order``; it cuts hot groups.
+    ``size_keys`` are keys, a part of ``keys``, by which ``sized_by`` tells hot groups.
     """
     keys = list(keys)
-    ordinary, hot = split_hot(df, keys)
+    ordinary, hot = split_hot(df, list(size_keys or keys), sized_by)
     position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     ordinary = ordinary.withColumn(name, position.cast("long"))
     if hot is None:

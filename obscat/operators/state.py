@@ -179,9 +179,12 @@ def resolve_queries(requests: DataFrame, names: DataFrame) -> DataFrame:
     """
     kind = id_kind("query")
     number = F.regexp_replace(F.trim("query"), "^kp", "")
-    keyed = requests.withColumn("_kind", kind).withColumn("_id", F.when(kind != "text", number))
+    # Plain text keeps itself as the key: it matches no name and does not pile up on NULL.
+    keyed = requests.withColumn("_kind", kind).withColumn("_id", number)
     found = keyed.join(
-        names.select(F.col("kind").alias("_kind"), F.col("id").alias("_id"), "original", "name"),
+        names.where("kind <> 'text'").select(
+            F.col("kind").alias("_kind"), F.col("id").alias("_id"), "original", "name"
+        ),
         ["_kind", "_id"], "left",
     )
     filled = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))

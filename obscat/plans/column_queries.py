@@ -260,9 +260,8 @@ def link_build(spark, sf_dir):
     rows = titles(spark, sf_dir).join(
         table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), "p_type"), "item_id"
     )
-    urls = rows.select("p_type", links.announce_urls("link").alias("u")).groupBy("p_type").agg(
-        F.array_distinct(F.flatten(F.collect_set("u"))).alias("u")
-    )
+    each = rows.select("p_type", F.explode_outer(links.announce_urls("link")).alias("u"))
+    urls = each.groupBy("p_type").agg(F.collect_set("u").alias("u"))
     h = F.concat(F.md5("p_type"), F.substring(F.md5("p_type"), 1, 8))
     return urls.select("p_type", links.build_link(h, "u").alias("link"))
 

@@ -203,7 +203,8 @@ def orphan_items(spark, sf_dir):
 @query("rank_observations", snap_sql(
     "SELECT source, source_key, entity_hash, CAST(pos AS BIGINT) AS position FROM ranked", RANKED_SQL))
 def rank_observations(spark, sf_dir):
-    return go.rank_observations(snapshot(spark, sf_dir)).select(
+    log = obs(spark, sf_dir)
+    return go.rank_observations(fo.fold(log), sized_by=log).select(
         "source", "source_key", "entity_hash", "position"
     )
 
@@ -262,7 +263,8 @@ def gold_sql(body: str, *steps: str) -> str:
 
 
 def golden(spark, sf_dir):
-    return go.golden_record(snapshot(spark, sf_dir), AS_OF_LINEITEM, GOLD_MINUTES)
+    log = obs(spark, sf_dir)
+    return go.golden_record(fo.fold(log), AS_OF_LINEITEM, GOLD_MINUTES, sized_by=log)
 
 
 def flat_golden(gold):
@@ -295,8 +297,8 @@ def union_arrays_ci(spark, sf_dir):
     f"SELECT entity_hash, string_agg(DISTINCT CAST(season AS VARCHAR), ',' ORDER BY CAST(season AS VARCHAR)) AS seasons "
     f"FROM snap WHERE {_bit('seasons')} GROUP BY entity_hash"))
 def union_int_arrays(spark, sf_dir):
-    rows = snapshot(spark, sf_dir).where(has("seasons"))
-    merged = rows.groupBy("entity_hash").agg(go.union_ints("seasons", "seasons").alias("s"))
+    rows = snapshot(spark, sf_dir).where(has("seasons")).select("entity_hash", F.explode("seasons").alias("s"))
+    merged = rows.groupBy("entity_hash").agg(F.array_sort(F.collect_set("s")).alias("s"))
     return merged.select("entity_hash", F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("seasons"))
 
 
@@ -314,7 +316,7 @@ def size_conflicts(spark, sf_dir):
     "WHERE NOT EXISTS (SELECT 1 FROM snap s WHERE s.source = g.source AND s.source_url = g.source_key AND s.popularity > 25)"))
 def backfill_insert_ignore(spark, sf_dir):
     snap = snapshot(spark, sf_dir)
-    gold = go.golden_record(snap, AS_OF_LINEITEM, GOLD_MINUTES)
+    gold = go.golden_record(snap, AS_OF_LINEITEM, GOLD_MINUTES, sized_by=obs(spark, sf_dir))
     existing = snap.where("popularity > 25").select("source", F.col("source_url").alias("source_key"))
     return fo.backfill(gold, existing).select(
         "source", "source_key", "entity_hash", "observed_fields", "details_state", "parser_version"
@@ -426,5 +428,6 @@ def cascade_delete(spark, sf_dir):
     from obscat.operators.state import cascade_delete as cascade
 
     snap = snapshot(spark, sf_dir)
-    deleted = go.golden_record(snap, AS_OF_LINEITEM, GOLD_MINUTES).where("popularity >= 45")
+    gold = go.golden_record(snap, AS_OF_LINEITEM, GOLD_MINUTES, sized_by=obs(spark, sf_dir))
+    deleted = gold.where("popularity >= 45")
     return cascade(snap, deleted, ["entity_hash"]).select("source", "source_key", "entity_hash")

@@ -122,9 +122,9 @@ def distinct_items(spark, sf_dir):
   UNION ALL SELECT source_key, unnest(string_split(types_csv, ',')) FROM v_obs) WHERE w <> '' GROUP BY source_key""", "v_obs"))
 def warnings_union(spark, sf_dir):
     rows = view(spark, sf_dir, "v_obs").select(
-        "source_key", F.array_union(csv_array("languages_csv"), csv_array("types_csv")).alias("w")
+        "source_key", F.explode(F.array_union(csv_array("languages_csv"), csv_array("types_csv"))).alias("w")
     )
-    merged_ = rows.groupBy("source_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("w")))).alias("w"))
+    merged_ = rows.groupBy("source_key").agg(F.array_sort(F.collect_set("w")).alias("w"))
     return merged_.select("source_key", F.array_join("w", ",").alias("warnings"))
 
 
