@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from obscat.operators.skew import order_slice, split_hot
+from obscat.operators.skew import SLICE, split_hot
 from obscat.schema import (
     ALWAYS_OBSERVED,
     FIELD_BITS,
@@ -52,15 +52,14 @@ def mark_late(
     obs: DataFrame, keys: Sequence[str] = KEY, arrival: str = ARRIVAL, clock: str = CLOCK
 ) -> DataFrame:
     """Add ``late``: an earlier arrival of the same key has a newer ``clock``."""
-    ordinary, hot = split_hot(obs, keys)
+    ordinary, hot = split_hot(obs, keys, [arrival])
     before = Window.partitionBy(*keys).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
     newest = F.max(clock).over(before)
     ordinary = ordinary.withColumn("late", F.coalesce(F.col(clock) < newest, F.lit(False)))
     if hot is None:
         return ordinary
 
-    hot = hot.withColumn("_slice", order_slice(obs, arrival))
-    sliced = [*keys, "_slice"]
+    sliced = [*keys, SLICE]
     inside = Window.partitionBy(*sliced).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
     earlier = _earlier_slices(hot, keys, clock)
     hot = (
@@ -77,9 +76,9 @@ def mark_late(
 
 def _earlier_slices(hot: DataFrame, keys: Sequence[str], clock: str) -> DataFrame:
     """Newest clock of all slices before each slice; one row per slice."""
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = hot.groupBy(*keys, "_slice").agg(F.max(clock).alias("_newest"))
-    return slices.select(*keys, "_slice", F.max("_newest").over(before).alias("_earlier"))
+    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    slices = hot.groupBy(*keys, SLICE).agg(F.max(clock).alias("_newest"))
+    return slices.select(*keys, SLICE, F.max("_newest").over(before).alias("_earlier"))
 
 
 def accepted(obs: DataFrame, **kwargs) -> DataFrame:
@@ -93,7 +92,7 @@ def _fields(columns: Sequence[str]) -> dict[str, tuple[str, ...]]:
 
 def _followers(columns: Sequence[str], keys: Sequence[str]) -> list[str]:
     taken = {c for cols in MASKED_COLUMNS.values() for c in cols}
-    taken |= {*keys, "observed_fields", "details", "_slice", ARRIVAL}
+    taken |= {*keys, "observed_fields", "details", SLICE, ARRIVAL}
     return [c for c in columns if c not in taken]
 
 
@@ -215,13 +214,12 @@ def fold(
     obs: DataFrame, keys: Sequence[str] = KEY, arrival: str = ARRIVAL, clock: str = CLOCK
 ) -> DataFrame:
     """Current row per key. Heavy keys are folded slice by slice, then merged."""
-    ordinary, hot = split_hot(obs, keys)
+    ordinary, hot = split_hot(obs, keys, [arrival])
     folded = fold_plain(ordinary, keys, arrival, clock)
     if hot is None:
         return folded
-    hot = hot.withColumn("_slice", order_slice(obs, arrival))
-    states = fold_state(hot, keys, arrival, clock, carry=("_slice",))
-    return folded.unionByName(finish(merge_states(states, "_slice", keys), keys))
+    states = fold_state(hot, keys, arrival, clock, carry=(SLICE,))
+    return folded.unionByName(finish(merge_states(states, SLICE, keys), keys))
 
 
 def relinks(
@@ -231,18 +229,17 @@ def relinks(
     rows = accepted(
         obs.select(*keys, arrival, clock, "entity_hash"), keys=keys, arrival=arrival, clock=clock
     )
-    ordinary, hot = split_hot(rows, keys)
+    ordinary, hot = split_hot(rows, keys, [arrival])
     within = Window.partitionBy(*keys).orderBy(arrival)
     ordinary = ordinary.withColumn("previous_hash", F.lag("entity_hash").over(within))
     changed = F.col("previous_hash") != F.col("entity_hash")
     if hot is None:
         return ordinary.where(changed)
 
-    hot = hot.withColumn("_slice", order_slice(rows, arrival))
-    sliced = [*keys, "_slice"]
+    sliced = [*keys, SLICE]
     ends = hot.groupBy(*sliced).agg(F.max_by("entity_hash", arrival).alias("_end"))
     carried = ends.select(
-        *sliced, F.lag("_end").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_carried")
+        *sliced, F.lag("_end").over(Window.partitionBy(*keys).orderBy(SLICE)).alias("_carried")
     )
     inside = Window.partitionBy(*sliced).orderBy(arrival)
     hot = (

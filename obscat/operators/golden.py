@@ -96,7 +96,7 @@ def golden_record(
 
     ``sized_by``, best the log the snapshot was folded from, tells the heavy items.
     """
-    ordinary, hot = split_hot(snapshot, [ITEM], sized_by)
+    ordinary, hot = split_hot(snapshot, [ITEM], sized_by=sized_by)
     settings = (as_of, freshness_minutes, sources)
     items = _canonical(_elections(ordinary, *settings, inline_sets=True), as_of)
     if hot is None:
@@ -178,21 +178,13 @@ def _canonical(best: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def rank_slice() -> Column:
-    """Coarse, never decreasing part of the ranking order (best first)."""
-    day = lambda c: -F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
-    updated = F.coalesce(day("source_updated_at"), F.lit(2147483647))
-    fetched = F.when(F.col("source_updated_at").isNull(), day("fetched_at")).otherwise(F.lit(0))
-    return F.struct(state_rank().alias("s"), updated.alias("u"), fetched.alias("f"))
-
-
 def rank_observations(
     snapshot: DataFrame, sources=SOURCES, sized_by: DataFrame | None = None
 ) -> DataFrame:
     """Every current observation with its position inside its item, 1 best."""
     rows = snapshot.withColumn("_rank", rank_key(sources))
     order = [F.desc("_rank")]
-    return numbered(rows, [ITEM], order, rank_slice(), "position", sized_by).drop("_rank")
+    return numbered(rows, [ITEM], order, "position", sized_by).drop("_rank")
 
 
 def size_conflicts(snapshot: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 A window or an ordered per-key computation puts a whole key into one task. Keys with more
 rows than a task should hold are found first, by one narrow counting job with map-side
-combine, and handled apart: their rows are cut into slices of the ordering column, each slice
-is worked on by itself, and only one small summary row per slice meets in the per-key step.
+combine, and handled apart: their rows are range-partitioned by key and order, so every
+partition is one slice of a key, and written once to the shared folder with the number of
+their slice. Each slice is then worked on by itself, and only one small summary row per
+slice meets in the per-key step.
 
 At most ``MAX_HOT_KEYS`` keys, the heaviest ones, are treated as hot, so their list has a
 fixed bound whatever the input size; any other key holds less than one part in
@@ -18,73 +20,86 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from obscat.session import shared_dir
+
 MAX_HOT_KEYS = 100_000
 HOT_MIN_ROWS = 1_000_000
 HOT_MIN_ROWS_CONF = "obscat.hot.minRows"
+MIN_SLICE_ROWS = 100
+SLICE = "_slice"
+
 
+def min_rows(df: DataFrame) -> int:
+    """Rows from which a key is heavy."""
+    return int(df.sparkSession.conf.get(HOT_MIN_ROWS_CONF, str(HOT_MIN_ROWS)))
 
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """The heavy keys of ``df`` as a small table, None when there are none."""
-    spark = df.sparkSession
-    minimum = int(spark.conf.get(HOT_MIN_ROWS_CONF, str(HOT_MIN_ROWS)))
+
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int] | None:
+    """The heavy keys of ``df`` as a small table and their row count; None without any."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    heavy = counts.where(F.col("_rows") >= minimum).orderBy(F.desc("_rows"), *keys)
-    rows = heavy.limit(MAX_HOT_KEYS).select(*keys).collect()
-    if not rows:
+    heavy = counts.where(F.col("_rows") >= min_rows(df)).orderBy(F.desc("_rows"), *keys)
+    found = heavy.limit(MAX_HOT_KEYS).collect()
+    if not found:
         return None
-    return spark.createDataFrame(rows, T.StructType([df.schema[k] for k in keys]))
+    schema = T.StructType([df.schema[k] for k in keys])
+    rows = [tuple(r[k] for k in keys) for r in found]
+    return df.sparkSession.createDataFrame(rows, schema), sum(r["_rows"] for r in found)
 
 
 def split_hot(
-    df: DataFrame, keys: Sequence[str], sized_by: DataFrame | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str] = (),
+    sized_by: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """``(ordinary, hot)`` rows of ``df`` by the size of their key; hot is None without any.
 
-    ``sized_by`` is a cheaper table with at least as many rows per key, such as the log a
-    snapshot was folded from; ``keys`` are then the columns the two share.
+    With an ``order`` the hot rows carry the number of their slice, which never decreases
+    along the order within a key. ``sized_by`` is a cheaper table with at least as many rows
+    per key, such as the log a snapshot was folded from; it must have the ``keys`` too.
     """
-    heavy = hot_keys(df if sized_by is None else sized_by, keys)
-    if heavy is None:
+    keys = list(keys)
+    found = hot_keys(df if sized_by is None else sized_by, keys)
+    if found is None:
         return df, None
-    heavy = F.broadcast(heavy)
-    return df.join(heavy, list(keys), "left_anti"), df.join(heavy, list(keys), "left_semi")
+    heavy, total = F.broadcast(found[0]), found[1]
+    hot = df.join(heavy, keys, "left_semi")
+    if order:
+        hot = _sliced(hot, keys, order, -(-total // max(min_rows(df), MIN_SLICE_ROWS)))
+    return df.join(heavy, keys, "left_anti"), hot
 
 
-def order_slice(df: DataFrame, column: str) -> Column:
-    """A coarse, never decreasing function of an ordering column."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_trunc("hour", column).cast(kind)
-    if isinstance(kind, (T.IntegerType, T.LongType)):
-        return F.floor(F.col(column) / F.lit(100_000))
-    return F.substring(column, 1, 2)
+def _sliced(hot: DataFrame, keys: Sequence[str], order: Sequence[Column | str], slices: int) -> DataFrame:
+    """Rows in ranges of key and order, written once so that the ranges stay as they are."""
+    path = shared_dir(hot.sparkSession, "slices")
+    ranged = hot.repartitionByRange(slices, *keys, *order)
+    ranged.withColumn(SLICE, F.spark_partition_id()).write.parquet(path)
+    return hot.sparkSession.read.parquet(path)
 
 
 def numbered(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], piece: Column, name: str,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str,
     sized_by: DataFrame | None = None, size_keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add the position of every row inside its key group, from 1.
 
-    ``piece`` is a coarse, never decreasing function of ``order``; it cuts hot groups.
     ``size_keys`` are keys, a part of ``keys``, by which ``sized_by`` tells hot groups.
     """
     keys = list(keys)
-    ordinary, hot = split_hot(df, list(size_keys or keys), sized_by)
+    first = list(size_keys or keys)
+    rest = [k for k in keys if k not in first]
+    ordinary, hot = split_hot(df, first, [*rest, *order], sized_by)
     position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     ordinary = ordinary.withColumn(name, position.cast("long"))
     if hot is None:
         return ordinary
-    hot = hot.withColumn("_piece", piece)
-    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        hot.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, "_piece", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+        hot.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_rows"))
+        .select(*keys, SLICE, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     )
-    inside = F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy(*order))
+    inside = F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(*order))
     hot = (
         hot.withColumn("_inside", inside)
-        .join(offsets, [*keys, "_piece"])
+        .join(offsets, [*keys, SLICE])
         .withColumn(name, F.col("_offset") + F.col("_inside"))
     )
     columns = [*df.columns, name]

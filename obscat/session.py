@@ -1,9 +1,10 @@
-"""Session settings the library is written for."""
+"""Session settings the library is written for, and its folder for written tables."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -32,16 +33,5 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         "spark.checkpoint.dir", None
     )
     if base is None:
-        return tempfile.mkdtemp(prefix=f"obscat-{purpose}-")
-    run = spark.sparkContext.applicationId
-    return os.path.join(base, "obscat", purpose, run, next(_names))
-
-
-def _counter():
-    number = 0
-    while True:
-        yield f"{os.getpid()}-{number}"
-        number += 1
-
-
-_names = _counter()
+        return os.path.join(tempfile.mkdtemp(prefix=f"obscat-{purpose}-"), "t")
+    return os.path.join(base, "obscat", purpose, spark.sparkContext.applicationId, uuid.uuid4().hex)

@@ -21,7 +21,7 @@ from obscat.operators.fold import (
     ARRIVAL, CLOCK, KEY, finish, fold_state, last_per_key, mark_late, merge_states,
 )
 from obscat.operators.golden import ITEM, golden_record
-from obscat.operators.skew import order_slice, split_hot
+from obscat.operators.skew import SLICE, split_hot
 
 # Raw batch to observations, or to (observations, quarantined rows).
 Prepare = Callable[[DataFrame], DataFrame | tuple[DataFrame, DataFrame]]
@@ -29,12 +29,11 @@ Prepare = Callable[[DataFrame], DataFrame | tuple[DataFrame, DataFrame]]
 
 def batch_state(obs: DataFrame) -> DataFrame:
     """Fold state of one micro-batch; heavy keys are folded slice by slice."""
-    ordinary, hot = split_hot(obs, KEY)
+    ordinary, hot = split_hot(obs, KEY, [ARRIVAL])
     state = fold_state(ordinary)
     if hot is None:
         return state
-    hot = hot.withColumn("_slice", order_slice(obs, ARRIVAL))
-    return state.unionByName(merge_states(fold_state(hot, carry=("_slice",)), "_slice"))
+    return state.unionByName(merge_states(fold_state(hot, carry=(SLICE,)), SLICE))
 
 
 class Store:

@@ -91,7 +91,7 @@ def test_random_logs(spark, seed):
 
 @pytest.mark.parametrize("seed", range(3, 6))
 def test_random_logs_with_every_key_heavy(spark, every_key_hot, seed):
-    check(spark, random_log(seed))
+    check(spark, random_log(seed, 500))
 
 
 def test_states_merge_in_any_grouping(spark):
