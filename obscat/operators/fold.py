@@ -226,10 +226,9 @@ def relinks(
     obs: DataFrame, keys: Sequence[str] = KEY, arrival: str = ARRIVAL, clock: str = CLOCK
 ) -> DataFrame:
     """Accepted rows whose item differs from the previous accepted row of the same key."""
-    rows = accepted(
-        obs.select(*keys, arrival, clock, "entity_hash"), keys=keys, arrival=arrival, clock=clock
-    )
-    ordinary, hot = split_hot(rows, keys, [arrival])
+    log = obs.select(*keys, arrival, clock, "entity_hash")
+    rows = accepted(log, keys=keys, arrival=arrival, clock=clock)
+    ordinary, hot = split_hot(rows, keys, [arrival], sized_by=log)
     within = Window.partitionBy(*keys).orderBy(arrival)
     ordinary = ordinary.withColumn("previous_hash", F.lag("entity_hash").over(within))
     changed = F.col("previous_hash") != F.col("entity_hash")

@@ -35,7 +35,13 @@ def min_rows(df: DataFrame) -> int:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int] | None:
-    """The heavy keys of ``df`` as a small table and their row count; None without any."""
+    """The heavy keys of ``df`` as a small table and their row count; None without any.
+
+    A table with fewer rows than a heavy key needs has none; its row count comes from the
+    file footers when it is a scan.
+    """
+    if df.count() < min_rows(df):
+        return None
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     heavy = counts.where(F.col("_rows") >= min_rows(df)).orderBy(F.desc("_rows"), *keys)
     found = heavy.limit(MAX_HOT_KEYS).collect()

@@ -81,10 +81,10 @@ def snapshot(spark, sf_dir):
 
 # --- scan, projection, mask -------------------------------------------------------------
 
-@query("obs_scan", oracle("SELECT source, source_key, entity_hash, fetched_at FROM v_obs WHERE details_state = 'fetched'", "v_obs"))
+@query("obs_scan", oracle("SELECT source, source_key, entity_hash, fetched_at, details_state FROM v_obs", "v_obs"))
 def obs_scan(spark, sf_dir):
-    rows = view(spark, sf_dir, "v_obs").where(F.col("details_state") == "fetched")
-    return rows.select("source", "source_key", "entity_hash", "fetched_at")
+    rows = view(spark, sf_dir, "v_obs")
+    return rows.select("source", "source_key", "entity_hash", "fetched_at", "details_state")
 
 
 @query("sparse_projection", sql(

@@ -211,13 +211,13 @@ def allowed_types_forall(spark, sf_dir):
 
 
 @query("sort_modes", gold_sql(" UNION ALL ".join(
-    f"SELECT * FROM (SELECT '{mode}' AS mode, entity_hash, row_number() OVER (ORDER BY {column} DESC, entity_hash) AS position FROM golden) WHERE position <= 50"
+    f"SELECT * FROM (SELECT '{mode}' AS mode, entity_hash, row_number() OVER (ORDER BY {column} DESC, entity_hash) AS position FROM golden) WHERE position <= 500"
     for mode, column in (("sid", "popularity"), ("pir", "secondary_popularity"), ("size", "size_bytes"), ("other", "publish_date")))))
 def sort_modes(spark, sf_dir):
     items = golden(spark, sf_dir).select("entity_hash", *dict.fromkeys(se.SORTS.values()))
     out = None
     for mode in ("sid", "pir", "size", "other"):
-        top = items.orderBy(*se.sort_by(mode)).limit(50)
+        top = items.orderBy(*se.sort_by(mode)).limit(se.DEFAULT_LIMIT)
         listed = top.agg(F.collect_list(F.struct("*")).alias("l")).select(F.posexplode("l"))
         part = listed.select(
             F.lit(mode).alias("mode"), F.col("col.entity_hash").alias("entity_hash"),
