@@ -52,15 +52,15 @@ def _parameter(link: Column | str, name: str, value: str = "[^&#]*") -> Column:
 
 def normalize_hash(raw: Column | str) -> Column:
     """Lower-case hex of a 40/64 hex or 32/52 base-32 hash, NULL for anything else."""
-    return once(F.trim(col(raw)), _normalize_trimmed)
+    value = F.trim(col(raw))
+    is_hex = value.rlike("^(?:[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64})$")
+    return F.when(is_hex, F.lower(value)).otherwise(once(value, _from_base32))
 
 
-def _normalize_trimmed(value: Column) -> Column:
-    is_hex = value.rlike("^(?:[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64})$")
+def _from_base32(value: Column) -> Column:
+    digits = F.translate(F.upper(value), fixed.BASE32_FROM, fixed.BASE32_TO)
     is_base32 = value.rlike("^(?i:[A-Z2-7]{32}|[A-Z2-7]{52})$")
-    return F.when(is_hex, F.lower(value)).when(is_base32, once(
-        F.translate(F.upper(value), fixed.BASE32_FROM, fixed.BASE32_TO), _hex_of_base32
-    ))
+    return F.when(is_base32, once(digits, _hex_of_base32))
 
 
 def _hex_of_base32(digits: Column) -> Column:

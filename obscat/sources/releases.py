@@ -40,10 +40,12 @@ def release_items(found: DataFrame, bodies: DataFrame, host: str, body: str = "b
     items = bodies.select(
         "release_id", F.explode(F.from_json(body, ITEMS)).alias("i")
     ).select("release_id", "i.*")
-    stated, named = normalize_hash("hash"), link_hash("magnet")
+    stated, named = F.col("_stated"), F.col("_named")
     agree = stated.isNull() | named.isNull() | (stated == named)
-    items = items.where((F.col("id") > 0) & agree).withColumn(
-        "entity_hash", F.coalesce(stated, named)
+    items = (
+        items.withColumns({"_stated": normalize_hash("hash"), "_named": link_hash("magnet")})
+        .where((F.col("id") > 0) & agree)
+        .withColumn("entity_hash", F.coalesce(stated, named))
     )
     r = found.select(
         F.col("id").alias("release_id"), F.col("year").alias("release_year"),
@@ -81,7 +83,7 @@ def release_items(found: DataFrame, bodies: DataFrame, host: str, body: str = "b
 
 
 def _warnings() -> Column:
-    invalid = F.col("hash").isNotNull() & normalize_hash("hash").isNull()
+    invalid = F.col("hash").isNotNull() & F.col("_stated").isNull()
     return F.array_compact(
         F.array(
             F.when(invalid, "explicit_hash_invalid"),
