@@ -79,7 +79,22 @@ def unix_date(text: Column | str) -> Column:
     )
 
 
+def utc_naive(instant: Column | str) -> Column:
+    """Zone-less UTC reading of an instant, whatever the session zone."""
+    zero = F.lit(0)
+    seconds = (F.unix_micros(col(instant)).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    return F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + F.make_dt_interval(zero, zero, zero, seconds)
+
+
+def utc_instant(naive: Column | str) -> Column:
+    """Instant of a zone-less UTC reading, whatever the session zone."""
+    c = col(naive)
+    return F.make_timestamp_ltz(
+        F.year(c), F.month(c), F.day(c), F.hour(c), F.minute(c),
+        F.date_part(F.lit("SECOND"), c), F.lit("UTC"),
+    )
+
+
 def iso_date(text: Column | str) -> Column:
     """ISO-8601 with an offset, as UTC."""
-    local = F.try_to_timestamp(col(text))
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), local.cast("timestamp_ntz"))
+    return utc_naive(F.try_to_timestamp(col(text)))
