@@ -97,7 +97,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         F.octet_length("payload").cast("long").alias("payload_bytes"),
     )
     text = F.decode("header", "UTF-8")
-    field = lambda name: F.regexp_extract(text, rf"(?m)^{name}: (.*)\r$", 1)
+    field = lambda name: F.regexp_extract(text, rf"(?m)^{name}: ([^\r]*)\r\n", 1)
     number = lambda name: F.regexp_extract(field(name), r"^<urn:page:(-?\d+)>$", 1)
     headers = spark.read.parquet(f"{path}/headers").select(
         "address", "header",
