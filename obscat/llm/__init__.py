@@ -2,6 +2,8 @@
 
 from obscat.llm.registry import ORACLES, QUERIES  # isort: skip
 from obscat.llm import (  # noqa: F401
+    bpe,
+    topk,
     warc,
 )
 
