@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from obscat.llm.arrays import pieces
 from obscat.llm.registry import query, table
 
-#: Entries of a worker's table of encoded pieces; it is emptied when full.
+#: Entries of a worker's table of encoded pieces. A full one becomes the older one, from which
+#: entries still in use move to the new one, so at most two tables of this size are held.
 TABLE_ENTRIES = 250_000
 BATCH_BYTES = 8 << 20
 #: Four control characters that str.split takes for white space and the vocabulary's rules don't.
@@ -47,22 +48,30 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-def older_classes(pattern: str) -> str:
-    """``pattern`` with letters and numbers cut to those that Python's own Unicode tables know.
+# Letters and numbers (first and last code point) that the `regex` module knows and
+# the tokenizers library, which follows Unicode 16, takes for other characters.
+LATER_LETTERS = """
+0558-0558 058B-058C 088F-088F 0C5C-0C5C 0CDC-0CDC 208F-208F 209D-209F A7CE-A7CF A7D2-A7D2 A7D4-A7D4
+A7DD-A7DD A7E2-A7E2 A7F1-A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A-11B0A
+11DB0-11DDB 11DE0-11DE9 11DF1-11DF1 1246F-1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3
+16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128
+1B168-1B168 1D6A6-1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2
+1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E-2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+""".split()
 
-    The ``regex`` module knows later ones than the library that the vocabulary was made with.
-    """
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    late = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
-    spans: list[list[int]] = []
-    for c in map(ord, late):
-        if spans and spans[-1][1] == c - 1:
-            spans[-1][1] = c
-        else:
-            spans.append([c, c])
-    if not spans:
-        return pattern
-    cut = "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in spans)
+# First and last capital that Python's lower() does not know yet, and the first small letter.
+LATER_CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x019B),
+    (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+#: Sigma always gets its plain small form: its final form would need the neighbours.
+SMALL = {0x03A3: 0x03C3} | {c: small + c - a for a, b, small in LATER_CAPITALS for c in range(a, b + 1)}
+
+
+def older_classes(pattern: str) -> str:
+    """``pattern`` with the classes of letters and numbers cut to Unicode 16."""
+    cut = "".join("-".join(f"\\U{int(x, 16):08X}" for x in span.split("-")) for span in LATER_LETTERS)
     for name in (r"\p{L}", r"\p{N}"):
         pattern = pattern.replace(name, f"[{name}--[{cut}]]")
     return f"(?V1){pattern}"
@@ -87,10 +96,12 @@ class WordBpe:
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.words = regex.compile(older_classes(split["pattern"]["Regex"])).findall
         self.letters = dict(enumerate(byte_letters()))
-        self.longest = max(len(t.removesuffix(self.end)) for t in self.vocab)
+        bodies = [t.removesuffix(self.end) for t in self.vocab]
+        self.beginnings = {b[:n] for b in bodies for n in range(1, len(b) + 1)}
         self.apart: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
         self.table: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def merged(self, parts: list[str]) -> list[str]:
         """Merge neighbours, always the pair with the lowest rank, the leftmost of equals."""
@@ -119,10 +130,13 @@ class WordBpe:
             self.apart[a, b] = known
         return known
 
-    def last_token(self, word: str, n: int, states: list[int], suffix: str = "") -> int:
-        """State of the prefix of length ``n``, given the states of all shorter ones."""
+    def last_token(self, word: str, first: int, n: int, states: list[int], suffix: str = "") -> int:
+        """State of the prefix of length ``n``, given the states of all shorter ones.
+
+        No token that ends here starts before ``first``.
+        """
         vocab, apart = self.vocab, self.apart
-        for start in range(max(0, n - self.longest), n):
+        for start in range(first, n):
             token = vocab.get(word[start:n] + suffix)
             if token is None:
                 continue
@@ -133,7 +147,8 @@ class WordBpe:
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of distinct words, depth first over the trie of their letters."""
-        out, before, states = {}, "", [-1]
+        out, before, states, firsts = {}, "", [-1], [0]
+        beginnings = self.beginnings
         lengths: dict[int, int] = {}
         for word in sorted(words):
             shared = 0
@@ -141,10 +156,15 @@ class WordBpe:
                 if a != b:
                     break
                 shared += 1
-            del states[shared + 1 :]
-            for n in range(len(states), len(word)):
-                states.append(self.last_token(word, n, states))
-            tokens, n, token = [], len(word), self.last_token(word, len(word), states, self.end)
+            del states[shared + 1 :], firsts[shared + 1 :]
+            for n in range(len(states), len(word) + 1):
+                first = firsts[-1]
+                while first < n and word[first:n] not in beginnings:
+                    first += 1
+                if n < len(word):
+                    states.append(self.last_token(word, first, n, states))
+                    firsts.append(first)
+            tokens, n, token = [], len(word), self.last_token(word, first, len(word), states, self.end)
             while True:
                 tokens.append(token)
                 size = lengths.get(token)
@@ -165,12 +185,18 @@ class WordBpe:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            part = unicodedata.normalize("NFC", part)
-            # lower-case letter by letter: the final form of sigma needs its neighbours
-            for word in self.words(part.replace("Σ", "σ").lower()):
-                out.append(word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters))
+            if part.isascii():
+                part = part.lower()
+                out.extend([part] if part.isalpha() else map(self.as_letters, self.words(part)))
+                continue
+            part = unicodedata.normalize("NFC", part).translate(SMALL).lower()
+            out.extend(map(self.as_letters, self.words(part)))
         return out
 
+    def as_letters(self, word: str) -> str:
+        """A word as letters of its bytes."""
+        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+
     def learn(self, texts: Iterable[str]) -> None:
         """Add pieces to the table."""
         split = {t: self.pretokens(t) for t in texts}
@@ -187,12 +213,14 @@ class WordBpe:
         """``(ids as little-endian 32-bit integers, decoded text)`` of every text."""
         split = [SPACES.split(t) if SPACES_OF_PYTHON_ONLY.search(t) else t.split() for t in texts]
         if len(self.table) > TABLE_ENTRIES:
-            self.table.clear()
+            self.table, self.older = {}, self.table
         if len(self.apart) > 4 * TABLE_ENTRIES:
             self.apart.clear()
         new = set().union(*split).difference(self.table)
         new.discard("")
-        self.learn(new)
+        known = new.intersection(self.older)
+        self.table.update((t, self.older[t]) for t in known)
+        self.learn(new - known)
         out, get = [], self.table.__getitem__
         for chunks in split:
             found = list(map(get, filter(None, chunks)))

@@ -143,7 +143,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     last = segments.agg(F.max("segment")).first()[0]
     if last is None:
         last = -1
-    spread = groups.select(F.explode(F.sequence(F.lit(0), F.lit(max(0, last)))).cast("long").alias("segment"), "qids", "qm")
+    spread = groups.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, last)).cast("long"))).alias("segment"), "qids", "qm")
     found = spread.join(segments, "segment").select("ids", "m", "qids", "qm") \
         .mapInArrow(_score(k), "query_id long, vec_id long, score long")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
