@@ -14,7 +14,6 @@ def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = os.path.join(tempfile.gettempdir(), "obscat-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
 
 
