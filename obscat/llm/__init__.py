@@ -4,6 +4,7 @@ from obscat.llm.registry import ORACLES, QUERIES  # isort: skip
 from obscat.llm import (  # noqa: F401
     bpe,
     langid,
+    licenses,
     secrets,
     topk,
     warc,
