@@ -146,7 +146,7 @@ class Scanner:
         for state in self.automaton.states:
             found = []
             while state.link >= 0:
-                found += [(t, end) for t, end in state.ends if t < self.phrases and end == self.sizes[t]]
+                found += [(t, end) for t, end in state.ends if t < self.phrases and end == self.sizes[t] <= state.length]
                 state = self.automaton.states[state.link]
             self.whole.append(sorted(set(found)))
 
