@@ -5,6 +5,7 @@ from obscat.llm import (  # noqa: F401
     bpe,
     langid,
     licenses,
+    pii,
     secrets,
     topk,
     warc,
