@@ -7,6 +7,7 @@ from obscat.llm import (  # noqa: F401
     langid,
     licenses,
     pii,
+    quality,
     secrets,
     topk,
     warc,

@@ -127,7 +127,7 @@ def train(docs: DataFrame) -> DataFrame:
     orders = []
     for counts in (tri, bi, uni):
         discount = counts.groupBy("lang").agg(
-            (F.count_if(F.col("n") == 1) / (F.count_if(F.col("n") == 1) + 2 * F.count_if(F.col("n") == 2))).alias("d"))
+            F.try_divide(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 1) + 2 * F.count_if(F.col("n") == 2)).alias("d"))
         counts = counts.join(discount.select("lang", F.coalesce(F.nullif("d", F.lit(0.0)), F.lit(0.5)).alias("d")), "lang")
         context = Window.partitionBy("lang", "ctx")
         orders.append(

@@ -6,7 +6,7 @@ information PMI(e; t) = log(n(t, e) n / (n(t) n(e))) as a share of the entity's
 IC(e) = log(n / n(e)). From ``GENERALISE`` on a term is generalised, from ``REMOVE`` on it is
 removed; it must stand near the entity in ``MIN_SUPPORT`` documents at least. All counts cover
 the whole table; the document counts of terms come from a second scan that only looks at words
-which a bitmap of fixed size (``BITMAP_BITS``) may hold, so what tasks receive does not grow.
+which a bitmap of fixed size may hold, so what tasks receive does not grow.
 
 Cases: a null text counts as empty; a text without personal data has empty spans and the digest of
 no bytes; texts are scanned whole; repeated rows count as documents of their own and give repeated
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obscat.llm.arrays import ALNUM_WORD, LOWER, byte_class, pieces, rows_of, runs, stretch_hashes
+from obscat.llm.bitmaps import bitmap, may_hold
 from obscat.llm.registry import query, table
 from obscat.llm.spans import Texts, digest, joined, replaced
 from obscat.llm.store import written
@@ -41,7 +42,6 @@ COLUMNS = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 CONTEXT_WORDS = 5
 GENERALISE, REMOVE = 0.9, 0.99
 MIN_SUPPORT = 2
-BITMAP_BITS = 1 << 23
 
 _DIGIT = byte_class((0x30, 0x39))
 
@@ -191,24 +191,6 @@ def _found(keep_text: bool):
     return run
 
 
-def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """Bitmap of ``BITMAP_BITS`` bits in which the bit of every hash is set; its size is fixed."""
-    bit = F.pmod(F.col(column), F.lit(BITMAP_BITS))
-    words = (
-        hashes.select(F.shiftright(bit, 5).alias("w"), F.expr(f"shiftleft(1L, CAST(pmod({column}, 32) AS INT))").alias("b"))
-        .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    )
-    out = np.zeros(BITMAP_BITS // 32, np.uint32)
-    out[words.column("w").to_numpy()] = words.column("b").to_numpy().astype(np.uint32)
-    return out
-
-
-def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Whether the bit of every hash is set."""
-    at = hashes & np.uint64(BITMAP_BITS - 1)
-    return (bits[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
-
-
 def _document_counts(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
