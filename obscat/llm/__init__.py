@@ -3,6 +3,7 @@
 from obscat.llm.registry import ORACLES, QUERIES  # isort: skip
 from obscat.llm import (  # noqa: F401
     bpe,
+    decontam,
     dedup,
     langid,
     licenses,
