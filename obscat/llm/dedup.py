@@ -7,10 +7,11 @@ so ``rows`` squared tables need only ``2 * rows * width`` minimum hashes. A pair
 shares a table with probability (1 - (1 - s**width)**rows)**2.
 
 No bucket is expanded to all pairs. First every member of a bucket is compared with one member,
-another one in every table, chosen by a hash; the links found give components. Only members of a
-bucket that are still in different components are compared further, in exact fashion: components
-that meet in a bucket are compared member by member, within bands of set sizes that can be similar,
-so no pair of a bucket goes unseen. Pairs are checked on the full sets of their texts.
+chosen by one of ``ORDERS`` orders; the links found give components. Only buckets whose members are
+still in different components are looked at further: their rows meet in blocks of bounded size, and
+a task gives out those pairs of different components whose minimum hashes agree often enough, each
+pair in the first table it shares only, so no pair of a bucket goes unseen and none is given out
+that cannot be similar. Pairs are checked on the full sets of their texts.
 
 Components come from alternating hooking on the smallest neighbour and pointer jumping over
 written tables; links never reach the driver.
@@ -37,6 +38,11 @@ from obscat.llm.store import written
 
 #: Minimum hashes per compound hash.
 WIDTH = 2
+#: Orders by which a bucket chooses the member that all others are compared with.
+ORDERS = 5
+#: Members of a block, and pairs that a task looks at in one go.
+BLOCK = 512
+PAIRS_AT_ONCE = 1 << 20
 _SEEDS = np.random.default_rng(5).integers(1, 1 << 63, (2, 64), dtype=np.uint64) | np.uint64(1)
 
 
@@ -79,30 +85,43 @@ def _signatures(k: int, rows: int):
     return run
 
 
+def _compound(mins: np.ndarray) -> np.ndarray:
+    """Both collections of compound hashes: shape (texts, 2, rows)."""
+    out = np.zeros(mins.shape[:3], np.uint64)
+    for w in range(WIDTH):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + mins[..., w])
+    return out
+
+
+def _key(a: np.ndarray, b: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return mixed(a * _SEEDS[0, 62] + b + number.astype(np.uint64) * _SEEDS[0, 61])
+
+
+def _unpacked(column: pa.Array, rows: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, 2, rows, WIDTH)
+
+
 def _table_keys(rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            mins = np.frombuffer(b"".join(batch.column("mins").to_pylist()), np.uint32).reshape(batch.num_rows, 2, rows, WIDTH)
-            compound = np.zeros((batch.num_rows, 2, rows), np.uint64)
-            for w in range(WIDTH):
-                compound = mixed(compound * np.uint64(0x9E3779B97F4A7C15) + mins[..., w])
-            number = np.arange(rows * rows, dtype=np.uint64).reshape(rows, rows)
-            keys = mixed(compound[:, 0, :, None] * _SEEDS[0, 62] + compound[:, 1, None, :] + number * _SEEDS[0, 61])
-            n = rows * rows
-            yield pa.RecordBatch.from_arrays([
-                pa.array(keys.reshape(-1).view(np.int64)),
-                pa.array(np.repeat(batch.column("id").to_numpy(), n)), pa.array(np.repeat(batch.column("n").to_numpy(), n)),
-            ], names=["key", "id", "n"])
+            compound = _compound(_unpacked(batch.column("mins"), rows))
+            number = np.arange(rows * rows).reshape(rows, rows)
+            keys = _key(compound[:, 0, :, None], compound[:, 1, None, :], number)
+            ids = np.repeat(batch.column("id").to_numpy(), rows * rows)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "id"])
 
     return run
 
 
-def _agreement(rows: int, threshold: float):
-    """Keep pairs whose minimum hashes agree as often as those of similar sets do, but for one in ten million."""
+def _least(rows: int, threshold: float) -> int:
+    """Fewest agreeing minimum hashes of a similar pair, four standard deviations below the mean."""
     hashes = 2 * rows * WIDTH
-    least = max(0, int(np.floor(hashes * threshold - 5.3 * np.sqrt(hashes * threshold * (1 - threshold)))))
+    return max(1, int(np.floor(hashes * threshold - 4 * np.sqrt(hashes * threshold * (1 - threshold)))))
+
+
+def _agreement(rows: int, threshold: float):
+    """Keep pairs whose minimum hashes agree often enough."""
+    hashes, least = 2 * rows * WIDTH, _least(rows, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,20 +150,20 @@ def _similar(k: int, percent: int):
     return run
 
 
-def checked(pairs: DataFrame, texts: DataFrame, signatures: DataFrame, k: int, percent: int, rows: int) -> DataFrame:
-    """The pairs ``(x, y)`` whose full sets are similar enough.
-
-    ``signatures`` is ``(id, mins)`` and rules out pairs that cannot be; ``texts`` is ``(id, text)``.
-    """
+def likely_pairs(pairs: DataFrame, signatures: DataFrame, percent: int, rows: int) -> DataFrame:
+    """The pairs ``(x, y)`` that their signatures ``(id, mins)`` don't rule out."""
     sig = lambda i, m: signatures.select(F.col("id").alias(i), F.col("mins").alias(m))
-    likely = written(
-        pairs.join(sig("x", "ma"), "x").join(sig("y", "mb"), "y").select("x", "y", "ma", "mb")
-        .mapInArrow(_agreement(rows, percent / 100), "x long, y long"), "pairs")
-    needed = likely.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    return pairs.join(sig("x", "ma"), "x").join(sig("y", "mb"), "y").select("x", "y", "ma", "mb") \
+        .mapInArrow(_agreement(rows, percent / 100), "x long, y long")
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs ``(x, y)`` whose full sets are similar enough; ``texts`` is ``(id, text)``."""
+    needed = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     used = texts.join(needed, "id", "left_semi")
     text = lambda i, t: used.select(F.col("id").alias(i), F.col("text").alias(t))
-    return likely.join(text("x", "tx"), "x").join(text("y", "ty"), "y").select("x", "y", "tx", "ty") \
-        .mapInArrow(_similar(k, percent), "x long, y long")
+    return pairs.join(text("x", "tx"), "x").join(text("y", "ty"), "y").select("x", "y", "tx", "ty") \
+        .mapInArrow(_similar(k, percent), "x long, y long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -171,17 +190,77 @@ def components(edges: DataFrame) -> DataFrame:
         label = label.select("id", "root")
 
 
-def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket in different components, within sizes that can be similar."""
-    ratio = float(-np.log(percent / 100))
-    band = F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int") if ratio > 0 else F.col("n").cast("int")
-    banded = members.withColumn("band", band)
-    left = banded.select("key", F.col("band"), F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
-    right = banded.select("key", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("id").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"))
-    size = (100 * F.col("nx") >= percent * F.col("ny")) & (100 * F.col("ny") >= percent * F.col("nx"))
+def _pairs_in_groups(rows: int, percent: int):
+    """Likely pairs of different components from rows sorted by group ``(key, lo, hi)``."""
+    least = _least(rows, percent / 100)
+
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = t.combine_chunks()
+        key, lo, hi, own, ids, n, root = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "own", "id", "n", "root"))
+        mins = _unpacked(t.column("mins"), rows)
+        compound, flat = _compound(mins), mins.reshape(len(ids), -1)
+        fresh = np.ones(len(ids), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        start = np.maximum.accumulate(np.where(fresh, np.arange(len(ids)), 0))
+        before = np.arange(len(ids)) - start
+        total = np.concatenate([[0], np.cumsum(before)])
+        done = 0
+        while done < len(ids):
+            stop = max(done + 1, int(np.searchsorted(total, total[done] + PAIRS_AT_ONCE, side="right")) - 1)
+            left = np.repeat(np.arange(done, stop), before[done:stop])
+            right = start[left] + np.arange(len(left)) - (total[left] - total[done])
+            done = stop
+            fit = (root[left] != root[right]) & ((lo[left] == hi[left]) | (own[left] != own[right])) & (ids[left] != ids[right])
+            fit &= (100 * n[left] >= percent * n[right]) & (100 * n[right] >= percent * n[left])
+            left, right = left[fit], right[fit]
+            fit = (flat[left] == flat[right]).sum(axis=1) >= least
+            left, right = left[fit], right[fit]
+            same = compound[left] == compound[right]
+            a, b = same[:, 0].argmax(axis=1), same[:, 1].argmax(axis=1)
+            first = _key(compound[left, 0, a], compound[left, 1, b], a * rows + b).view(np.int64) == key[left]
+            x, y = ids[left[first]], ids[right[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = ("key", "lo", "hi")
+            last = [batch.column(c)[-1].as_py() for c in names]
+            tail = np.ones(batch.num_rows, bool)
+            for c, v in zip(names, last):
+                tail &= batch.column(c).to_numpy() == v
+            cut = int(np.argmax(tail))
+            if cut:
+                yield from pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = [batch.slice(cut)]
+            elif held and all(held[-1].column(c)[-1].as_py() == v for c, v in zip(names, last)):
+                held.append(batch)
+            else:
+                if held:
+                    yield from pairs(pa.Table.from_batches(held))
+                held = [batch]
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return run
+
+
+def unlinked_pairs(members: DataFrame, signatures: DataFrame, percent: int, rows: int) -> DataFrame:
+    """Likely pairs ``(x, y)`` of buckets that hold several components; ``members`` is ``(key, id, n, root)``.
+
+    A bucket of more than ``BLOCK`` members is cut into blocks by a hash, and every two blocks meet.
+    """
+    split = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rest = members.join(split.select("key", blocks.alias("blocks")), "key") \
+        .select("key", "id", "n", "root", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     return (
-        left.join(right, ["key", "band"]).where((F.col("rx") != F.col("ry")) & size)
-        .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        rest.join(signatures, "id")
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "root", "mins")
+        .repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+        .mapInArrow(_pairs_in_groups(rows, percent), "x long, y long")
     )
 
 
@@ -202,18 +281,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     reps = classes.select(F.col("rep").alias("id"), "n", "mins")
     # an id with several texts has one class per text: its links are found for each of them
     signatures = reps.select("id", "mins").dropDuplicates(["id", "mins"])
-    keyed = written(reps.mapInArrow(_table_keys(rows), "key long, id long, n long"), "keys")
-    pick = F.struct(F.xxhash64("id", "key").alias("h"), "id")
+    keyed = written(reps.mapInArrow(_table_keys(rows), "key long, id long"), "keys")
+    pick = F.struct(F.xxhash64("id", F.pmod("key", F.lit(ORDERS))).alias("h"), "id")
     buckets = keyed.groupBy("key").agg(F.min(pick)["id"].alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "centre")
     members = written(keyed.join(buckets, "key"), "members")
     stars = members.where("id <> centre").select(F.least("id", "centre").alias("x"), F.greatest("id", "centre").alias("y")).distinct()
     texts = docs.select(docs[id_column].cast("long").alias("id"), docs[text].cast("string").alias("text")).where("id IS NOT NULL")
-    links = written(checked(stars, texts, signatures, k, percent, rows), "links")
+    asked = written(likely_pairs(stars, signatures, percent, rows), "pairs")
+    links = written(similar_pairs(asked, texts, k, percent), "links")
     found = components(links)
-    rooted = members.join(found, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rest = _cross_pairs(rooted.join(split, "key", "left_semi"), percent).join(stars, ["x", "y"], "left_anti")
-    more = written(checked(rest, texts, signatures, k, percent, rows), "links")
+    sizes = reps.select("id", "n").dropDuplicates()
+    rooted = members.select("key", "id").join(sizes, "id").join(found, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    rest = written(unlinked_pairs(rooted, signatures, percent, rows).distinct().join(asked, ["x", "y"], "left_anti"), "pairs")
+    more = written(similar_pairs(rest, texts, k, percent), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     rooted = classes.join(found, classes["rep"] == found["id"], "left").select("a", "b", "n", F.coalesce("root", "rep").alias("root"), "rep")
