@@ -50,10 +50,7 @@ def merge_facts(facts: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
 def suffix_facts(facts: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
     """Repeated labels numbered: ``Audio``, ``Audio 2``, and so on."""
     keyed = clean_facts(facts).withColumn("_k", F.lower("label"))
-    counted = numbered(
-        keyed, [PAGE, "_k"], [F.col(c) for c in order], "_n",
-        sized_by=facts, size_keys=[PAGE],
-    )
+    counted = numbered(keyed, [PAGE, "_k"], [F.col(c) for c in order], "_n")
     key = F.when(F.col("_n") > 1, F.concat_ws(" ", "label", "_n")).otherwise(F.col("label"))
     return counted.withColumn("key", key).drop("_k", "_n")
 

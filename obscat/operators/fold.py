@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from obscat.operators.skew import SLICE, split_hot
+from obscat.operators.skew import SLICE, earlier_slices, join_slices, sliced
 from obscat.schema import (
     ALWAYS_OBSERVED,
     FIELD_BITS,
@@ -48,37 +48,26 @@ def sparse(obs: DataFrame) -> DataFrame:
     return obs.select(*out)
 
 
+def _marked(obs: DataFrame, keys: Sequence[str], arrival: str, clock: str) -> DataFrame:
+    """The log with its slices and ``late``, partitioned by key and slice."""
+    rows = sliced(obs, keys, [arrival], keep=True)
+    inside = Window.partitionBy(*keys, SLICE).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    slices = rows.groupBy(*keys, SLICE).agg(F.max(clock).alias("_newest"))
+    earlier = slices.select(*keys, SLICE, F.max("_newest").over(earlier_slices(keys)).alias("_earlier"))
+    marked = join_slices(rows.withColumn("_inside", F.max(clock).over(inside)), earlier, keys)
+    newest = F.greatest("_inside", "_earlier")
+    late = newest.isNotNull() & (F.col(clock).isNull() | F.coalesce(F.col(clock) < newest, F.lit(False)))
+    return marked.select(*obs.columns, SLICE, late.alias("late"))
+
+
 def mark_late(
     obs: DataFrame, keys: Sequence[str] = KEY, arrival: str = ARRIVAL, clock: str = CLOCK
 ) -> DataFrame:
-    """Add ``late``: an earlier arrival of the same key has a newer ``clock``."""
-    ordinary, hot = split_hot(obs, keys, [arrival])
-    before = Window.partitionBy(*keys).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    newest = F.max(clock).over(before)
-    ordinary = ordinary.withColumn("late", F.coalesce(F.col(clock) < newest, F.lit(False)))
-    if hot is None:
-        return ordinary
-
-    sliced = [*keys, SLICE]
-    inside = Window.partitionBy(*sliced).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = _earlier_slices(hot, keys, clock)
-    hot = (
-        hot.withColumn("_inside", F.max(clock).over(inside))
-        .join(earlier, sliced)
-        .withColumn(
-            "late",
-            F.coalesce(F.col(clock) < F.greatest("_inside", "_earlier"), F.lit(False)),
-        )
-    )
-    columns = [*obs.columns, "late"]
-    return ordinary.select(*columns).unionByName(hot.select(*columns))
-
+    """Add ``late``: an earlier arrival of the same key has a newer ``clock``.
 
-def _earlier_slices(hot: DataFrame, keys: Sequence[str], clock: str) -> DataFrame:
-    """Newest clock of all slices before each slice; one row per slice."""
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    slices = hot.groupBy(*keys, SLICE).agg(F.max(clock).alias("_newest"))
-    return slices.select(*keys, SLICE, F.max("_newest").over(before).alias("_earlier"))
+    A row without a clock is older than any with one.
+    """
+    return _marked(obs, list(keys), arrival, clock).drop(SLICE)
 
 
 def accepted(obs: DataFrame, **kwargs) -> DataFrame:
@@ -121,14 +110,12 @@ def fold_state(
         order = F.col("_n") if when is None else F.when(when, F.col("_n"))
         return F.max_by(F.struct(at, *columns), order)
 
+    fields = _fields(obs.columns)
     states = [
         F.max(clock).alias("newest"),
         last(_followers(obs.columns, group)).alias("row"),
-        *[
-            F.max(F.when(has(f), F.col(clock))).alias(f"seen_{f}")
-            for f in FIELD_BITS
-        ],
-        *[last(cols, has(f)).alias(f"last_{f}") for f, cols in _fields(obs.columns).items()],
+        *[last([], has(f)).alias(f"last_{f}") for f in FIELD_BITS if f not in fields],
+        *[last(cols, has(f)).alias(f"last_{f}") for f, cols in fields.items()],
     ]
     if "details" in obs.columns:
         kept = ~F.col("details_state").isin(*RETAINING_STATES)
@@ -144,8 +131,8 @@ def merge_states(states: DataFrame, order: str, keys: Sequence[str] = KEY) -> Da
     before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     states = states.withColumn("_bar", F.max("newest").over(before))
 
-    def valid(at: Column) -> Column:
-        return at.isNotNull() & (F.col("_bar").isNull() | (at >= F.col("_bar")))
+    def valid(name: str) -> Column:
+        return F.col(name).isNotNull() & (F.col("_bar").isNull() | (F.col(name)["at"] >= F.col("_bar")))
 
     out = []
     for name in states.columns:
@@ -155,10 +142,8 @@ def merge_states(states: DataFrame, order: str, keys: Sequence[str] = KEY) -> Da
             out.append(F.max(name).alias(name))
         elif name == "first_details":
             out.append(F.min_by(name, order).alias(name))
-        elif name.startswith("seen_"):
-            out.append(F.max(F.when(valid(F.col(name)), F.col(name))).alias(name))
         else:
-            out.append(F.max_by(name, F.when(valid(F.col(name)["at"]), F.col(order))).alias(name))
+            out.append(F.max_by(name, F.when(valid(name), F.col(order))).alias(name))
     return states.groupBy(*keys).agg(*out)
 
 
@@ -167,13 +152,12 @@ def finish(states: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     names = states.columns
     row = [f.name for f in states.schema["row"].dataType.fields if f.name != "at"]
     out = [*keys, *[F.col("row")[c].alias(c) for c in row]]
-    for field, cols in MASKED_COLUMNS.items():
-        if f"last_{field}" in names:
-            out += [F.col(f"last_{field}")[c].alias(c) for c in cols]
+    for field, cols in _fields_of(states).items():
+        out += [F.col(f"last_{field}")[c].alias(c) for c in cols]
     mask = F.lit(0).cast("long")
     for field, bit in FIELD_BITS.items():
         mask = mask.bitwiseOR(
-            F.when(F.col(f"seen_{field}").isNotNull(), F.lit(bit)).otherwise(F.lit(0)).cast("long")
+            F.when(F.col(f"last_{field}").isNotNull(), F.lit(bit)).otherwise(F.lit(0)).cast("long")
         )
     out.append(mask.alias("observed_fields"))
     if "last_details" in names:
@@ -184,71 +168,37 @@ def finish(states: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     return states.select(*out)
 
 
-def fold_plain(
-    obs: DataFrame, keys: Sequence[str] = KEY, arrival: str = ARRIVAL, clock: str = CLOCK
-) -> DataFrame:
-    """Current row per key in one shuffle, for keys that fit a task."""
-    rows = _not_late(obs, keys, arrival, clock)
-
-    def last(columns: Sequence[str], when: Column | None = None) -> Column:
-        return F.max_by(F.struct(*columns), F.col("_n") if when is None else F.when(when, F.col("_n")))
-
-    aggregates = [
-        last(_followers(obs.columns, keys)).alias("row"),
-        F.bit_or("observed_fields").alias("mask"),
-        *[last(cols, has(f)).alias(f"last_{f}") for f, cols in _fields(obs.columns).items()],
-    ]
-    if "details" in obs.columns:
-        replaced = (F.col("_n") == 1) | ~F.col("details_state").isin(*RETAINING_STATES)
-        aggregates.append(last(["details"], replaced).alias("kept"))
-    folded = rows.groupBy(*keys).agg(*aggregates)
-    out = [*keys, "row.*"]
-    out += [F.col(f"last_{f}.{c}") for f, cols in _fields(obs.columns).items() for c in cols]
-    out.append(F.col("mask").alias("observed_fields"))
-    if "details" in obs.columns:
-        out.append(F.coalesce("kept.details", F.lit("{}")).alias("details"))
-    return folded.select(*out)
+def _fields_of(states: DataFrame) -> dict[str, tuple[str, ...]]:
+    """Masked columns that the states carry."""
+    held = {f.name: f.dataType.names for f in states.schema.fields if f.name.startswith("last_")}
+    return {f: cols for f, cols in MASKED_COLUMNS.items() if set(cols) <= set(held.get(f"last_{f}", ()))}
 
 
 def fold(
     obs: DataFrame, keys: Sequence[str] = KEY, arrival: str = ARRIVAL, clock: str = CLOCK
 ) -> DataFrame:
-    """Current row per key. Heavy keys are folded slice by slice, then merged."""
-    ordinary, hot = split_hot(obs, keys, [arrival])
-    folded = fold_plain(ordinary, keys, arrival, clock)
-    if hot is None:
-        return folded
-    states = fold_state(hot, keys, arrival, clock, carry=(SLICE,))
-    return folded.unionByName(finish(merge_states(states, SLICE, keys), keys))
+    """Current row per key: states of the slices of each key, merged.
+
+    Bits of the mask beyond the known fields are no observation and are dropped.
+    """
+    states = fold_state(sliced(obs, keys, [arrival]), keys, arrival, clock, carry=(SLICE,))
+    return finish(merge_states(states, SLICE, keys), keys)
 
 
 def relinks(
     obs: DataFrame, keys: Sequence[str] = KEY, arrival: str = ARRIVAL, clock: str = CLOCK
 ) -> DataFrame:
     """Accepted rows whose item differs from the previous accepted row of the same key."""
+    keys = list(keys)
     log = obs.select(*keys, arrival, clock, "entity_hash")
-    rows = accepted(log, keys=keys, arrival=arrival, clock=clock)
-    ordinary, hot = split_hot(rows, keys, [arrival], sized_by=log)
-    within = Window.partitionBy(*keys).orderBy(arrival)
-    ordinary = ordinary.withColumn("previous_hash", F.lag("entity_hash").over(within))
-    changed = F.col("previous_hash") != F.col("entity_hash")
-    if hot is None:
-        return ordinary.where(changed)
-
-    sliced = [*keys, SLICE]
-    ends = hot.groupBy(*sliced).agg(F.max_by("entity_hash", arrival).alias("_end"))
-    carried = ends.select(
-        *sliced, F.lag("_end").over(Window.partitionBy(*keys).orderBy(SLICE)).alias("_carried")
-    )
-    inside = Window.partitionBy(*sliced).orderBy(arrival)
-    hot = (
-        hot.withColumn("_lag", F.lag("entity_hash").over(inside))
-        .join(carried, sliced)
-        .withColumn("previous_hash", F.coalesce("_lag", "_carried"))
-    )
-    columns = [*rows.columns, "previous_hash"]
-    both = ordinary.select(*columns).unionByName(hot.select(*columns))
-    return both.where(changed)
+    rows = _marked(log, keys, arrival, clock).where(~F.col("late")).drop("late")
+    inside = Window.partitionBy(*keys, SLICE).orderBy(arrival)
+    ends = rows.groupBy(*keys, SLICE).agg(F.max_by(F.struct("entity_hash"), arrival).alias("_end"))
+    carried = ends.select(*keys, SLICE, F.lag("_end").over(Window.partitionBy(*keys).orderBy(SLICE)).alias("_carried"))
+    first = F.row_number().over(inside) == 1
+    joined = join_slices(rows.select("*", F.lag("entity_hash").over(inside).alias("_lag"), first.alias("_first")), carried, keys)
+    previous = F.when(F.col("_first"), F.col("_carried.entity_hash")).otherwise(F.col("_lag"))
+    return joined.select(*log.columns, previous.alias("previous_hash")).where(F.col("previous_hash") != F.col("entity_hash"))
 
 
 def media_links(

@@ -1,8 +1,8 @@
 """One canonical row per item, elected field by field from its current observations.
 
 Everything is an aggregate that combines before the shuffle, so an item with a third of all
-observations costs one partial row per task, not one task. The value sets of such an item
-are united value by value; those of an ordinary item inside its aggregate.
+observations costs one partial row per task, not one task. Value sets are united value by value,
+so only distinct values of an item meet.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obscat.functions.links import announce_urls, build_link
-from obscat.operators.skew import numbered, split_hot
+from obscat.operators.skew import numbered
 from obscat.schema import FIELD_BITS, SOURCES, has, source_ordinal, state_rank
 
 ITEM = "entity_hash"
@@ -55,55 +55,15 @@ def fresh_max(column: str, field: str, fresh: Column, rank: Column) -> Column:
     return F.coalesce(F.when(F.max(fresh), among).otherwise(newest), F.lit(0))
 
 
-def union_arrays(column: str, field: str) -> Column:
-    """Union of observed string arrays: blanks dropped, case ignored, smallest spelling kept."""
-    distinct = F.array_distinct(F.flatten(F.collect_set(F.when(has(field), F.col(column)))))
-    return fold_case(distinct)
-
-
-def fold_case(values: Column) -> Column:
-    """Case-insensitive distinct, smallest spelling kept, ordered by the lower-cased value."""
-    pairs = F.transform(
-        F.filter(values, lambda v: F.trim(v) != ""),
-        lambda v: F.struct(F.lower(v).alias("k"), v.alias("v")),
-    )
-    ordered = F.array_sort(pairs)
-    return F.aggregate(
-        ordered,
-        F.array().cast("array<struct<k:string,v:string>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["k"] == x["k"]), acc
-        ).otherwise(F.concat(acc, F.array(x))),
-        lambda acc: F.transform(acc, lambda x: x["v"]),
-    )
-
-
-def union_ints(column: str, field: str) -> Column:
-    """Sorted distinct union of observed int arrays."""
-    return F.array_sort(
-        F.array_distinct(F.flatten(F.collect_set(F.when(has(field), F.col(column)))))
-    )
-
-
 SETS = ("types", "languages", "voices", "seasons", "announce")
 
 
 def golden_record(
     snapshot: DataFrame, as_of: str, freshness_minutes: int = FRESHNESS_MINUTES, sources=SOURCES,
-    sized_by: DataFrame | None = None,
 ) -> DataFrame:
-    """Canonical rows of all items with at least one current observation.
-
-    ``sized_by``, best the log the snapshot was folded from, tells the heavy items.
-    """
-    ordinary, hot = split_hot(snapshot, [ITEM], sized_by=sized_by)
-    settings = (as_of, freshness_minutes, sources)
-    items = _canonical(_elections(ordinary, *settings, inline_sets=True), as_of)
-    if hot is None:
-        return items
-    elected = _elections(hot, *settings, inline_sets=False)
-    heavy = elected.join(_value_sets(hot), ITEM, "left")
-    return items.unionByName(_canonical(heavy, as_of))
+    """Canonical rows of all items with at least one current observation."""
+    elected = _elections(snapshot, as_of, freshness_minutes, sources)
+    return _canonical(elected.join(_value_sets(snapshot), ITEM, "left"), as_of)
 
 
 def _value_sets(rows: DataFrame) -> DataFrame:
@@ -127,19 +87,11 @@ def _value_sets(rows: DataFrame) -> DataFrame:
     return distinct.groupBy(ITEM).agg(*[c.alias(n) for n, c in sets.items()])
 
 
-def _elections(
-    rows: DataFrame, as_of: str, freshness_minutes: int, sources, inline_sets: bool
-) -> DataFrame:
+def _elections(rows: DataFrame, as_of: str, freshness_minutes: int, sources) -> DataFrame:
     rank = rank_key(sources)
     cutoff = F.expr(f"TIMESTAMP_NTZ '{as_of}' - INTERVAL {int(freshness_minutes)} MINUTES")
     fresh = F.col("fetched_at") >= cutoff
     fallback = [c for columns in ELECTED.values() for c in columns]
-    sets = []
-    if inline_sets:
-        rows = rows.withColumn("_announce", announce_urls("link"))
-        sets = [union_arrays(c, c).alias(c) for c in ("types", "languages", "voices")]
-        sets.append(union_ints("seasons", "seasons").alias("seasons"))
-        sets.append(F.array_distinct(F.flatten(F.collect_set("_announce"))).alias("announce"))
     return rows.groupBy(ITEM).agg(
         F.max_by(F.struct("source", "source_url", "fetched_at", *fallback), rank).alias("top"),
         *[elect(field, rank).alias(f"best_{field}") for field in ELECTED],
@@ -147,7 +99,6 @@ def _elections(
         fresh_max("secondary_popularity", "secondary_popularity", fresh, rank).alias(
             "secondary_popularity"
         ),
-        *sets,
     )
 
 
@@ -178,13 +129,11 @@ def _canonical(best: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def rank_observations(
-    snapshot: DataFrame, sources=SOURCES, sized_by: DataFrame | None = None
-) -> DataFrame:
+def rank_observations(snapshot: DataFrame, sources=SOURCES) -> DataFrame:
     """Every current observation with its position inside its item, 1 best."""
     rows = snapshot.withColumn("_rank", rank_key(sources))
     order = [F.desc("_rank")]
-    return numbered(rows, [ITEM], order, "position", sized_by).drop("_rank")
+    return numbered(rows, [ITEM], order, "position").drop("_rank")
 
 
 def size_conflicts(snapshot: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obscat.functions.text import distinct_ci, parsed_info, search_tokens, size_label
+from obscat.operators.skew import numbered
 
 DEFAULT_LIMIT = 500
 MAX_LIMIT = 2_000
@@ -57,8 +58,10 @@ def _grams(text: Column, size: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def many_titles(items: DataFrame, queries: DataFrame, item: str = "entity_hash") -> DataFrame:
-    """``(query_id, item)`` for many title queries at once.
+def many_titles(
+    items: DataFrame, queries: DataFrame, item: str = "entity_hash", limit: int = DEFAULT_LIMIT,
+) -> DataFrame:
+    """``(query_id, item, rank)`` for many title queries at once, the most popular hits of each.
 
     A token can only occur in a name that holds all its three-letter pieces (two-letter for
     two-letter tokens). Each token is looked up by its rarest piece only and the hit is then
@@ -75,7 +78,7 @@ def many_titles(items: DataFrame, queries: DataFrame, item: str = "entity_hash")
             F.when(F.length("token") >= 3, _grams(F.col("token"), 3)).otherwise(_grams(F.col("token"), 2))
         ).alias("gram"),
     )
-    lowered = items.select(item, *[F.coalesce(F.lower(c), F.lit("")).alias(c) for c in names])
+    lowered = items.select(item, "popularity", *[F.coalesce(F.lower(c), F.lit("")).alias(c) for c in names])
     grams = F.array_distinct(
         F.concat(*[_grams(F.col(c), size) for c in names for size in (2, 3)])
     )
@@ -88,8 +91,11 @@ def many_titles(items: DataFrame, queries: DataFrame, item: str = "entity_hash")
         .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     )
     contains = F.greatest(*[F.col(c).contains(F.col("token")) for c in names], F.lit(False))
-    hits = posted.join(rarest, "gram").where(contains).select("token", item)
-    return hits.join(asked, "token").select("query_id", item).distinct()
+    hits = posted.join(rarest, "gram").where(contains).select("token", item, "popularity")
+    found = hits.join(asked, "token").select("query_id", item, "popularity").distinct()
+    best = Window.partitionBy("query_id").orderBy(F.desc("popularity"), item)
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= clamp_limit(limit))
+    return ranked.select("query_id", item, F.col("rank").cast("long").alias("rank"))
 
 
 def apply_filters(
@@ -121,6 +127,19 @@ def sort_by(sort: str | None) -> list[Column]:
     return [F.desc(column), F.asc("entity_hash")]
 
 
+def sort_positions(items: DataFrame, modes: Sequence[str]) -> DataFrame:
+    """``(mode, entity_hash, position)`` of all items under every named sort, items read once.
+
+    Modes are numbered in slices, so no order of all items has to fit one task.
+    """
+    columns = {m: SORTS.get(m.lower(), SORTS["create"]) for m in modes}
+    whole = lambda c: F.unix_micros(F.col(c).cast("timestamp")) if c == "publish_date" else F.col(c).cast("long")
+    each = F.array(*[F.struct(F.lit(m).alias("mode"), whole(c).alias("by")) for m, c in columns.items()])
+    rows = items.select("entity_hash", F.explode(each).alias("x")).select("entity_hash", "x.*")
+    order = [F.desc_nulls_last("by"), F.asc("entity_hash")]
+    return numbered(rows, ["mode"], order, "position").select("mode", "entity_hash", "position")
+
+
 def catalog_rows(items: DataFrame) -> DataFrame:
     """Canonical rows as the catalog returns them: defaults, size label, distinct sets."""
     return items.select(

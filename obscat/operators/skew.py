@@ -1,112 +1,61 @@
-"""Keep one heavy key from landing in one task.
-
-A window or an ordered per-key computation puts a whole key into one task. Keys with more
-rows than a task should hold are found first, by one narrow counting job with map-side
-combine, and handled apart: their rows are range-partitioned by key and order, so every
-partition is one slice of a key, and written once to the shared folder with the number of
-their slice. Each slice is then worked on by itself, and only one small summary row per
-slice meets in the per-key step.
-
-At most ``MAX_HOT_KEYS`` keys, the heaviest ones, are treated as hot, so their list has a
-fixed bound whatever the input size; any other key holds less than one part in
-``MAX_HOT_KEYS`` of all rows. Without hot keys the plan is the plain one-shuffle plan.
+"""Ordered work per key in slices, so that no key has to fit one task.
+
+Rows are range-partitioned by key and order. A partition is then a slice: it holds one unbroken
+stretch of every key in it, and slice numbers rise along the order within a key. Work runs per
+(key, slice), and one small row per slice meets in the per-key step. Every key goes this way,
+whatever its size, so results don't depend on how many rows a key has, and nothing is counted,
+collected or run while a query is being built.
+
+A plan that uses slice numbers twice needs the same ones both times, but ranges are drawn from
+a sample for each plan anew. ``keep`` therefore marks the sliced rows as persisted on disk, which
+happens with the first run; ``spark.catalog.clearCache()`` lets them go.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from obscat.session import shared_dir
 
-MAX_HOT_KEYS = 100_000
-HOT_MIN_ROWS = 1_000_000
-HOT_MIN_ROWS_CONF = "obscat.hot.minRows"
-MIN_SLICE_ROWS = 100
 SLICE = "_slice"
 
 
-def min_rows(df: DataFrame) -> int:
-    """Rows from which a key is heavy."""
-    return int(df.sparkSession.conf.get(HOT_MIN_ROWS_CONF, str(HOT_MIN_ROWS)))
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], keep: bool = False) -> DataFrame:
+    """``df`` with the number of each row's slice, which never falls along ``order`` within a key."""
+    ranged = df.repartitionByRange(*keys, *order).withColumn(SLICE, F.spark_partition_id())
+    return ranged.persist(StorageLevel.DISK_ONLY) if keep else ranged
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int] | None:
-    """The heavy keys of ``df`` as a small table and their row count; None without any.
+def earlier_slices(keys: Sequence[str]):
+    """Window over the slices of a key before each one."""
+    return Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
 
-    A table with fewer rows than a heavy key needs has none; its row count comes from the
-    file footers when it is a scan.
-    """
-    if df.count() < min_rows(df):
-        return None
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    heavy = counts.where(F.col("_rows") >= min_rows(df)).orderBy(F.desc("_rows"), *keys)
-    found = heavy.limit(MAX_HOT_KEYS).collect()
-    if not found:
-        return None
-    schema = T.StructType([df.schema[k] for k in keys])
-    rows = [tuple(r[k] for k in keys) for r in found]
-    return df.sparkSession.createDataFrame(rows, schema), sum(r["_rows"] for r in found)
 
-
-def split_hot(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str] = (),
-    sized_by: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame | None]:
-    """``(ordinary, hot)`` rows of ``df`` by the size of their key; hot is None without any.
-
-    With an ``order`` the hot rows carry the number of their slice, which never decreases
-    along the order within a key. ``sized_by`` is a cheaper table with at least as many rows
-    per key, such as the log a snapshot was folded from; it must have the ``keys`` too.
-    """
-    keys = list(keys)
-    found = hot_keys(df if sized_by is None else sized_by, keys)
-    if found is None:
-        return df, None
-    heavy, total = F.broadcast(found[0]), found[1]
-    hot = df.join(heavy, keys, "left_semi")
-    if order:
-        hot = _sliced(hot, keys, order, -(-total // max(min_rows(df), MIN_SLICE_ROWS)))
-    return df.join(heavy, keys, "left_anti"), hot
-
-
-def _sliced(hot: DataFrame, keys: Sequence[str], order: Sequence[Column | str], slices: int) -> DataFrame:
-    """Rows in ranges of key and order, written once so that the ranges stay as they are."""
-    path = shared_dir(hot.sparkSession, "slices")
-    ranged = hot.repartitionByRange(slices, *keys, *order)
-    ranged.withColumn(SLICE, F.spark_partition_id()).write.parquet(path)
-    return hot.sparkSession.read.parquet(path)
-
-
-def numbered(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str,
-    sized_by: DataFrame | None = None, size_keys: Sequence[str] | None = None,
-) -> DataFrame:
-    """Add the position of every row inside its key group, from 1.
-
-    ``size_keys`` are keys, a part of ``keys``, by which ``sized_by`` tells hot groups.
-    """
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Add the position of every row inside its key group, from 1."""
     keys = list(keys)
-    first = list(size_keys or keys)
-    rest = [k for k in keys if k not in first]
-    ordinary, hot = split_hot(df, first, [*rest, *order], sized_by)
-    position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    ordinary = ordinary.withColumn(name, position.cast("long"))
-    if hot is None:
-        return ordinary
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    rows = sliced(df, keys, order, keep=True)
     offsets = (
-        hot.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, SLICE, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+        rows.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_rows"))
+        .select(*keys, SLICE, F.coalesce(F.sum("_rows").over(earlier_slices(keys)), F.lit(0)).alias("_offset"))
     )
     inside = F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(*order))
-    hot = (
-        hot.withColumn("_inside", inside)
-        .join(offsets, [*keys, SLICE])
-        .withColumn(name, F.col("_offset") + F.col("_inside"))
-    )
-    columns = [*df.columns, name]
-    return ordinary.select(*columns).unionByName(hot.select(*columns))
+    joined = join_slices(rows.withColumn("_inside", inside), offsets, keys)
+    return joined.select(*df.columns, (F.col("_offset") + F.col("_inside")).cast("long").alias(name))
+
+
+def _all(conditions: Sequence[Column]) -> Column:
+    out = conditions[0]
+    for more in conditions[1:]:
+        out = out & more
+    return out
+
+
+def join_slices(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the columns of a per-slice ``summary`` to ``rows``; NULL keys meet too."""
+    names = [*keys, SLICE]
+    renamed = summary.select(*[F.col(k).alias(f"_s_{k}") for k in names], *[c for c in summary.columns if c not in names])
+    joined = rows.join(renamed, _all([F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in names]))
+    return joined.drop(*[f"_s_{k}" for k in names])

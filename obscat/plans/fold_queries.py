@@ -204,7 +204,7 @@ def orphan_items(spark, sf_dir):
     "SELECT source, source_key, entity_hash, CAST(pos AS BIGINT) AS position FROM ranked", RANKED_SQL))
 def rank_observations(spark, sf_dir):
     log = obs(spark, sf_dir)
-    return go.rank_observations(fo.fold(log), sized_by=log).select(
+    return go.rank_observations(fo.fold(log)).select(
         "source", "source_key", "entity_hash", "position"
     )
 
@@ -264,7 +264,7 @@ def gold_sql(body: str, *steps: str) -> str:
 
 def golden(spark, sf_dir):
     log = obs(spark, sf_dir)
-    return go.golden_record(fo.fold(log), AS_OF_LINEITEM, GOLD_MINUTES, sized_by=log)
+    return go.golden_record(fo.fold(log), AS_OF_LINEITEM, GOLD_MINUTES)
 
 
 def flat_golden(gold):
@@ -316,7 +316,7 @@ def size_conflicts(spark, sf_dir):
     "WHERE NOT EXISTS (SELECT 1 FROM snap s WHERE s.source = g.source AND s.source_url = g.source_key AND s.popularity > 25)"))
 def backfill_insert_ignore(spark, sf_dir):
     snap = snapshot(spark, sf_dir)
-    gold = go.golden_record(snap, AS_OF_LINEITEM, GOLD_MINUTES, sized_by=obs(spark, sf_dir))
+    gold = go.golden_record(snap, AS_OF_LINEITEM, GOLD_MINUTES)
     existing = snap.where("popularity > 25").select("source", F.col("source_url").alias("source_key"))
     return fo.backfill(gold, existing).select(
         "source", "source_key", "entity_hash", "observed_fields", "details_state", "parser_version"
@@ -428,6 +428,6 @@ def cascade_delete(spark, sf_dir):
     from obscat.operators.state import cascade_delete as cascade
 
     snap = snapshot(spark, sf_dir)
-    gold = go.golden_record(snap, AS_OF_LINEITEM, GOLD_MINUTES, sized_by=obs(spark, sf_dir))
+    gold = go.golden_record(snap, AS_OF_LINEITEM, GOLD_MINUTES)
     deleted = gold.where("popularity >= 45")
     return cascade(snap, deleted, ["entity_hash"]).select("source", "source_key", "entity_hash")

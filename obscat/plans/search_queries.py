@@ -10,6 +10,7 @@ from obscat.operators import merge as me
 from obscat.operators import search as se
 from obscat.operators import state as st
 from obscat.operators import validate as va
+from obscat.operators.skew import numbered
 from obscat.plans.fold_queries import GOLD_OUT, gold_sql, golden, obs
 from obscat.plans.registry import query
 from obscat.plans.state_queries import MAPS_SQL, SUMMARY_SQL, override_maps
@@ -99,10 +100,11 @@ def top1_per_source(spark, sf_dir):
     return me.most_popular(rows, ["source"]).select("source", "source_key", "popularity")
 
 
-@query("popularity_order", oracle("SELECT arrival_key, popularity, secondary_popularity FROM v_obs", "v_obs"))
+@query("popularity_order", oracle(
+    "SELECT arrival_key, row_number() OVER (ORDER BY popularity DESC, secondary_popularity DESC, source_key, arrival_key) AS position FROM v_obs", "v_obs"))
 def popularity_order(spark, sf_dir):
-    rows = view(spark, sf_dir, "v_obs")
-    return rows.orderBy(*me.popularity_order()).select("arrival_key", "popularity", "secondary_popularity")
+    rows = view(spark, sf_dir, "v_obs").withColumn("_all", F.lit(0))
+    return numbered(rows, ["_all"], [*me.popularity_order(), F.col("arrival_key")], "position").select("arrival_key", "position")
 
 
 @query("union_sources", oracle("SELECT source, arrival_key, CASE WHEN source = 'src_a' THEN quality END AS quality FROM v_obs", "v_obs"))
@@ -157,14 +159,16 @@ _ASKED_SQL = """asked AS (SELECT s_suppkey AS query_id, concat('BRAND#', CAST(s_
   WHEN 1 THEN '19%7_7' WHEN 2 THEN 'x' ELSE 'p ' END, ' ', CAST(s_suppkey % 90 + 10 AS VARCHAR(4))) AS query FROM {supplier})"""
 
 
-@query("search_many_titles", oracle("+" + _ASKED_SQL.format(supplier="supplier") + """ SELECT DISTINCT query_id, item_id FROM
+@query("search_many_titles", oracle("+" + _ASKED_SQL.format(supplier="supplier") + """, hits AS (SELECT DISTINCT query_id, item_id FROM
   (SELECT query_id, unnest(list_filter(list_transform(string_split(query, ' '), lambda w: lower(regexp_replace(w, '[%_]', '', 'g'))), lambda w: length(w) >= 2)) AS token FROM asked)
-  JOIN v_titles ON contains(lower(title), token)""", "v_titles"))
+  JOIN v_titles ON contains(lower(title), token)), ranked AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY item_id * 31 % 1000 DESC, item_id) AS rank FROM hits)
+  SELECT query_id, item_id, rank FROM ranked WHERE rank <= 20""", "v_titles"))
 def search_many_titles(spark, sf_dir):
     from obscat.sources.views import table
 
     asked = spark.sql("WITH " + _ASKED_SQL + " SELECT * FROM asked", supplier=table(spark, sf_dir, "supplier"))
-    return se.many_titles(view(spark, sf_dir, "v_titles"), asked, item="item_id")
+    titles = view(spark, sf_dir, "v_titles").withColumn("popularity", F.col("item_id") * 31 % 1000)
+    return se.many_titles(titles, asked, item="item_id", limit=20)
 
 
 _FILTER_OUT = "entity_hash, popularity, release_year, quality"
@@ -211,20 +215,11 @@ def allowed_types_forall(spark, sf_dir):
 
 
 @query("sort_modes", gold_sql(" UNION ALL ".join(
-    f"SELECT * FROM (SELECT '{mode}' AS mode, entity_hash, row_number() OVER (ORDER BY {column} DESC, entity_hash) AS position FROM golden) WHERE position <= 500"
+    f"SELECT '{mode}' AS mode, entity_hash, row_number() OVER (ORDER BY {column} DESC, entity_hash) AS position FROM golden"
     for mode, column in (("sid", "popularity"), ("pir", "secondary_popularity"), ("size", "size_bytes"), ("other", "publish_date")))))
 def sort_modes(spark, sf_dir):
     items = golden(spark, sf_dir).select("entity_hash", *dict.fromkeys(se.SORTS.values()))
-    out = None
-    for mode in ("sid", "pir", "size", "other"):
-        top = items.orderBy(*se.sort_by(mode)).limit(se.DEFAULT_LIMIT)
-        listed = top.agg(F.collect_list(F.struct("*")).alias("l")).select(F.posexplode("l"))
-        part = listed.select(
-            F.lit(mode).alias("mode"), F.col("col.entity_hash").alias("entity_hash"),
-            (F.col("pos") + 1).cast("long").alias("position"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    return se.sort_positions(items, ("sid", "pir", "size", "other"))
 
 
 @query("catalog_projection", gold_sql(

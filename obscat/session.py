@@ -26,12 +26,14 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """Folder for streaming checkpoints and written tables.
 
-    The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where
-    that is unset, as in tests.
+    The folder the cluster names in ``spark.checkpoint.dir``. Where that is unset, a local
+    session takes a temporary one, and any other fails: executors don't share local folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
+    if base is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if base is None:
         return os.path.join(tempfile.mkdtemp(prefix=f"obscat-{purpose}-"), "t")
     return os.path.join(base, "obscat", purpose, spark.sparkContext.applicationId, uuid.uuid4().hex)

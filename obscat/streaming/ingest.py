@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,19 +20,15 @@ from obscat.operators.fold import (
     ARRIVAL, CLOCK, KEY, finish, fold_state, last_per_key, mark_late, merge_states,
 )
 from obscat.operators.golden import ITEM, golden_record
-from obscat.operators.skew import SLICE, split_hot
+from obscat.operators.skew import SLICE, sliced
 
 # Raw batch to observations, or to (observations, quarantined rows).
 Prepare = Callable[[DataFrame], DataFrame | tuple[DataFrame, DataFrame]]
 
 
 def batch_state(obs: DataFrame) -> DataFrame:
-    """Fold state of one micro-batch; heavy keys are folded slice by slice."""
-    ordinary, hot = split_hot(obs, KEY, [ARRIVAL])
-    state = fold_state(ordinary)
-    if hot is None:
-        return state
-    return state.unionByName(merge_states(fold_state(hot, carry=(SLICE,)), SLICE))
+    """Fold state of one micro-batch, slice by slice."""
+    return merge_states(fold_state(sliced(obs, KEY, [ARRIVAL]), carry=(SLICE,)), SLICE)
 
 
 class Store:
@@ -43,10 +38,11 @@ class Store:
         self.spark, self.path = spark, path
 
     def read(self, table: str) -> DataFrame | None:
-        try:
-            return self.spark.read.option("basePath", f"{self.path}/{table}").parquet(f"{self.path}/{table}")
-        except AnalysisException:
+        """A table of the store, None where nothing has been written yet; any other trouble is raised."""
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
+        if not place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
             return None
+        return self.spark.read.option("basePath", f"{self.path}/{table}").parquet(f"{self.path}/{table}")
 
     def write(self, table: str, part: str, number: int, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/{table}/{part}={number}")
@@ -86,7 +82,8 @@ def late_rows(batch: DataFrame, states: DataFrame | None) -> DataFrame:
         return marked.where("late").drop("late")
     known = states.groupBy(*KEY).agg(F.max("newest").alias("_known"))
     joined = marked.join(known, list(KEY), "left")
-    stale = F.col("late") | F.coalesce(F.col(CLOCK) < F.col("_known"), F.lit(False))
+    older = F.col(CLOCK).isNull() | F.coalesce(F.col(CLOCK) < F.col("_known"), F.lit(False))
+    stale = F.col("late") | (F.col("_known").isNotNull() & older)
     return joined.where(stale).select(*batch.columns)
 
 

@@ -17,8 +17,10 @@ def spark():
 
 
 @pytest.fixture()
-def every_key_hot(spark):
-    """Treat every key with two rows as heavy, so the sliced paths run."""
-    spark.conf.set("obscat.hot.minRows", "2")
+def many_slices(spark):
+    """Cut small logs into many slices too, so that keys span several."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
     yield
-    spark.conf.unset("obscat.hot.minRows")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -39,7 +39,7 @@ SLICED = [
 
 
 @pytest.mark.parametrize("name", SLICED)
-def test_heavy_keys_give_the_same_result(spark, duck, every_key_hot, name):
+def test_many_slices_give_the_same_result(spark, duck, many_slices, name):
     got = entry.queries()[name](spark, SF_DIR).toArrow().to_pandas()
     assert rows(got) == rows(oracle_rows(duck, name))
 

@@ -50,12 +50,11 @@ def test_micro_batches_equal_one_batch(spark, tmp_path):
     assert text(store.snapshot()) == text(batch)
 
 
-def test_heavy_keys_in_a_batch(spark, tmp_path, every_key_hot):
+def test_a_batch_in_many_slices(spark, tmp_path, many_slices):
     rows = random_log(22, 80)
     store = ingest.Store(spark, str(tmp_path / "store"))
     for epoch, part in enumerate(cut(rows, 3)):
         ingest.ingest_batch(store, frame(spark, part), epoch, sparse)
-    spark.conf.set("obscat.hot.minRows", "1000000")
     assert text(store.snapshot()) == text(fold(sparse(frame(spark, rows))))
 
 
