@@ -37,6 +37,8 @@ COLUMNS = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
 MIN_RUN = 20
 MIN_SAMPLE = 6
 MARGIN = 0.5
+#: Weight of a character's own frequency beside its frequency after the one before.
+PRIOR = 10.0
 SYMBOLS = 66
 
 _HEX = byte_class((0x30, 0x39), (0x61, 0x66))
@@ -134,8 +136,10 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     counts[sums.column("pair").to_numpy()] = sums.column("n").to_numpy()
     if not counts[: SYMBOLS * SYMBOLS].any():
         return np.full((SYMBOLS, SYMBOLS), -np.inf)
-    counts = counts.reshape(2, SYMBOLS, SYMBOLS) + 0.5
-    logs = np.log(counts / counts.sum(axis=2, keepdims=True))
+    counts = counts.reshape(2, SYMBOLS, SYMBOLS)
+    single = counts.sum(axis=1, keepdims=True) + 1
+    single /= single.sum(axis=2, keepdims=True)
+    logs = np.log((counts + PRIOR * single) / (counts.sum(axis=2, keepdims=True) + PRIOR))
     return logs[0] - logs[1]
 
 
