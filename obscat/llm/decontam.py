@@ -168,7 +168,7 @@ def within_radius(fingerprints: DataFrame, items: DataFrame) -> DataFrame:
         .select("item", "size", "item_fp", "block", F.col("value").bitwiseXOR(F.col("mask").cast("long")).alias("value"))
     asked = fingerprints.select("size", "fp", blocks("fp"))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    return asked.join(listed, ["size", "block", "value"]).where(distance <= RADIUS).select("size", "fp", "item").distinct()
+    return asked.join(listed.hint("merge"), ["size", "block", "value"]).where(distance <= RADIUS).select("size", "fp", "item").distinct()
 
 
 def _exact(similarity: float):
