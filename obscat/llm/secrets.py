@@ -2,7 +2,7 @@
 
 The rules' matches are labelled samples of secrets, all other runs of identifier characters are
 samples of ordinary identifiers; both come from the whole table. Tasks sum character pairs of each
-kind, Spark adds the sums up, and two matrices of 66 by 66 counts are the models. A run of at
+kind, Spark adds the sums up, and two matrices of 68 by 68 counts are the models. A run of at
 least ``MIN_RUN`` characters with letters and digits that no rule has found is a secret of kind
 ``random`` where its mean log-likelihood ratio per character exceeds ``MARGIN``.
 
@@ -36,18 +36,18 @@ KINDS = ("assign", "access", "hex", "random")
 COLUMNS = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
 MIN_RUN = 20
 MIN_SAMPLE = 6
-MARGIN = 0.5
+MARGIN = 0.25
 #: Weight of a character's own frequency beside its frequency after the one before.
-PRIOR = 10.0
-SYMBOLS = 66
+PRIOR = 100.0
+SYMBOLS = 68
 
 _HEX = byte_class((0x30, 0x39), (0x61, 0x66))
 _IDENTIFIER = byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), *((ord(c), ord(c)) for c in "+/_=-"))
 _SEPARATOR = byte_class((ord(":"), ord(":")), (ord("="), ord("=")))
 _BEFORE = byte_class(*((ord(c), ord(c)) for c in "dDtTnNyY\"' "))
 _DIGIT, _LETTER = byte_class((0x30, 0x39)), byte_class((0x41, 0x5A), (0x61, 0x7A))
-_CODE = np.full(256, 65, np.int64)
-_CODE[np.flatnonzero(_IDENTIFIER)] = np.arange(int(_IDENTIFIER.sum())) % 65
+_CODE = np.full(256, 67, np.int64)
+_CODE[np.flatnonzero(_IDENTIFIER)] = np.arange(int(_IDENTIFIER.sum()))
 
 
 def rule_matches(texts: Texts) -> list[tuple[str, int, int, int]]:
@@ -130,7 +130,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Log-likelihood ratio of every character pair, random against ordinary; 2 * 66 * 66 sums reach the driver."""
+    """Log-likelihood ratio of every character pair, random against ordinary; 2 * 68 * 68 sums reach the driver."""
     sums = docs.select(docs[text].cast("string").alias("text")).mapInArrow(_count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(2 * SYMBOLS * SYMBOLS)
     counts[sums.column("pair").to_numpy()] = sums.column("n").to_numpy()
