@@ -48,11 +48,21 @@ def merge_facts(facts: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
 
 
 def suffix_facts(facts: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
-    """Repeated labels numbered: ``Audio``, ``Audio 2``, and so on."""
+    """Repeated labels numbered: ``Audio``, ``Audio 2``, and so on.
+
+    A number that a label of the same page carries itself is passed over, so keys are unique.
+    """
     keyed = clean_facts(facts).withColumn("_k", F.lower("label"))
     counted = numbered(keyed, [PAGE, "_k"], [F.col(c) for c in order], "_n")
-    key = F.when(F.col("_n") > 1, F.concat_ws(" ", "label", "_n")).otherwise(F.col("label"))
-    return counted.withColumn("key", key).drop("_k", "_n")
+    spelled = F.regexp_extract("_k", r"^(.+) ([2-9]|[1-9][0-9]+)$", 2)
+    taken = (
+        keyed.select(PAGE, F.regexp_extract("_k", r"^(.+) ([2-9]|[1-9][0-9]+)$", 1).alias("_k"), spelled.try_cast("long").alias("_t"))
+        .where(F.col("_t").isNotNull()).groupBy(PAGE, "_k").agg(F.array_sort(F.collect_set("_t")).alias("_taken"))
+    )
+    none = F.array().cast("array<bigint>")
+    free = F.aggregate(F.coalesce("_taken", none), F.col("_n"), lambda n, t: F.when(t <= n, n + 1).otherwise(n))
+    key = F.when(F.col("_n") > 1, F.concat_ws(" ", "label", free)).otherwise(F.col("label"))
+    return counted.join(taken, [PAGE, "_k"], "left").withColumn("key", key).select(*keyed.drop("_k").columns, "key")
 
 
 def alias_rank(label: Column, aliases: Sequence[str], numbered_labels: bool = False) -> Column:

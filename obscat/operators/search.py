@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obscat.functions.text import distinct_ci, parsed_info, search_tokens, size_label
+from obscat.operators.merge import merge_duplicates
 from obscat.operators.skew import numbered
 
 DEFAULT_LIMIT = 500
@@ -171,7 +172,7 @@ def result_rows(items: DataFrame) -> DataFrame:
         F.coalesce("entity_hash", "source_url", fallback).alias("id"),
         "title",
         F.col("source").alias("source"),
-        F.col("size_bytes").cast("long").alias("size_bytes"),
+        F.col("size_bytes").cast("long").alias("size_bytes"), size_label("size_bytes").alias("size_label"),
         "popularity", "secondary_popularity",
         F.date_format("publish_date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publish_date"),
         "link", F.col("source_url").alias("url"), result_tags().alias("tags"),
@@ -186,6 +187,42 @@ def attach_overrides(results: DataFrame, summaries: DataFrame) -> DataFrame:
     return keyed.join(summaries.withColumnRenamed("hash", "_h"), "_h", "left").drop("_h")
 
 
+def event_row(columns: Sequence[str]) -> Column:
+    """A result as it is sent, fields without a value left out by JSON; overrides where attached."""
+    named = {
+        "id": "id", "title": "title", "tracker": "source", "sizeBytes": "size_bytes", "sizeLabel": "size_label",
+        "seeders": "popularity", "leechers": "secondary_popularity", "publishDate": "publish_date", "magnetUri": "link",
+        "link": "url", "tags": "tags", "viewed": "viewed",
+    }
+    fields = [F.col(c).alias(n) for n, c in named.items() if c in columns]
+    summary = {
+        "seasonCount": "season_count", "fileCount": "file_count", "primarySource": "primary_source",
+        "primarySeason": "primary_season", "primaryOffset": "primary_offset",
+    }
+    if "season_count" in columns:
+        override = F.struct(*[F.col(c).alias(n) for n, c in summary.items()])
+        fields.append(F.when(F.col("season_count").isNotNull(), override).alias("override"))
+    return F.struct(*fields)
+
+
+def search_request(
+    items: DataFrame, summaries: DataFrame, title: str, sort: str | None = None, limit: int = DEFAULT_LIMIT,
+    title_source: str | None = None, demoted: str | None = None, **filters,
+) -> DataFrame:
+    """A whole request: most popular hits, merged, then filtered, ordered, shaped, overrides attached.
+
+    Filters come after the limit and the merge, so they see merged rows and never widen the hits.
+    ``position`` is the order; there are at most as many rows as the limit allows.
+    """
+    hits = by_title(items, title, limit).withColumn("source_key", F.coalesce("source_url", "entity_hash"))
+    merged = merge_duplicates(hits.drop("entity_hash"), title_source, demoted)
+    kept = apply_filters(merged, **filters)
+    order = Window.orderBy(*sort_by(sort))
+    placed = kept.withColumn("position", F.row_number().over(order).cast("long"))
+    shaped = attach_overrides(result_rows(placed), summaries)
+    return shaped.join(placed.select(F.col("entity_hash").alias("id"), "position"), "id")
+
+
 def result_events(results: DataFrame, batch_size: int = 500) -> DataFrame:
     """One JSON line per non-empty batch of results, and a final ``done`` line.
 
@@ -197,7 +234,7 @@ def result_events(results: DataFrame, batch_size: int = 500) -> DataFrame:
     cut = results.join(counts, "source").withColumn(
         "batch", bucket % F.ceil(F.col("_rows") / F.lit(batch_size))
     )
-    one = F.struct("id", "title", "popularity")
+    one = event_row(results.columns)
     batches = cut.groupBy("source", "batch").agg(F.array_sort(F.collect_list(one)).alias("results"))
     lines = batches.select(
         "source", "batch", F.size("results").cast("long").alias("n_results"),

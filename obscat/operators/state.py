@@ -13,7 +13,8 @@ from obscat.functions.text import clear_query, id_kind
 CHANGE = ("ts", "event_id")
 CURSOR_DAYS = 90
 SEASON_ENTRY = "map<string,struct<season:int,offset:int>>"
-FILE_ENTRY = "map<string,struct<season:int,episode:decimal(10,3),mode:string,target:string>>"
+TARGET = "struct<work_id:string,entry_id:string,episode_id:string>"
+FILE_ENTRY = f"map<string,struct<season:int,episode:decimal(10,3),mode:string,target:{TARGET},scope:array<string>>>"
 
 
 def _at(columns: Sequence[str] = CHANGE) -> Column:
@@ -30,12 +31,13 @@ def cascade_delete(children: DataFrame, deleted: DataFrame, keys: Sequence[str])
 def apply_overrides(log: DataFrame) -> DataFrame:
     """Current override maps per hash from the change log.
 
+    File changes carry ``season, episode, mode, target`` (three ids) and ``scope`` (file ids).
     The last change of a key decides; a ``replace`` voids all earlier season changes of its
     hash. Changes are reduced to one row per key before anything meets per hash.
     """
     at = _at()
     last = log.groupBy(F.lower("hash").alias("hash"), "map_kind", "map_key").agg(
-        F.max_by(F.struct("action", "season", "episode_offset", "has_target"), at).alias("c"),
+        F.max_by(F.struct("action", "season", "episode_offset", "episode", "mode", "target", "scope"), at).alias("c"),
         F.max(at).alias("at"),
         F.max(F.when(F.col("action") == "replace", at)).alias("replaced"),
         F.max(F.col("action") != "remove").alias("wrote"),
@@ -46,12 +48,7 @@ def apply_overrides(log: DataFrame) -> DataFrame:
         ~season | F.col("_voided").isNull() | (F.col("at") >= F.col("_voided"))
     )
     season_entry = F.struct(F.col("c.season").alias("season"), F.col("c.episode_offset").alias("offset"))
-    file_entry = F.struct(
-        F.col("c.season").alias("season"),
-        F.col("c.episode_offset").cast("decimal(10,3)").alias("episode"),
-        F.lit("anchor").alias("mode"),
-        F.when(F.col("c.has_target") == 1, F.lit("target")).alias("target"),
-    )
+    file_entry = F.struct(*[F.col(f"c.{c}").alias(c) for c in ("season", "episode", "mode", "target", "scope")])
     collect = lambda kind, entry: F.map_from_entries(
         F.array_sort(
             F.collect_list(F.when(alive & (F.col("map_kind") == kind), F.struct("map_key", entry.alias("e"))))

@@ -11,7 +11,7 @@ from obscat.operators import search as se
 from obscat.operators import state as st
 from obscat.operators import validate as va
 from obscat.operators.skew import numbered
-from obscat.plans.fold_queries import GOLD_OUT, gold_sql, golden, obs
+from obscat.plans.fold_queries import ACC_SQL, GOLD_OUT, GOLD_STEPS, OBS_SQL, SNAP_SQL, gold_sql, golden, obs
 from obscat.plans.registry import query
 from obscat.plans.state_queries import MAPS_SQL, SUMMARY_SQL, override_maps
 from obscat.schema import source_dimension
@@ -264,14 +264,35 @@ def attach_overrides(spark, sf_dir):
     return attached.select("id", "season_count", "file_count", "primary_source")
 
 
-@query("search_events", gold_sql("""SELECT source, batch, count(*) AS n_results, '{"type":"batch","source":"' || source || '","results":[' || string_agg('{"id":"' || entity_hash ||
-  '","title":"' || title || '","popularity":' || popularity || '}', ',' ORDER BY entity_hash) || ']}' AS line
+_EVENT_SQL = """'{"id":"' || entity_hash || '","title":"' || title || '","tracker":"' || source || '","sizeBytes":' || size_bytes || ',"sizeLabel":"' || regexp_replace(regexp_replace(printf('%.2f', round(CASE WHEN size_bytes >= 1073741824 THEN size_bytes / 1073741824.0
+  WHEN size_bytes >= 1048576 THEN size_bytes / 1048576.0 WHEN size_bytes >= 1024 THEN size_bytes / 1024.0 ELSE size_bytes END, 2)), '0+$', ''), '\\.$', '') ||
+  CASE WHEN size_bytes >= 1073741824 THEN ' GB' WHEN size_bytes >= 1048576 THEN ' MB' WHEN size_bytes >= 1024 THEN ' KB' ELSE ' B' END ||
+  '","seeders":' || popularity || ',"leechers":' || secondary_popularity || ',"publishDate":"' || strftime(publish_date, '%Y-%m-%dT%H:%M:%SZ') ||
+  '","magnetUri":"' || link || '","link":"' || source_url || '","tags":[]}'"""
+
+
+@query("search_events", gold_sql("""SELECT source, batch, count(*) AS n_results, '{"type":"batch","source":"' || source || '","results":[' || string_agg(""" + _EVENT_SQL + """,
+  ',' ORDER BY entity_hash) || ']}' AS line
   FROM (SELECT golden.*, CAST('0x' || substr(md5(entity_hash), 1, 8) AS BIGINT) % CAST(ceil(count(*) OVER (PARTITION BY source) / 100.0) AS BIGINT) AS batch FROM golden)
   GROUP BY source, batch UNION ALL SELECT NULL, NULL, 0, '{"type":"done"}'"""))
 def search_events(spark, sf_dir):
     return se.result_events(se.result_rows(golden(spark, sf_dir)), 100)
 
 
+_REQUEST_SQL = """ SELECT id, title, popularity, size_bytes, position, season_count, file_count FROM (
+  SELECT entity_hash AS id, title, popularity, size_bytes, row_number() OVER (ORDER BY size_bytes DESC, entity_hash) AS position
+  FROM (SELECT * FROM golden WHERE contains(lower(title), 'item') ORDER BY popularity DESC, entity_hash LIMIT 300) WHERE quality = 1080)
+  LEFT JOIN (SELECT hash, season_count, file_count FROM summary) ON id = hash"""
+
+
+@query("search_request", oracle(
+    "+" + ", ".join([OBS_SQL, ACC_SQL, SNAP_SQL, *GOLD_STEPS, MAPS_SQL, SUMMARY_SQL]) + _REQUEST_SQL, "v_obs", "v_override_log"))
+def search_request(spark, sf_dir):
+    found = se.search_request(
+        golden(spark, sf_dir), st.override_summaries(override_maps(spark, sf_dir)), "item x", sort="size", limit=300, quality=1080)
+    return found.select("id", "title", "popularity", "size_bytes", "position", "season_count", "file_count")
+
+
 @query("query_tokens", oracle("""SELECT item_id, array_to_string(list_filter(string_split(title, ' '), lambda w: length(w) >= 2), ' ') AS tokens FROM v_titles""", "v_titles"))
 def query_tokens(spark, sf_dir):
     rows = view(spark, sf_dir, "v_titles")

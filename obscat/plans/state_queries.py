@@ -17,7 +17,7 @@ MAPS_SQL = """chg AS (SELECT *, {'t': ts, 'e': event_id} AS at_ FROM v_override_
   hashes AS (SELECT hash, max(ts) AS updated_at FROM chg GROUP BY hash HAVING bool_or(action <> 'remove')),
   maps AS (SELECT hash, updated_at,
     coalesce((SELECT string_agg(map_key || '=' || season || '/' || episode_offset, ',' ORDER BY map_key) FROM entries e WHERE e.hash = h.hash AND map_kind = 'season'), '') AS season_map,
-    coalesce((SELECT string_agg(map_key || '=' || season || '/' || episode_offset || '.000' || CASE WHEN has_target = 1 THEN '*' ELSE '' END, ',' ORDER BY map_key) FROM entries e WHERE e.hash = h.hash AND map_kind = 'file'), '') AS file_map
+    coalesce((SELECT string_agg(map_key || '=' || season || '/' || episode_thousandths || '/' || file_mode || '/' || coalesce(target_ids, '') || '/' || coalesce(scope_ids, ''), ';' ORDER BY map_key) FROM entries e WHERE e.hash = h.hash AND map_kind = 'file'), '') AS file_map
     FROM hashes h)"""
 SUMMARY_SQL = """summary AS (SELECT hash, CAST(count(*) FILTER (WHERE map_kind = 'season') AS INT) AS season_count, CAST(count(*) FILTER (WHERE map_kind = 'file') AS INT) AS file_count,
   CASE WHEN count(*) FILTER (WHERE map_kind = 'season') = 1 THEN max(map_key) FILTER (WHERE map_kind = 'season') END AS primary_source,
@@ -26,8 +26,20 @@ SUMMARY_SQL = """summary AS (SELECT hash, CAST(count(*) FILTER (WHERE map_kind =
   FROM entries GROUP BY hash)"""
 
 
+def override_log(spark, sf_dir):
+    """The change log with file entries as they are stored: decimal episode, target ids, scope."""
+    ids = F.split("target_ids", ",")
+    target = F.struct(*[ids[i].alias(c) for i, c in enumerate(("work_id", "entry_id", "episode_id"))])
+    return view(spark, sf_dir, "v_override_log").withColumns({
+        "episode": (F.col("episode_thousandths").cast("decimal(13,3)") / 1000).cast("decimal(10,3)"),
+        "mode": F.col("file_mode"),
+        "target": F.when(F.col("target_ids").isNotNull(), target),
+        "scope": F.split("scope_ids", ","),
+    })
+
+
 def override_maps(spark, sf_dir):
-    return st.apply_overrides(view(spark, sf_dir, "v_override_log"))
+    return st.apply_overrides(override_log(spark, sf_dir))
 
 
 def _flat(maps, *extra):
@@ -37,14 +49,15 @@ def _flat(maps, *extra):
     )
     files = F.transform(
         F.map_entries("file_map"),
-        lambda e: F.concat(
-            e["key"], F.lit("="), e["value"]["season"], F.lit("/"), e["value"]["episode"].cast("string"),
-            F.when(e["value"]["target"].isNotNull(), "*").otherwise(""),
+        lambda e: F.concat_ws(
+            "/", F.concat(e["key"], F.lit("="), e["value"]["season"]), (e["value"]["episode"] * 1000).cast("long"), e["value"]["mode"],
+            F.concat_ws(",", e["value"]["target"]["work_id"], e["value"]["target"]["entry_id"], e["value"]["target"]["episode_id"]),
+            F.array_join(F.coalesce(e["value"]["scope"], F.array().cast("array<string>")), ","),
         ),
     )
     return maps.select(
         "hash", *extra, F.array_join(F.array_sort(season), ",").alias("season_map"),
-        F.array_join(F.array_sort(files), ",").alias("file_map"),
+        F.array_join(F.array_sort(files), ";").alias("file_map"),
     )
 
 
@@ -72,8 +85,9 @@ def override_get(spark, sf_dir):
     return _flat(st.get_overrides(asked, override_maps(spark, sf_dir)))
 
 
-@query("override_cleanup", _osql("""SELECT hash, season_map, coalesce((SELECT string_agg(map_key || '=' || season || '/' || episode_offset || '.000', ',' ORDER BY map_key)
-  FROM entries e WHERE e.hash = maps.hash AND map_kind = 'file' AND has_target = 0), '') AS file_map FROM maps WHERE contains(file_map, '*')"""))
+@query("override_cleanup", _osql("""SELECT hash, season_map, coalesce((SELECT string_agg(map_key || '=' || season || '/' || episode_thousandths || '/' || file_mode || '/' || coalesce(target_ids, '') || '/' || coalesce(scope_ids, ''), ';' ORDER BY map_key)
+  FROM entries e WHERE e.hash = maps.hash AND map_kind = 'file' AND has_target = 0), '') AS file_map FROM maps
+  WHERE hash IN (SELECT hash FROM entries WHERE map_kind = 'file' AND has_target = 1)"""))
 def override_cleanup(spark, sf_dir):
     return _flat(st.drop_targets(override_maps(spark, sf_dir)))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import islice
 
 from pyspark.sql import DataFrame
 
@@ -26,13 +27,15 @@ SECTION_CLASSES = {"spoiler", "sp-wrap", "hidewrap"}
 HEAD_CLASSES = {"sp-head", "spoiler-title", "hidehead"}
 BODY_CLASSES = {"sp-body", "spoiler-body", "spoiler-content", "hidebody"}
 SPACE = re.compile(r"\s+")
+ROWS_AT_ONCE = 2_000
 
 
 class Node:
-    __slots__ = ("tag", "classes", "parent", "children")
+    __slots__ = ("tag", "classes", "parent", "children", "place")
 
     def __init__(self, tag, classes=(), parent=None):
         self.tag, self.classes, self.parent, self.children = tag, set(classes), parent, []
+        self.place = len(parent.children) if parent is not None else 0
 
     def walk(self) -> Iterator[Node]:
         stack = [self]
@@ -105,14 +108,27 @@ def text_of(node, breaks: bool = False) -> str:
 
 
 def following_text(label: Node) -> str:
-    """Text after a label up to the next label or line break."""
-    siblings = label.parent.children
-    out, start = [], next(i for i, n in enumerate(siblings) if n is label) + 1
-    for item in siblings[start:]:
-        if isinstance(item, Node) and (item.tag == "br" or item.tag in LABEL_TAGS):
+    """Text after a label up to the next label or line break; one break right after it is crossed."""
+    out, crossed = [], False
+    for item in islice(label.parent.children, label.place + 1, None):
+        if isinstance(item, Node) and item.tag == "br":
+            if crossed or clean_value(out):
+                break
+            out, crossed = [], True
+        elif isinstance(item, Node) and item.tag in LABEL_TAGS:
             break
-        out.append(item if isinstance(item, str) else text_of(item))
-    return SPACE.sub(" ", " ".join(out)).strip().lstrip(":  ")
+        else:
+            out.append(item if isinstance(item, str) else text_of(item))
+    return clean_value(out)
+
+
+def clean_value(parts: list[str]) -> str:
+    return SPACE.sub(" ", " ".join(parts)).strip().lstrip(":  ")
+
+
+def next_element(node: Node) -> Node | None:
+    """The element after a node under the same parent."""
+    return next((n for n in islice(node.parent.children, node.place + 1, None) if isinstance(n, Node)), None)
 
 
 def page_rows(html: str) -> Iterator[tuple[str, int, str, str]]:
@@ -132,10 +148,9 @@ def page_rows(html: str) -> Iterator[tuple[str, int, str, str]]:
                 continue
             value = following_text(node)
             if node.tag == "dt":
-                after = [n for n in node.parent.children if isinstance(n, Node)]
-                position = next(i for i, n in enumerate(after) if n is node) + 1
-                if position < len(after) and after[position].tag == "dd":
-                    value = text_of(after[position])
+                after = next_element(node)
+                if after is not None and after.tag == "dd":
+                    value = text_of(after)
             yield "fact", (seq := seq + 1), label, value
         elif node.classes & SECTION_CLASSES:
             head, body = node.find(HEAD_CLASSES), node.find(BODY_CLASSES)
@@ -149,12 +164,14 @@ def scan_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     def scan(batches):
         import pandas as pd
 
+        columns = ["page_id", "kind", "seq", "label", "value"]
         for batch in batches:
-            rows = [
-                (page, *row)
-                for page, text in zip(batch[key], batch[html])
-                for row in page_rows(text)
-            ]
-            yield pd.DataFrame(rows, columns=["page_id", "kind", "seq", "label", "value"])
+            rows = []
+            for page, text in zip(batch[key], batch[html]):
+                rows += [(page, *row) for row in page_rows(text)]
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     return pages.select(key, html).mapInPandas(scan, SCHEMA)

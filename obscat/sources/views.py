@@ -97,6 +97,10 @@ SELECT concat(md5(CAST(user_id AS VARCHAR(20))), substr(md5(CAST(user_id AS VARC
   CASE WHEN event_id % 6 = 5 THEN '_' ELSE CAST(event_id % 6 AS VARCHAR(2)) END AS map_key,
   CASE WHEN event_type = 'error' THEN 'remove' WHEN event_id % 50 = 1 THEN 'replace' ELSE 'put' END AS action,
   CAST(1 + event_id % 9 AS INT) AS season, CAST(event_id % 25 AS INT) - 12 AS episode_offset,
+  (event_id % 25) * 1000 + (event_id % 2) * 500 AS episode_thousandths,
+  CASE WHEN event_id % 3 = 0 THEN 'pin' ELSE 'anchor' END AS file_mode,
+  CASE WHEN event_id % 16 = 0 THEN concat('w', CAST(user_id AS VARCHAR(20)), ',e', CAST(event_id % 7 AS VARCHAR(20)), ',p', CAST(event_id % 11 AS VARCHAR(20))) END AS target_ids,
+  CASE WHEN event_id % 3 <> 0 AND event_id % 5 = 0 THEN concat(CAST(event_id % 6 AS VARCHAR(20)), ',f', CAST(event_id % 4 AS VARCHAR(20))) END AS scope_ids,
   CASE WHEN event_id % 16 = 0 THEN 1 ELSE 0 END AS has_target, ts, event_id
 FROM {events}
 """

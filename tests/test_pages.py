@@ -67,3 +67,8 @@ def test_source_registry(spark):
     assert (row["source"], row["source_key"], row["title"], row["voices"]) == ("demo", "0", "t", None)
     with pytest.raises(ValueError):
         registry.read_source("bad", spark.range(1))
+
+
+def test_one_break_right_after_a_label_is_crossed():
+    rows = list(page_rows("<div><b>About:</b><br>text <i>more</i><br>rest <b>Gap:</b><br><br>far <b>End:</b> x<br>y</div>"))
+    assert [(label, value) for _, _, label, value in rows] == [("About:", "text more"), ("Gap:", ""), ("End:", "x")]
