@@ -6,10 +6,14 @@ hashes form two collections of ``rows`` compound hashes; a table key is a pair w
 so ``rows`` squared tables need only ``2 * rows * width`` minimum hashes. A pair of similarity s
 shares a table with probability (1 - (1 - s**width)**rows)**2.
 
+A second sketch tells which pairs of a table can be similar at all: one permutation in ``BINS`` bins,
+a byte of the smallest hash of each. Where a set has fewer shingles than bins, little is lost of it,
+so the estimate is close; pairs more than ``SIGMAS`` standard deviations below the limit are left out.
+
 No bucket is expanded to all pairs. First every member of a bucket is compared with one member,
 chosen by one of ``ORDERS`` orders; the links found give components. Only buckets whose members are
 still in different components are looked at further: their rows meet in blocks of bounded size, and
-a task gives out those pairs of different components whose minimum hashes agree often enough, each
+a task gives out those pairs of different components whose sketches agree enough, each
 pair in the first table it shares only, so no pair of a bucket goes unseen and none is given out
 that cannot be similar. Pairs are checked on the full sets of their texts.
 
@@ -33,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obscat.llm.arrays import mixed, pieces, shingles, stretch_hashes, words
+from obscat.llm.bitmaps import bitmap, may_hold
 from obscat.llm.registry import query, table
 from obscat.llm.store import written
 
@@ -40,6 +45,9 @@ from obscat.llm.store import written
 WIDTH = 2
 #: Orders by which a bucket chooses the member that all others are compared with.
 ORDERS = 5
+#: Bins of the second sketch, and how far below the limit an estimate may lie.
+BINS = 512
+SIGMAS = 4.0
 #: Members of a block, and pairs that a task looks at in one go.
 BLOCK = 512
 PAIRS_AT_ONCE = 1 << 20
@@ -58,6 +66,32 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return values[fresh], np.concatenate([[0], np.cumsum(np.bincount(row[fresh], minlength=len(bounds) - 1))])
 
 
+def binned(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sketch of sorted sets laid end to end: a byte of the smallest value of every bin, 0 for an empty bin."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    cell = row * BINS + (values >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.ones(len(values), bool)
+    first[1:] = cell[1:] != cell[:-1]
+    out = np.zeros(len(sizes) * BINS, np.uint8)
+    out[cell[first]] = (mixed(values[first]) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    return out.reshape(len(sizes), BINS)
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with these sketches and sizes can be similar enough.
+
+    The variance of the estimate is that of sampling the union's bins without replacement.
+    """
+    limit = percent / 100
+    used = ((a > 0) | (b > 0)).sum(axis=1)
+    agree = ((a == b) & (a > 0)).sum(axis=1)
+    union = np.maximum((na + nb) / (1 + limit), 2.0)
+    spread = np.maximum((1 + 1 / (union - 1)) / np.maximum(used, 1) - 1 / (union - 1), 0.0)
+    slack = SIGMAS * np.sqrt(limit * (1 - limit) * spread) + 2 / np.maximum(used, 1)
+    sizes = (100 * na >= percent * nb) & (100 * nb >= percent * na)
+    return sizes & (agree >= (limit - slack) * used)
+
+
 def _signatures(k: int, rows: int):
     hashes = 2 * rows * WIDTH
     schema = {"a": pa.int64(), "b": pa.int64(), "n": pa.int64()}
@@ -78,9 +112,10 @@ def _signatures(k: int, rows: int):
                         mins[some, i] = np.minimum.reduceat(values * _SEEDS[0, i] + _SEEDS[1, i], at)
                 # 32 bits of a minimum tell two of them apart well enough to choose candidates
                 packed = pa.array([m.tobytes() for m in (mins >> np.uint64(32)).astype(np.uint32)], pa.binary())
+                bins = pa.array([m.tobytes() for m in binned(values, sizes)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("kept"), *(pa.array(x.view(np.int64)) for x in sums), pa.array(sizes.astype(np.int64)), packed],
-                    names=["kept", *schema, "mins"])
+                    [piece.column("kept"), *(pa.array(x.view(np.int64)) for x in sums), pa.array(sizes.astype(np.int64)), packed, bins],
+                    names=["kept", *schema, "mins", "bins"])
 
     return run
 
@@ -113,20 +148,15 @@ def _table_keys(rows: int):
     return run
 
 
-def _least(rows: int, threshold: float) -> int:
-    """Fewest agreeing minimum hashes of a similar pair, four standard deviations below the mean."""
-    hashes = 2 * rows * WIDTH
-    return max(1, int(np.floor(hashes * threshold - 4 * np.sqrt(hashes * threshold * (1 - threshold)))))
+def _rows_of_bytes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
 
 
-def _agreement(rows: int, threshold: float):
-    """Keep pairs whose minimum hashes agree often enough."""
-    hashes, least = 2 * rows * WIDTH, _least(rows, threshold)
-
+def _agreement(percent: int):
+    """Keep pairs whose sketches agree enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, hashes) for c in ("ma", "mb"))
-            keep = (a == b).sum(axis=1) >= least
+            keep = may_be_similar(*(_rows_of_bytes(batch.column(c)) for c in ("ba", "bb")), *(batch.column(c).to_numpy() for c in ("na", "nb")), percent)
             yield batch.select(["x", "y"]).filter(pa.array(keep))
 
     return run
@@ -150,18 +180,31 @@ def _similar(k: int, percent: int):
     return run
 
 
-def likely_pairs(pairs: DataFrame, signatures: DataFrame, percent: int, rows: int) -> DataFrame:
-    """The pairs ``(x, y)`` that their signatures ``(id, mins)`` don't rule out."""
-    sig = lambda i, m: signatures.select(F.col("id").alias(i), F.col("mins").alias(m))
-    return pairs.join(sig("x", "ma"), "x").join(sig("y", "mb"), "y").select("x", "y", "ma", "mb") \
-        .mapInArrow(_agreement(rows, percent / 100), "x long, y long")
+def likely_pairs(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(x, y)`` that their signatures ``(id, n, bins)`` don't rule out."""
+    sig = lambda i, n, m: signatures.select(F.col("id").alias(i), F.col("n").alias(n), F.col("bins").alias(m)).hint("merge")
+    return pairs.join(sig("x", "na", "ba"), "x").join(sig("y", "nb", "bb"), "y").select("x", "y", "na", "nb", "ba", "bb") \
+        .mapInArrow(_agreement(percent), "x long, y long")
+
+
+def _possible(bits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["id", "text"]).filter(pa.array(may_hold(bits.value, batch.column("h").to_numpy().view(np.uint64))))
+
+    return run
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs ``(x, y)`` whose full sets are similar enough; ``texts`` is ``(id, text)``."""
+    """The pairs ``(x, y)`` whose full sets are similar enough; ``texts`` is ``(id, text)``.
+
+    A bitmap of fixed size leaves most texts of no pair out before the shuffle; the join decides.
+    """
     needed = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    used = texts.join(needed, "id", "left_semi")
-    text = lambda i, t: used.select(F.col("id").alias(i), F.col("text").alias(t))
+    bits = pairs.sparkSession.sparkContext.broadcast(bitmap(needed.select(F.xxhash64("id").alias("h")), "h"))
+    near = texts.withColumn("h", F.xxhash64("id")).mapInArrow(_possible(bits), "id long, text string")
+    used = near.join(needed.hint("merge"), "id", "left_semi")
+    text = lambda i, t: used.select(F.col("id").alias(i), F.col("text").alias(t)).hint("merge")
     return pairs.join(text("x", "tx"), "x").join(text("y", "ty"), "y").select("x", "y", "tx", "ty") \
         .mapInArrow(_similar(k, percent), "x long, y long").distinct()
 
@@ -169,36 +212,30 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> D
 def components(edges: DataFrame) -> DataFrame:
     """``(id, root)`` for every end of the edges ``(x, y)``; root is the smallest id reachable.
 
-    Every round hooks each node's root on the smallest root of its neighbours and then halves the
-    paths; a chain of n links takes about log n rounds.
+    In every round a node takes the smallest root among its own, its neighbours' and its root's,
+    and tells its root what its neighbours know; a chain of n links takes about log n rounds.
     """
     both = written(edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
     label = written(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")).select(F.col("x").alias("id"), "root"), "labels")
     while True:
-        # what a node's neighbours know, told to the root of the node
-        near = both.join(label.select(F.col("id").alias("y"), F.col("root").alias("other")), "y").groupBy("x").agg(F.min("other").alias("other"))
-        told = near.join(label, near["x"] == label["id"]).where("other < root").select(F.col("root").alias("id"), "other")
-        own = near.select(F.col("x").alias("id"), "other")
-        best = told.unionByName(own).groupBy("id").agg(F.min("other").alias("other"))
-        hooked = label.join(best, "id", "left").select("id", F.least("root", "other").alias("root"), F.col("root").alias("before"))
-        hooked = written(hooked, "labels")
-        up = hooked.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        jumped = hooked.join(up, "root", "left").select("id", F.least("root", "above").alias("root"), "before")
-        label = written(jumped, "labels")
-        if label.where("root <> before").isEmpty():
-            return label.select("id", "root")
-        label = label.select("id", "root")
+        of = lambda c, r: label.select(F.col("id").alias(c), F.col("root").alias(r))
+        near = both.join(of("y", "other"), "y").groupBy("x").agg(F.min("other").alias("other"))
+        known = near.join(of("x", "root"), "x").join(of("root", "above"), "root")
+        least = F.least("root", "other", "above")
+        told = known.select(F.explode(F.array("x", "root")).alias("id"), least.alias("new"))
+        best = told.groupBy("id").agg(F.min("new").alias("new"))
+        after = written(best.join(label, "id").select("id", F.col("new").alias("root"), F.col("root").alias("before")), "labels")
+        label = after.select("id", "root")
+        if after.where("root <> before").isEmpty():
+            return label
 
 
 def _pairs_in_groups(rows: int, percent: int):
     """Likely pairs of different components from rows sorted by group ``(key, lo, hi)``."""
-    least = _least(rows, percent / 100)
-
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
         key, lo, hi, own, ids, n, root = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "own", "id", "n", "root"))
-        mins = _unpacked(t.column("mins"), rows)
-        compound, flat = _compound(mins), mins.reshape(len(ids), -1)
+        compound, bins = _compound(_unpacked(t.column("mins"), rows)), _rows_of_bytes(t.column("bins"))
         fresh = np.ones(len(ids), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
         start = np.maximum.accumulate(np.where(fresh, np.arange(len(ids)), 0))
@@ -213,12 +250,13 @@ def _pairs_in_groups(rows: int, percent: int):
             fit = (root[left] != root[right]) & ((lo[left] == hi[left]) | (own[left] != own[right])) & (ids[left] != ids[right])
             fit &= (100 * n[left] >= percent * n[right]) & (100 * n[right] >= percent * n[left])
             left, right = left[fit], right[fit]
-            fit = (flat[left] == flat[right]).sum(axis=1) >= least
-            left, right = left[fit], right[fit]
             same = compound[left] == compound[right]
             a, b = same[:, 0].argmax(axis=1), same[:, 1].argmax(axis=1)
             first = _key(compound[left, 0, a], compound[left, 1, b], a * rows + b).view(np.int64) == key[left]
-            x, y = ids[left[first]], ids[right[first]]
+            left, right = left[first], right[first]
+            fit = np.concatenate([np.zeros(0, bool), *(
+                may_be_similar(bins[left[i : i + 8192]], bins[right[i : i + 8192]], n[left[i : i + 8192]], n[right[i : i + 8192]], percent) for i in range(0, len(left), 8192))])
+            x, y = ids[left[fit]], ids[right[fit]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,11 +292,11 @@ def unlinked_pairs(members: DataFrame, signatures: DataFrame, percent: int, rows
     """
     split = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rest = members.join(split.select("key", blocks.alias("blocks")), "key") \
+    rest = members.join(split.select("key", blocks.alias("blocks")).hint("merge"), "key") \
         .select("key", "id", "n", "root", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     return (
-        rest.join(signatures, "id")
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "root", "mins")
+        rest.join(signatures.select("id", "n", "mins", "bins").hint("merge"), ["id", "n"])
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "root", "mins", "bins")
         .repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
         .mapInArrow(_pairs_in_groups(rows, percent), "x long, y long")
     )
@@ -274,37 +312,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     others = [c for c in docs.columns if c not in (text, id_column) and c.lower() not in result]
     rows_in = docs.select(F.struct(docs[id_column].alias("id"), *[docs[c].alias(f"c{i}") for i, c in enumerate(others)]).alias("kept"), docs[text].cast("string").alias("text"))
     kind = rows_in.schema["kept"].dataType.simpleString()
-    signed = written(rows_in.mapInArrow(_signatures(k, rows), f"kept {kind}, a long, b long, n long, mins binary"), "signatures")
-    sets = signed.select(F.col("kept.id").cast("long").alias("id"), "a", "b", "n", "mins").where("id IS NOT NULL AND n > 0")
-    classes = sets.groupBy("a", "b", "n").agg(F.min("id").alias("rep"), F.any_value("mins").alias("mins"), F.count(F.lit(1)).alias("copies"))
+    signed = written(rows_in.mapInArrow(_signatures(k, rows), f"kept {kind}, a long, b long, n long, mins binary, bins binary"), "signatures")
+    sets = signed.select(F.col("kept.id").cast("long").alias("id"), "a", "b", "n", "mins", "bins").where("id IS NOT NULL AND n > 0")
+    classes = sets.groupBy("a", "b", "n").agg(F.min("id").alias("rep"), F.any_value("mins").alias("mins"), F.any_value("bins").alias("bins"))
     classes = written(classes, "classes")
-    reps = classes.select(F.col("rep").alias("id"), "n", "mins")
+    reps = classes.select(F.col("rep").alias("id"), "n", "mins", "bins")
     # an id with several texts has one class per text: its links are found for each of them
-    signatures = reps.select("id", "mins").dropDuplicates(["id", "mins"])
-    keyed = written(reps.mapInArrow(_table_keys(rows), "key long, id long"), "keys")
+    signatures = reps
+    keyed = written(reps.select("id", "mins").mapInArrow(_table_keys(rows), "key long, id long"), "keys")
     pick = F.struct(F.xxhash64("id", F.pmod("key", F.lit(ORDERS))).alias("h"), "id")
     buckets = keyed.groupBy("key").agg(F.min(pick)["id"].alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "centre")
-    members = written(keyed.join(buckets, "key"), "members")
+    members = written(keyed.join(buckets.hint("merge"), "key"), "members")
     stars = members.where("id <> centre").select(F.least("id", "centre").alias("x"), F.greatest("id", "centre").alias("y")).distinct()
     texts = docs.select(docs[id_column].cast("long").alias("id"), docs[text].cast("string").alias("text")).where("id IS NOT NULL")
-    asked = written(likely_pairs(stars, signatures, percent, rows), "pairs")
+    asked = written(likely_pairs(stars, signatures, percent).distinct(), "pairs")
     links = written(similar_pairs(asked, texts, k, percent), "links")
     found = components(links)
     sizes = reps.select("id", "n").dropDuplicates()
     rooted = members.select("key", "id").join(sizes, "id").join(found, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
     rest = written(unlinked_pairs(rooted, signatures, percent, rows).distinct().join(asked, ["x", "y"], "left_anti"), "pairs")
-    more = written(similar_pairs(rest, texts, k, percent), "links")
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
-    rooted = classes.join(found, classes["rep"] == found["id"], "left").select("a", "b", "n", F.coalesce("root", "rep").alias("root"), "rep")
+    more = similar_pairs(rest, texts, k, percent)
+    root = lambda c, r: found.select(F.col("id").alias(c), F.col("root").alias(r))
+    merges = more.join(root("x", "rx"), "x", "left").join(root("y", "ry"), "y", "left").select(F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y"))
+    rooted = classes.join(found, classes["rep"] == found["id"], "left").select("a", "b", "n", F.coalesce("root", "rep").alias("root"))
     # ids that repeat with different texts tie the components of those texts together
     shared = sets.select("id", "a", "b", "n").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("id")
     home = sets.join(shared, "id", "left_semi").join(rooted, ["a", "b", "n"]).groupBy("id").agg(F.collect_set("root").alias("roots")).where(F.size("roots") > 1)
-    ties = written(home.select(F.explode("roots").alias("y"), F.array_min("roots").alias("x")).where("x < y").select("x", "y"), "ties")
-    if not ties.isEmpty():
-        tied = components(ties).select(F.col("id").alias("root"), F.col("root").alias("top"))
-        rooted = rooted.join(tied, "root", "left").select("a", "b", "n", F.coalesce("top", "root").alias("root"), "rep")
-    out = signed.join(rooted.where(F.col("rep").isNotNull()).select("a", "b", "n", "root"), ["a", "b", "n"], "left")
+    ties = home.select(F.array_min("roots").alias("x"), F.explode("roots").alias("y"))
+    joins = written(merges.unionByName(ties).where("x <> y").distinct(), "joins")
+    if not joins.isEmpty():
+        top = components(joins).select(F.col("id").alias("root"), F.col("root").alias("top"))
+        rooted = rooted.join(top, "root", "left").select("a", "b", "n", F.coalesce("top", "root").alias("root"))
+    out = signed.join(rooted, ["a", "b", "n"], "left")
     own = F.col("kept.id").cast("long")
     component = F.coalesce("root", own)
     return out.select(
