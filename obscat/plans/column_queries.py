@@ -97,14 +97,19 @@ def x_array_ci(spark, sf_dir):
     )
 
 
-@query("x_tokens", oracle("""SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'x1 слово' ELSE 'слово' END AS tokens, CASE WHEN item_id % 2 = 0 THEN 'слово' END AS fallback FROM v_titles""", "v_titles"))
+@query("x_tokens", """SELECT conv_id, turn, array_to_string(list_filter(l, lambda w, i: list_position(list_transform(l, lambda x: lower(x)), lower(w)) = i), ' ') AS tokens
+  FROM (SELECT conv_id, turn, list_filter(list_transform(string_split(coalesce(text, ''), ' '),
+    lambda w: regexp_replace(trim(regexp_replace(w, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '[%_]', '', 'g')), lambda w: length(w) >= 2) AS l FROM conversations)""")
 def x_tokens(spark, sf_dir):
-    asked = F.concat(F.lit("a % _ "), F.when(F.col("item_id") % 3 == 0, "x_1 X1 ").otherwise("x "), F.lit(" слово СЛОВО"))
+    rows = table(spark, sf_dir, "conversations")
+    tokens = text.search_tokens(F.coalesce("text", F.lit("")))
+    return rows.select("conv_id", "turn", F.array_join(tokens, " ").alias("tokens"))
+
+
+@query("x_cyrillic_query", oracle("""SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'слово' END AS fallback FROM v_titles""", "v_titles"))
+def x_cyrillic_query(spark, sf_dir):
     mixed = F.concat(F.when(F.col("item_id") % 2 == 0, "word ").otherwise(""), F.lit("слово"))
-    return titles(spark, sf_dir).select(
-        "item_id", F.array_join(text.search_tokens(asked), " ").alias("tokens"),
-        text.cyrillic_query(mixed).alias("fallback"),
-    )
+    return titles(spark, sf_dir).select("item_id", text.cyrillic_query(mixed).alias("fallback"))
 
 
 @query("x_types", oracle("""SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'movie' WHEN item_id % 4 = 1 THEN 'multserial' WHEN item_id % 2 = 0 THEN 'multserial' ELSE 'multfilm' END AS type FROM v_titles""", "v_titles"))
