@@ -10,8 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a folder of its own only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session, as in tests, takes a folder of its own and any other
+    fails, since executors don't share local folders.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = os.path.join(tempfile.gettempdir(), "obscat-checkpoints")
     return f"{base.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
