@@ -7,7 +7,7 @@ so ``rows`` squared tables need only ``2 * rows * width`` minimum hashes. A pair
 shares a table with probability (1 - (1 - s**width)**rows)**2.
 
 A second sketch tells which pairs of a table can be similar at all: one permutation in ``BINS`` bins,
-a byte of the smallest hash of each. Where a set has fewer shingles than bins, little is lost of it,
+four bits of the smallest hash of each. Where a set has fewer shingles than bins, little is lost of it,
 so the estimate is close; pairs more than ``SIGMAS`` standard deviations below the limit are left out.
 
 No bucket is expanded to all pairs. First every member of a bucket is compared with one member,
@@ -44,9 +44,9 @@ from obscat.llm.store import written
 #: Minimum hashes per compound hash.
 WIDTH = 2
 #: Orders by which a bucket chooses the member that all others are compared with.
-ORDERS = 5
+ORDERS = 3
 #: Bins of the second sketch, and how far below the limit an estimate may lie.
-BINS = 512
+BINS = 1024
 SIGMAS = 4.0
 #: Members of a block, and pairs that a task looks at in one go.
 BLOCK = 512
@@ -67,14 +67,15 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def binned(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sketch of sorted sets laid end to end: a byte of the smallest value of every bin, 0 for an empty bin."""
+    """Sketch of sorted sets laid end to end: four bits of the smallest value of every bin, 0 for an empty bin."""
     row = np.repeat(np.arange(len(sizes)), sizes)
     cell = row * BINS + (values >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
     first = np.ones(len(values), bool)
     first[1:] = cell[1:] != cell[:-1]
     out = np.zeros(len(sizes) * BINS, np.uint8)
-    out[cell[first]] = (mixed(values[first]) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    return out.reshape(len(sizes), BINS)
+    out[cell[first]] = (mixed(values[first]) % np.uint64(15) + np.uint64(1)).astype(np.uint8)
+    out = out.reshape(len(sizes), BINS)
+    return out[:, 0::2] | out[:, 1::2] << 4
 
 
 def may_be_similar(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -87,7 +88,7 @@ def may_be_similar(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray,
     agree = ((a == b) & (a > 0)).sum(axis=1)
     union = np.maximum((na + nb) / (1 + limit), 2.0)
     spread = np.maximum((1 + 1 / (union - 1)) / np.maximum(used, 1) - 1 / (union - 1), 0.0)
-    slack = SIGMAS * np.sqrt(limit * (1 - limit) * spread) + 2 / np.maximum(used, 1)
+    slack = SIGMAS * np.sqrt(limit * (1 - limit) * spread) + 0.5 / np.maximum(used, 1)
     sizes = (100 * na >= percent * nb) & (100 * nb >= percent * na)
     return sizes & (agree >= (limit - slack) * used)
 
@@ -148,15 +149,18 @@ def _table_keys(rows: int):
     return run
 
 
-def _rows_of_bytes(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+def _rows_of_bins(column: pa.Array) -> np.ndarray:
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS // 2)
+    out = np.empty((len(packed), BINS), np.uint8)
+    out[:, 0::2], out[:, 1::2] = packed & 15, packed >> 4
+    return out
 
 
 def _agreement(percent: int):
     """Keep pairs whose sketches agree enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = may_be_similar(*(_rows_of_bytes(batch.column(c)) for c in ("ba", "bb")), *(batch.column(c).to_numpy() for c in ("na", "nb")), percent)
+            keep = may_be_similar(*(_rows_of_bins(batch.column(c)) for c in ("ba", "bb")), *(batch.column(c).to_numpy() for c in ("na", "nb")), percent)
             yield batch.select(["x", "y"]).filter(pa.array(keep))
 
     return run
@@ -235,7 +239,7 @@ def _pairs_in_groups(rows: int, percent: int):
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
         key, lo, hi, own, ids, n, root = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "own", "id", "n", "root"))
-        compound, bins = _compound(_unpacked(t.column("mins"), rows)), _rows_of_bytes(t.column("bins"))
+        compound, bins = _compound(_unpacked(t.column("mins"), rows)), _rows_of_bins(t.column("bins"))
         fresh = np.ones(len(ids), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
         start = np.maximum.accumulate(np.where(fresh, np.arange(len(ids)), 0))
