@@ -48,9 +48,11 @@ def sparse(obs: DataFrame) -> DataFrame:
     return obs.select(*out)
 
 
-def _marked(obs: DataFrame, keys: Sequence[str], arrival: str, clock: str) -> DataFrame:
+def _marked(
+    obs: DataFrame, keys: Sequence[str], arrival: str, clock: str, rows: DataFrame | None = None,
+) -> DataFrame:
     """The log with its slices and ``late``, partitioned by key and slice."""
-    rows = sliced(obs, keys, [arrival], keep=True)
+    rows = sliced(obs, keys, [arrival], keep=True) if rows is None else rows
     inside = Window.partitionBy(*keys, SLICE).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
     slices = rows.groupBy(*keys, SLICE).agg(F.max(clock).alias("_newest"))
     earlier = slices.select(*keys, SLICE, F.max("_newest").over(earlier_slices(keys)).alias("_earlier"))
@@ -61,13 +63,15 @@ def _marked(obs: DataFrame, keys: Sequence[str], arrival: str, clock: str) -> Da
 
 
 def mark_late(
-    obs: DataFrame, keys: Sequence[str] = KEY, arrival: str = ARRIVAL, clock: str = CLOCK
+    obs: DataFrame, keys: Sequence[str] = KEY, arrival: str = ARRIVAL, clock: str = CLOCK,
+    rows: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``late``: an earlier arrival of the same key has a newer ``clock``.
 
-    A row without a clock is older than any with one.
+    A row without a clock is older than any with one. ``rows`` are the sliced rows of ``obs`` where
+    the caller keeps them itself.
     """
-    return _marked(obs, list(keys), arrival, clock).drop(SLICE)
+    return _marked(obs, list(keys), arrival, clock, rows).drop(SLICE)
 
 
 def accepted(obs: DataFrame, **kwargs) -> DataFrame:

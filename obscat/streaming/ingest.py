@@ -26,9 +26,9 @@ from obscat.operators.skew import SLICE, sliced
 Prepare = Callable[[DataFrame], DataFrame | tuple[DataFrame, DataFrame]]
 
 
-def batch_state(obs: DataFrame) -> DataFrame:
-    """Fold state of one micro-batch, slice by slice."""
-    return merge_states(fold_state(sliced(obs, KEY, [ARRIVAL]), carry=(SLICE,)), SLICE)
+def batch_state(rows: DataFrame) -> DataFrame:
+    """Fold state of the sliced rows of one micro-batch."""
+    return merge_states(fold_state(rows, carry=(SLICE,)), SLICE)
 
 
 class Store:
@@ -75,9 +75,9 @@ class Store:
         self.write("base", "through", through, merged)
 
 
-def late_rows(batch: DataFrame, states: DataFrame | None) -> DataFrame:
+def late_rows(batch: DataFrame, states: DataFrame | None, rows: DataFrame | None = None) -> DataFrame:
     """Rows older than an earlier row of their key, in this batch or before it."""
-    marked = mark_late(batch)
+    marked = mark_late(batch, rows=rows)
     if states is None:
         return marked.where("late").drop("late")
     known = states.groupBy(*KEY).agg(F.max("newest").alias("_known"))
@@ -111,23 +111,23 @@ def ingest_batch(
     """Store one micro-batch: state, late rows, outcome and, given a clock, its items."""
     prepared = prepare(batch)
     obs, rejected = prepared if isinstance(prepared, tuple) else (prepared, None)
-    obs = obs.persist()
+    rows = sliced(obs, KEY, [ARRIVAL], keep=True)
     try:
         if rejected is not None:
             store.write("quarantine", "epoch", epoch, rejected)
         earlier = store.states(before=epoch)
-        store.write("late", "epoch", epoch, late_rows(obs, earlier))
-        store.write("state", "epoch", epoch, batch_state(obs))
-        counts = obs.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
+        store.write("late", "epoch", epoch, late_rows(obs, earlier, rows))
+        store.write("state", "epoch", epoch, batch_state(rows))
+        counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
         store.write("outcome", "epoch", epoch, counts)
         if as_of is not None:
             written = store.read("state").where(F.col("epoch") == epoch)
             affected = affected_items(written, earlier)
-            rows = affected_snapshot(store.states(before=epoch + 1), affected)
+            current = affected_snapshot(store.states(before=epoch + 1), affected)
             window = {} if freshness_minutes is None else {"freshness_minutes": freshness_minutes}
-            store.write("items", "epoch", epoch, golden_record(rows, as_of, **window))
+            store.write("items", "epoch", epoch, golden_record(current, as_of, **window))
     finally:
-        obs.unpersist()
+        rows.unpersist()
 
 
 def run_ingest(stream: DataFrame, path: str, checkpoint: str, prepare: Prepare, **kwargs) -> Store:
