@@ -34,8 +34,8 @@ from obscat.llm.registry import query, table
 
 #: Entries of a worker's table of encoded pieces. A full one becomes the older one, from which
 #: entries still in use move to the new one, so at most two tables of this size are held.
-TABLE_ENTRIES = 250_000
-BATCH_BYTES = 8 << 20
+TABLE_ENTRIES = 80_000
+BATCH_BYTES = 2 << 20
 #: Four control characters that str.split takes for white space and the vocabulary's rules don't.
 SPACES_OF_PYTHON_ONLY = re.compile("[\x1c-\x1f]")
 SPACES = re.compile(r"[^\S\x1c-\x1f]+")
@@ -98,7 +98,8 @@ class WordBpe:
         self.letters = dict(enumerate(byte_letters()))
         bodies = [t.removesuffix(self.end) for t in self.vocab]
         self.beginnings = {b[:n] for b in bodies for n in range(1, len(b) + 1)}
-        self.apart: dict[tuple[int, int], bool] = {}
+        #: By 65536 times the left token, or -1, plus the right one.
+        self.apart: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.table: dict[str, tuple[bytes, str]] = {}
         self.older: dict[str, tuple[bytes, str]] = {}
@@ -119,7 +120,7 @@ class WordBpe:
 
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether token ``b`` may follow token ``a``; ``a`` is -1 at the start of a word."""
-        known = self.apart.get((a, b))
+        known = self.apart.get(a << 16 | b)
         if known is None:
             right = self.names[b]
             if a < 0:
@@ -127,7 +128,7 @@ class WordBpe:
             else:
                 left = self.names[a]
                 known = self.merged(self.symbols(left) + self.symbols(right)) == [left, right]
-            self.apart[a, b] = known
+            self.apart[a << 16 | b] = known
         return known
 
     def last_token(self, word: str, first: int, n: int, states: list[int], suffix: str = "") -> int:
@@ -140,7 +141,7 @@ class WordBpe:
             token = vocab.get(word[start:n] + suffix)
             if token is None:
                 continue
-            known = apart.get((states[start], token))
+            known = apart.get(states[start] << 16 | token)
             if known or known is None and self.stay_apart(states[start], token):
                 return token
         raise ValueError(f"no token ends {word[:n]!r}")
