@@ -53,3 +53,32 @@ def test_probabilities_of_a_context_sum_to_one(spark):
         codes = {"p3": grams, "p2": low, "p1": last, "g2": grams >> np.uint64(21), "g1": low >> np.uint64(21)}
         p = np.exp(langid.log_probabilities(grams, {k: langid.spark_xxhash64(v) for k, v in codes.items()}, parts))[:, langs.index("en")]
         assert 0.9 < p.sum() < 1.001
+
+
+def test_every_trigram_has_an_entry_of_its_own(spark):
+    rnd = np.random.default_rng(4)
+    words = np.unique(rnd.integers(0x4E00, 0x9000, (90_000, 3)), axis=0)
+    text = " ".join("".join(map(chr, w)) for w in words)
+    grams = {g for w in text.split(" ") for g in zip("  " + w, " " + w + " ", w + "  ") if g[1:] != (" ", " ")}
+    found = langid.train(table(spark, [(1, text, "zh")]).select("text", "lang"))
+    assert found.where("part = 'p3'").select("h").distinct().count() == len(grams) > 1 << 18
+
+
+def test_joined_trigrams_score_like_held_ones(spark, monkeypatch):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([(EN, "en"), (DE, "de"), (EN + " zebra zebra", "en"), ("wo ist der zug nach köln", "de"), ("quilt", "en")])]
+    rows += [(10, "unseen xylophone köln 漢字 " + DE, None), (11, None, None), (12, "", None), (12, "zebra " * 500, None)]
+    docs = table(spark, rows)
+    langs, parts = langid.sorted_arrays(langid.train(docs.select("text", "lang")))
+    grams, words = langid.word_trigrams(*langid.distinct_words([rows[5][1]])[:3])
+    low, last = grams & np.uint64((1 << 42) - 1), grams & np.uint64((1 << 21) - 1)
+    codes = {"p3": grams, "p2": low, "p1": last, "g2": grams >> np.uint64(21), "g1": low >> np.uint64(21)}
+    logs = langid.log_probabilities(grams, {k: langid.spark_xxhash64(v) for k, v in codes.items()}, parts)
+    times = np.bincount(*langid.distinct_words([rows[5][1]])[4:6])
+    plain = -(logs * times[words][:, None]).sum(axis=0) / times[words].sum()
+    for hot in (0, 20, 1 << 18):
+        monkeypatch.setattr(langid, "HOT", hot)
+        model = langid.Model(docs.select("text", "lang"))
+        assert model.langs == langs and len(model.hot.value[0]) <= hot and (hot < 20 or len(model.hot.value[0]))
+        found = langid.entropies(docs.select("doc_id", "text"), model).collect()
+        assert len(found) == len(rows)
+        np.testing.assert_allclose([r.entropies for r in found if r.doc_id == 10][0], plain, rtol=1e-5)
