@@ -4,8 +4,10 @@ The model is an interpolated modified Kneser-Ney model of ``ORDER`` characters,
 whole text of all trusted documents. Tasks count n-grams of their texts, Spark adds them up in
 shards by n-gram, and joins of the counts with those of their contexts and of the next lower order
 give discounts, continuation probabilities and what a context leaves to the order below. The
-finished probabilities lie in sorted arrays of hashes of ``HASH_BITS`` bits, so their size is
-bounded whatever was read, and every task scores whole documents with them.
+finished probabilities are keyed by the whole packed n-gram. Tasks hold those of the most frequent
+n-grams of trusted text, at most ``HOT``; all other n-grams of a document leave the task with their
+counts, and a join with the sharded model adds their share. ``HOT`` bounds what a task holds and
+changes no result.
 
 A document's perplexity is compared with a high quantile of the perplexities of trusted documents
 of its language that the model was not trained on. Short texts are drawn towards the language's mean by ``PRIOR_CHARS`` characters.
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from obscat.llm.arrays import mixed, pieces
+from obscat.llm.arrays import pieces
 from obscat.llm.bitmaps import bitmap, may_hold
 from obscat.llm.registry import query, table
 from obscat.llm.store import written
@@ -33,7 +35,8 @@ from obscat.llm.store import written
 ORDER = 4
 #: Bits of a character in a packed n-gram.
 CHAR = 16
-HASH_BITS = 22
+#: Most n-grams that tasks hold.
+HOT = 1 << 21
 QUANTILE = 0.999
 PRIOR_CHARS = 300.0
 #: One in so many trusted documents stays out of the model and sets the limits.
@@ -79,24 +82,35 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"gram": keys.view(np.int64), "n": counts})
 
 
-def slots(packed: np.ndarray) -> np.ndarray:
-    return (mixed(packed) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+def counted(texts: DataFrame) -> DataFrame:
+    """``(gram, n)``: how often n-grams stand in a table with ``text``."""
+    return written(texts.where("text IS NOT NULL").select("text").mapInArrow(_count, "gram long, n long")
+                   .groupBy("gram").agg(F.sum("n").alias("n")), "grams")
 
 
-def _slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = pa.array(slots(batch.column("gram").to_numpy().view(np.uint64)))
-        yield pa.RecordBatch.from_arrays([batch.column("part"), found, batch.column("value")], names=["part", "h", "value"])
+def frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """``(gram)`` that stand 2**k times or more, for the smallest k that at most ``limit`` reach."""
+    counts = counts.withColumn("k", F.floor(F.log2("n")))
+    left, least = limit, 64
+    for k, n in sorted(counts.groupBy("k").agg(F.count(F.lit(1))).collect(), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        least = k
+    return counts.where(F.col("k") >= least).select("gram")
 
 
 def trained(texts: DataFrame) -> DataFrame:
-    """Model rows ``(part, h, value)`` from a table with ``text``.
+    """Model rows of a table with ``text``."""
+    return modelled(counted(texts))
+
+
+def modelled(counts: DataFrame) -> DataFrame:
+    """Model rows ``(part, gram, value)`` from ``(gram, n)``.
 
     ``p1`` to ``p4`` are probabilities of seen n-grams, ``g1`` to ``g3`` what a seen context
     leaves to the order below, ``p0`` is the probability of a character never seen.
     """
-    counts = written(texts.where("text IS NOT NULL").select("text").mapInArrow(_count, "gram long, n long")
-                     .groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     # lower orders count the different n-grams that end with them
     orders = {ORDER: counts}
     for order in range(ORDER - 1, 0, -1):
@@ -129,20 +143,23 @@ def trained(texts: DataFrame) -> DataFrame:
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)
-    return rows.mapInArrow(_slotted, "part string, h long, value double").groupBy("part", "h").agg(F.max("value").alias("value"))
+    return rows
 
 
 def sorted_arrays(model: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Per part the sorted hashes and the logarithms of their values; at most 2**HASH_BITS of each."""
-    found = model.orderBy("part", "h").toArrow()
+    """Per part the sorted n-grams and the logarithms of their values.
+
+    The whole model on one machine: for tests, which hold ``resolved`` against it.
+    """
+    found = model.orderBy("part", "gram").toArrow()
     parts, at = np.unique(np.array(found.column("part").to_pylist(), str), return_index=True)
     ends = [*at[1:], found.num_rows]
-    h, value = found.column("h").to_numpy(), found.column("value").to_numpy()
-    return {str(p): (h[a:b].astype(np.int32), np.log(np.maximum(value[a:b], 1e-12)).astype(np.float32)) for p, a, b in zip(parts, at, ends)}
+    gram, value = found.column("gram").to_numpy(), found.column("value").to_numpy()
+    return {str(p): (gram[a:b], np.log(np.maximum(value[a:b], 1e-12)).astype(np.float32)) for p, a, b in zip(parts, at, ends)}
 
 
 def log_probabilities(packed: np.ndarray, parts: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Logarithm of the probability of the last character of every n-gram after those before it."""
+    """Logarithm of the probability of the last character of every n-gram after those before it, from ``sorted_arrays``."""
     out = np.zeros(len(packed), np.float32)
     left = np.arange(len(packed))
     for order in range(ORDER, 0, -1):
@@ -161,14 +178,48 @@ def log_probabilities(packed: np.ndarray, parts: dict[str, tuple[np.ndarray, np.
 
 def _look(part: tuple[np.ndarray, np.ndarray], packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys, values = part
-    h = slots(packed).astype(np.int32)
-    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return values[at], keys[at] == h
-
-
-def entropies(docs: DataFrame, parts: dict, text: str) -> DataFrame:
+    packed = packed.view(np.int64)
+    at = np.minimum(np.searchsorted(keys, packed), len(keys) - 1)
+    return values[at], keys[at] == packed
+
+
+class Model:
+    """The sharded model of a table with ``text``, and its most frequent n-grams for tasks; ``unseen`` is None without text."""
+
+    def __init__(self, texts: DataFrame):
+        counts = counted(texts)
+        self.rows = written(modelled(counts).withColumn("value", F.log(F.greatest("value", F.lit(1e-12)))), "model")
+        unseen = self.rows.where("part = 'p0'").first()
+        self.unseen = unseen and unseen["value"]
+        if unseen:
+            found = self.resolved(frequent(counts, HOT)).toArrow().combine_chunks().sort_by("gram")
+            self.hot = texts.sparkSession.sparkContext.broadcast((found.column("gram").to_numpy(), found.column("log").to_numpy()))
+
+    def resolved(self, grams: DataFrame) -> DataFrame:
+        """``(gram, log)``: logarithm of the probability of the last character of n-grams ``(gram)`` after those before it."""
+        low = lambda order: F.col("gram").bitwiseAND((1 << (CHAR * order)) - 1) if order < ORDER else F.col("gram")
+        keys = {f"p{i}": low(i) for i in range(1, ORDER + 1)} | {f"g{i}": F.shiftrightunsigned(low(i + 1), CHAR) for i in range(1, ORDER)}
+        # keys of one character are few, and common to many n-grams
+        short = ("p1", "g1")
+        asked = grams.select("gram", F.explode(F.array(*[F.struct(F.lit(k).alias("part"), c.alias("key")) for k, c in keys.items() if k not in short])).alias("k"))
+        own = self.rows.where(~F.col("part").isin("p0", *short)).select("part", F.col("gram").alias("key"), "value")
+        found = asked.select("gram", "k.part", "k.key").join(own, ["part", "key"], "left").groupBy("gram").agg(
+            *[F.max(F.when(F.col("part") == k, F.col("value"))).alias(k) for k in keys if k not in short])
+        for k in short:
+            values = self.rows.where(F.col("part") == k).select(F.col("gram").alias("key"), F.col("value").alias(k))
+            found = found.withColumn("key", keys[k]).join(F.broadcast(values), "key", "left").drop("key")
+        log = F.coalesce("p1", F.lit(self.unseen))
+        for i in range(2, ORDER + 1):
+            log = F.coalesce(F.col(f"p{i}"), log + F.coalesce(f"g{i - 1}", F.lit(0.0)))
+        return found.select("gram", log.cast("float").alias("log"))
+
+
+_COLD = pa.struct([("gram", pa.int64()), ("n", pa.int64())])
+
+
+def entropies(docs: DataFrame, model: Model, text: str) -> DataFrame:
     """Add ``n_scored`` and ``entropy``, the mean negative logarithm per character; drops the text."""
-    model = docs.sparkSession.sparkContext.broadcast(parts)
+    hot = model.hot
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns if c != text]).alias("kept"), docs[text].cast("string").alias("text"))
     kind = rows.schema["kept"].dataType.simpleString()
 
@@ -176,13 +227,29 @@ def entropies(docs: DataFrame, parts: dict, text: str) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch, "text", PIECE):
                 packed, bounds = grams([t or "" for t in piece.column("text").to_pylist()])
-                unique, at = np.unique(packed, return_inverse=True)
-                logs = np.concatenate([[0.0], np.cumsum(log_probabilities(unique, model.value).astype(np.float64)[at])])
-                n = np.diff(bounds)
-                mean = -np.diff(logs[bounds]) / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([piece.column("kept"), pa.array(n), pa.array(mean)], names=["kept", "n_scored", "entropy"])
-
-    return rows.mapInArrow(run, f"kept {kind}, n_scored long, entropy double").select("kept.*", "n_scored", "entropy")
+                unique, at = np.unique(packed.view(np.int64), return_inverse=True)
+                keys, known = hot.value
+                place = np.minimum(np.searchsorted(keys, unique), max(0, len(keys) - 1))
+                hit = keys[place] == unique if len(keys) else np.zeros(len(unique), bool)
+                own = np.zeros(len(unique))
+                own[hit] = known[place[hit]]
+                logs = np.concatenate([[0.0], np.cumsum(own[at])])
+                # what tasks do not hold: distinct n-grams of every row, with their counts
+                left = np.flatnonzero(~hit[at])
+                row = np.searchsorted(bounds, left, side="right") - 1
+                pair, times = np.unique(row * np.int64(max(1, len(unique))) + at[left], return_counts=True)
+                row, gram = pair // max(1, len(unique)), unique[pair % max(1, len(unique))]
+                rest = pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(row, np.arange(len(piece) + 1)).astype(np.int32)),
+                    pa.StructArray.from_arrays([pa.array(gram, pa.int64()), pa.array(times, pa.int64())], fields=list(_COLD)))
+                yield pa.RecordBatch.from_arrays([piece.column("kept"), pa.array(np.diff(bounds)), pa.array(np.diff(logs[bounds])), rest], names=["kept", "n_scored", "sum", "cold"])
+
+    part = written(rows.mapInArrow(run, f"kept {kind}, n_scored long, sum double, cold array<struct<gram:bigint,n:bigint>>"), "sums") \
+        .withColumn("row", F.monotonically_increasing_id())
+    cold = part.where(F.size("cold") > 0).select("row", F.explode("cold").alias("c")).select("row", "c.gram", "c.n")
+    more = cold.join(model.resolved(cold.select("gram").distinct()), "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("log").cast("double")).alias("more"))
+    mean = -(F.col("sum") + F.coalesce("more", F.lit(0.0))) / F.greatest("n_scored", F.lit(1))
+    return part.drop("cold").join(more, "row", "left").select("kept.*", "n_scored", mean.alias("entropy"))
 
 
 def _possible(bits):
@@ -214,14 +281,14 @@ def score_quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTIL
     others = [c for c in docs.columns if c.lower() not in RESULT and c != text]
     trusted = trusted.select(F.col("id").cast("long").alias("id"))
     aside = F.pmod(F.xxhash64("id"), F.lit(CALIBRATION)) == 0
-    parts = sorted_arrays(trained(trusted_texts(docs, trusted.where(~aside), id_column, text)))
+    model = Model(trusted_texts(docs, trusted.where(~aside), id_column, text))
     scores = docs.select(*others, text)
-    if "p1" not in parts:
+    if model.unseen is None:
         size = F.coalesce(F.char_length(F.col(text).cast("string")), F.lit(0))
         none = F.lit(None).cast("double")
         return scores.select(*others, size.cast("long").alias("n_scored"), none.alias("perplexity"), none.alias("limit"), (size > 0).alias("kept"))
     inner = scores.select(F.struct(*others).alias("kept_row"), F.col(id_column).cast("long").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    scored = written(entropies(inner, parts, "text"), "entropies")
+    scored = written(entropies(inner, model, "text"), "entropies")
     sample = scored.join(trusted.where(aside).distinct(), "id", "left_semi").where("n_scored > 0")
     mean = F.lit(sample.agg(F.sum(F.col("entropy") * F.col("n_scored")) / F.sum("n_scored")).first()[0]).cast("double")
     drawn = (F.col("entropy") * F.col("n_scored") + mean * PRIOR_CHARS) / (F.col("n_scored") + PRIOR_CHARS)

@@ -1,6 +1,6 @@
 import numpy as np
 
-from obscat.llm import quality
+from obscat.llm import arrays, quality
 
 KIND = "doc_id long, lang string, text string, kept string, id int"
 
@@ -57,3 +57,30 @@ def test_labels_of_the_tables_are_met(spark):
     found = quality.op2_quality(spark, "/root/testdata/sf0.01").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas().merge(found, on="doc_id")
     assert labels[labels.quality == 0].kept.mean() < 0.1 and labels[(labels.quality == 1) & (labels.toxic == 0)].kept.mean() > 0.95
+
+
+def test_an_unseen_gram_takes_no_place_of_a_seen_one(spark):
+    points = np.unique(np.random.default_rng(2).integers(0x4E00, 0x9000, (20_000, 4)).astype(np.uint64), axis=0)
+    packed = points[:, 0] << np.uint64(48) | points[:, 1] << np.uint64(32) | points[:, 2] << np.uint64(16) | points[:, 3]
+    slot = arrays.mixed(packed) >> np.uint64(42)
+    order = np.argsort(slot)
+    i = np.flatnonzero(slot[order][1:] == slot[order][:-1])[0]
+    seen, unseen = packed[order[i]], packed[order[i + 1]]
+    text = "".join(chr(int(seen) >> s & 0xFFFF) for s in (48, 32, 16, 0))
+    parts = quality.sorted_arrays(quality.trained(table(spark, [(1, "zh", text * 5), (2, "zh", good(1))]).select("text")))
+    of_seen, of_unseen = quality.log_probabilities(np.array([seen, unseen], np.uint64), parts)
+    assert of_unseen < of_seen - 1 and np.isclose(of_unseen, parts["p0"][1][0])
+
+
+def test_joined_grams_score_like_held_ones(spark, monkeypatch):
+    docs = table(spark, [*ROWS[:20], (30, "en", "Unseen 漢字 \U0001F600 text, of cats 42 " * 3), (31, "en", None)])
+    trained_on = docs.where("doc_id < 20").select("text")
+    parts = quality.sorted_arrays(quality.trained(trained_on))
+    want = {r.doc_id: -quality.log_probabilities(quality.grams([r.text])[0], parts).astype(float).mean() for r in docs.collect() if r.text}
+    for hot in (0, 50, 1 << 21):
+        monkeypatch.setattr(quality, "HOT", hot)
+        model = quality.Model(trained_on)
+        assert len(model.hot.value[0]) <= hot and (hot < 50 or len(model.hot.value[0]))
+        got = {r.doc_id: r.entropy for r in quality.entropies(docs.select("doc_id", "text"), model, "text").collect()}
+        assert got.pop(31) == 0 and got.keys() == want.keys()
+        np.testing.assert_allclose([got[k] for k in want], list(want.values()), rtol=1e-5)
