@@ -11,6 +11,7 @@ from obscat.llm import (  # noqa: F401
     quality,
     secrets,
     topk,
+    toxicity,
     trie,
     warc,
 )
