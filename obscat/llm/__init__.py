@@ -14,6 +14,7 @@ from obscat.llm import (  # noqa: F401
     toxicity,
     trie,
     warc,
+    whitening,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
