@@ -268,7 +268,7 @@ _EVENT_SQL = """'{"id":"' || entity_hash || '","title":"' || title || '","tracke
   WHEN size_bytes >= 1048576 THEN size_bytes / 1048576.0 WHEN size_bytes >= 1024 THEN size_bytes / 1024.0 ELSE size_bytes END, 2)), '0+$', ''), '\\.$', '') ||
   CASE WHEN size_bytes >= 1073741824 THEN ' GB' WHEN size_bytes >= 1048576 THEN ' MB' WHEN size_bytes >= 1024 THEN ' KB' ELSE ' B' END ||
   '","seeders":' || popularity || ',"leechers":' || secondary_popularity || ',"publishDate":"' || strftime(publish_date, '%Y-%m-%dT%H:%M:%SZ') ||
-  '","magnetUri":"' || link || '","link":"' || source_url || '","tags":[]}'"""
+  '","magnetUri":"' || link || '","link":"' || source_url || '","tags":[' || CASE WHEN regexp_matches(title, '\\b(19|20)\\d{2}\\b') THEN '{"kind":"year","value":"' || regexp_extract(title, '\\b((19|20)\\d{2})\\b', 1) || '"}' ELSE '' END || ']}'"""
 
 
 @query("search_events", gold_sql("""SELECT source, batch, count(*) AS n_results, '{"type":"batch","source":"' || source || '","results":[' || string_agg(""" + _EVENT_SQL + """,
