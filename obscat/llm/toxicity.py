@@ -4,9 +4,10 @@ A word is the bag of its character n-grams (``GRAMS`` long, the word's edges mar
 2^``BITS``; a text is the average of its words, where frequent words weigh less (a / (a + share of all
 words)), and a word is the average of its n-grams' vectors. So a misspelling that was never seen
 still shares most of its vectors with the word. Vectors and softmax are trained together by numpy
-on the driver, on a sample of at most ``SAMPLE`` labelled texts.
+on the driver. Learned from is a sample of at most ``SAMPLE`` labelled documents with their whole texts, drawn by the
+hash of the id; as it is small, its ids meet the documents without a shuffle of texts.
 
-Over all labelled texts Spark counts how many words of either class hold a bucket. Buckets that differ between
+Over the sample Spark counts how many words of either class hold a bucket. Buckets that differ between
 the classes more than any of them would by chance (``MIN_CHI``), at most ``MAX_FEATURES``, get vectors; the others would only be learned by
 heart. As all but the softmax is linear, a task needs one number per bucket to score a text. All tables
 that tasks get have a fixed size: 2^``BITS`` numbers for buckets and for word shares.
@@ -34,8 +35,8 @@ from obscat.llm.store import written
 
 GRAMS = (3, 4, 5, 6)
 BITS = 18
-#: Labelled texts that the vectors are trained on, at most; the choice of buckets uses all.
-SAMPLE = 8192
+#: Labelled documents that are learned from, at most.
+SAMPLE = 12288
 #: Buckets with a vector, at most.
 MAX_FEATURES = 2048
 #: Words that a bucket must stand in, and how far its classes must differ: one bucket in 2^18 does by chance.
@@ -90,7 +91,7 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-# Counts over all labelled texts
+# Counts over labelled texts
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of either class by bucket, occurrences by word slot, and words of either class in all (slot -1)."""
@@ -194,8 +195,16 @@ def train(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return vectors @ (softmax[:, 1] - softmax[:, 0]) * scale, float(bias[1] - bias[0])
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """``(log odds by bucket, weight by word slot, bias)`` from rows ``(id, text, toxic)`` with toxic 0 or 1."""
+def labelled_texts(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``(id, toxic, text)`` of at most ``sample`` documents ``(id, text)`` with a label ``(id, toxic)``, one row for an id."""
+    labels = labels.where("toxic IN (0, 1) AND id IS NOT NULL").groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
+    drawn = labels.orderBy(F.xxhash64("id", F.lit(12)), "id").limit(sample)
+    rows = documents.join(F.broadcast(drawn), "id").groupBy("id").agg(F.max(F.struct("toxic", "text")).alias("_r"))
+    return written(rows.select("id", "_r.toxic", "_r.text"), "toxicity-labelled")
+
+
+def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """``(log odds by bucket, weight by word slot, bias)`` from rows ``(id, toxic, text)`` with toxic 0 or 1."""
     counts = labelled.select("text", "toxic").mapInArrow(_count, "slot long, n0 long, n1 long, n_seen long")
     counts = counts.groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "n_seen")]).toArrow()
     slot = counts.column("slot").to_numpy()
@@ -209,9 +218,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarr
     place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     weight = _weights(seen)
-    drawn = labelled.select("id").distinct().orderBy(F.xxhash64("id", F.lit(12)), "id").limit(sample)
-    rows = labelled.join(drawn, "id").groupBy("id").agg(F.max(F.struct("toxic", "text")).alias("_r"))
-    rows = rows.select(F.xxhash64("id", F.lit(12)).alias("place"), "_r.toxic", "_r.text")
+    rows = labelled.select(F.xxhash64("id", F.lit(12)).alias("place"), "toxic", "text")
     bags = rows.mapInArrow(partial(_features, place=place, weight=weight), "place long, toxic int, features array<int>, values array<float>").toArrow()
     y = bags.column("toxic").to_numpy().astype(np.int64)
     if not len(y):
@@ -251,11 +258,10 @@ def _score(batches: Iterator[pa.RecordBatch], schema: pa.Schema, model) -> Itera
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*piece.schema, *schema]))
 
 
-def score_toxicity(documents: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Add ``score`` and ``predicted`` to documents with a ``text``; ``labelled`` rows are ``(id, text, toxic)``."""
-    added = [c for c in documents.columns if c.lower() not in ("score", "predicted")]
-    documents = documents.select(*added)
-    model = fit(labelled, sample)
+def score_toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id") -> DataFrame:
+    """Add ``score`` and ``predicted`` to documents with a ``text``; learned from ``labels`` ``(id, toxic)``."""
+    documents = documents.select(*[c for c in documents.columns if c.lower() not in ("score", "predicted")])
+    model = fit(labelled_texts(documents.select(F.col(id_column).alias("id"), "text"), labels, sample))
     if model is None:
         return documents.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     held = documents.sparkSession.sparkContext.broadcast(model)
@@ -276,6 +282,5 @@ def held_out():
 @query("op12_toxicity")
 def op12_toxicity(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    labels = table(spark, sf_dir, "labels").where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    learned = documents.where("NOT held_out").join(labels, "doc_id").select(F.col("doc_id").alias("id"), "text", "toxic")
-    return score_toxicity(documents, written(learned, "toxicity-labelled")).drop("text")
+    labels = table(spark, sf_dir, "labels").where(~held_out()).select(F.col("doc_id").alias("id"), "toxic")
+    return score_toxicity(documents, labels).drop("text")

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from obscat.llm import toxicity
 
@@ -79,9 +80,11 @@ def test_toxic_texts_are_found(spark, model):
     assert found.mean() > 0.97
 
 
-def test_the_sample_bounds_training_only(spark):
+def test_a_small_sample(spark):
     rows = spark.createDataFrame(texts(1, 600), "id long, text string, toxic int")
-    small = toxicity.fit(rows, sample=150)
+    drawn = toxicity.labelled_texts(rows.select("id", "text").union(rows.select("id", "text")), rows.select("id", "toxic"), 150)
+    assert drawn.count() == 150 and drawn.join(rows, ["id", "text", "toxic"]).count() == 150
+    small = toxicity.fit(drawn)
     tests = texts(4, 200)
     scores = toxicity.log_odds(pa.array([t for _, t, _ in tests]), *small)
     assert ((scores > 0) == np.array([y == 1 for *_, y in tests])).mean() > 0.9
@@ -112,7 +115,8 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(
         [(1, None, 5, "a"), (2, "", 6, "b"), (2, "", 6, "b"), (None, "grobnik " * 50, 7, None), (4, "river " * 20000, 8, "c")],
         "doc_id long, text string, Score int, value string")
-    out = toxicity.score_toxicity(docs, rows)
+    learned = docs.unionByName(rows.select((F.col("id") + 1000).alias("doc_id"), "text"), allowMissingColumns=True)
+    out = toxicity.score_toxicity(learned, rows.select((F.col("id") + 1000).alias("id"), "toxic")).where("doc_id < 1000 OR doc_id IS NULL")
     assert out.columns == ["doc_id", "text", "value", "score", "predicted"]
     got = {(r.doc_id, r.text and r.text[:5]): r for r in out.collect()}
     assert out.count() == 5 and len({r.score for r in got.values() if not r.text}) == 1
@@ -121,14 +125,16 @@ def test_odd_rows(spark):
 
 
 def test_no_labels_and_one_class(spark):
-    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
-    none = spark.createDataFrame([], "id long, text string, toxic int")
-    assert [(r.score, r.predicted) for r in toxicity.score_toxicity(docs, none).collect()] == [(0.0, 0)] * 2
-    calm = spark.createDataFrame([(i, "some words", 0) for i in range(40)], "id long, text string, toxic int")
+    docs = spark.createDataFrame([(i, "some words" if i % 2 else None) for i in range(40)], "doc_id long, text string")
+    for labels in ([], [(1, None), (2, 5)], [(1000, 1)]):
+        found = toxicity.score_toxicity(docs, spark.createDataFrame(labels, "id long, toxic int")).collect()
+        assert {(r.score, r.predicted) for r in found} == {(0.0, 0)} and len(found) == 40
+    calm = spark.createDataFrame([(i, 0) for i in range(40)], "id long, toxic int")
     assert all(r.predicted == 0 for r in toxicity.score_toxicity(docs, calm).collect())
     assert toxicity.score_toxicity(docs.limit(0), calm).count() == 0
-    empty = spark.createDataFrame([(i, "", i % 2) for i in range(40)], "id long, text string, toxic int")
-    assert toxicity.score_toxicity(docs, empty).count() == 2
+    empty = docs.withColumn("text", F.lit(""))
+    mixed = spark.createDataFrame([(i, i % 2) for i in range(40)], "id long, toxic int")
+    assert toxicity.score_toxicity(empty, mixed).count() == 40
 
 
 def test_query_on_held_out_labels(spark):
