@@ -88,7 +88,7 @@ def addresses(texts: Texts) -> list[tuple[str, int, int]]:
         parts = match[0].split(b".")
         ends = start + np.cumsum([len(p) + 1 for p in parts]) - 1
         for i in range(0, len(parts) - 3, 4):
-            if all(len(p.lstrip(b"0")) <= 3 and int(p) <= LARGEST_PART for p in parts[i : i + 4]):
+            if all(len(p.lstrip(b"0")) <= 3 and int(p[-3:]) <= LARGEST_PART for p in parts[i : i + 4]):
                 out.append(("ip", int(ends[i]) - len(parts[i]), int(ends[i + 3])))
     return out
 

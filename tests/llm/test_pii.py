@@ -10,6 +10,7 @@ from tests.llm import plain
 TEXTS = plain.EDGE_TEXTS + [
     "é a.b@c.de, x@y z@@w.de a@b.c@d.e @x.y .@-.-", "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8.9 1..2.3.4 1.2.3 1.2.3.", "4111 1111 1111 1111 4111-1111-1111-1111 4111  1111 1111 1111",
     "+1 (663) 555-6869 +1234567 +12345678+12345678 +1 +49-", "a@b.c." + "1" * 50, "0" * 40 + " " + "0" * 16, "mail:user%x@host-.a_b", "1.1.1.1@2.2.2.2", "+1.2.3.4444",
+    "1.2.3." + "0" * 5000 + "1 1.2.3." + "0" * 5000 + "256", "9" * 6000 + ".1.2.3",
 ]
 
 
