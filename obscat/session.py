@@ -15,6 +15,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
         SparkSession.builder.master(f"local[{cores}]")
         .appName("obscat")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))

@@ -1,147 +1,279 @@
 """Incremental ingest of the observation log.
 
-Each micro-batch is folded by itself and its state is written under its epoch; writing an
-epoch again replaces it, so a retried batch changes nothing. The snapshot is the merge of
-the states in epoch order (see :mod:`obscat.operators.fold`), and a compaction merges the
-old epochs into a new base. No batch reads or rewrites more than it needs.
+A stateful operator keeps one row per source key: the newest clock it has seen and the folded
+values. A micro-batch therefore costs its own rows and keys, whatever came before it. Of every key
+the operator gives out its late rows, its current row and, where it moved to another item, a row that
+takes it off the old one.
 
-Layout below the store folder: ``state/epoch=N``, ``base/through=N``, ``late/epoch=N``,
-``items/epoch=N``, ``quarantine/epoch=N`` and ``outcome/epoch=N``.
+The rows of items lie in ``BUCKETS`` hash buckets. The items of an epoch are computed again from the
+buckets that it touches; the others are not opened. All tables of an epoch are written first and its
+commit file last; readers only see epochs with a commit file, and a batch that comes again after
+its commit is left out.
+
+Layout below the store folder: ``given/epoch=N/kind=K`` (all that the operator gives out), ``rows/bucket=B/epoch=N``,
+``items/bucket=B/epoch=N`` and the files ``commits/N``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from obscat.operators.fold import (
-    ARRIVAL, CLOCK, KEY, finish, fold_state, last_per_key, mark_late, merge_states,
-)
+from obscat.operators.fold import ARRIVAL, CLOCK, KEY, last_per_key
 from obscat.operators.golden import ITEM, golden_record
-from obscat.operators.skew import SLICE, sliced
+from obscat.schema import FIELD_BITS, MASKED_COLUMNS, OBSERVATION, RETAINING_STATES
 
-# Raw batch to observations, or to (observations, quarantined rows).
+# Raw stream to observations, or to (observations, rejected rows).
 Prepare = Callable[[DataFrame], DataFrame | tuple[DataFrame, DataFrame]]
 
+#: Buckets of a store; the number must stay the same while the store lives.
+BUCKETS = 64
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+_NAMES = OBSERVATION.names
+_AT = {name: i for i, name in enumerate(_NAMES)}
+_MASKED = [(FIELD_BITS[f], [_AT[c] for c in cols]) for f, cols in MASKED_COLUMNS.items()]
+_FOLLOW = [
+    i for i, name in enumerate(_NAMES)
+    if name not in {c for cols in MASKED_COLUMNS.values() for c in cols} | {"observed_fields", "details"}
+]
+_KNOWN_BITS = sum(FIELD_BITS.values())
+#: Held per key: newest clock, whether its details are to be kept, and the folded row.
+STATE = T.StructType([
+    T.StructField("newest", T.TimestampNTZType()), T.StructField("kept_details", T.BooleanType()), *OBSERVATION.fields,
+])
+OUT = T.StructType([T.StructField("kind", T.StringType()), *OBSERVATION.fields, T.StructField("rejected", T.StringType())])
+
+
+def _arrival(row: Row) -> tuple:
+    return (row[ARRIVAL] is not None, row[ARRIVAL] or "")
+
+#: Tables that may have epochs without any row, and so without a file that holds their schema.
+_SCHEMAS = {
+    "given": T.StructType([*OUT.fields, T.StructField("epoch", T.IntegerType())]),
+    "rows": T.StructType([T.StructField("kind", T.StringType()), *OBSERVATION.fields, T.StructField("bucket", T.IntegerType()), T.StructField("epoch", T.IntegerType())]),
+}
+
+
+class KeyFold(StatefulProcessor):
+    """Masked fold of one key, row by row in arrival order, as :mod:`obscat.operators.fold` defines it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.current = handle.getValueState("current", STATE)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.current.get() if self.current.exists() else None
+        newest, kept, folded = (held[0], held[1], list(held[2:])) if held else (None, False, None)
+        before = folded[_AT[ITEM]] if folded else None
+        accepted = False
+        for row in sorted(rows, key=_arrival):
+            clock = row[CLOCK]
+            if newest is not None and (clock is None or clock < newest):
+                yield _out("late", [row[c] for c in _NAMES])
+                continue
+            newest = clock if clock is not None else newest
+            values = [row[c] for c in _NAMES]
+            folded, kept = _fold(folded, kept, values)
+            accepted = True
+        if not accepted:
+            return
+        self.current.update((newest, kept, *folded))
+        yield _out("current", folded)
+        if before is not None and before != folded[_AT[ITEM]]:
+            moved = [None] * len(_NAMES)
+            for name, value in ((KEY[0], key[0]), (KEY[1], key[1]), (ITEM, before)):
+                moved[_AT[name]] = value
+            yield _out("moved", moved)
+
+    def close(self) -> None:
+        pass
+
+
+def _out(kind: str, values: Sequence) -> Row:
+    return Row(*OUT.names)(kind, *values, None)
+
+
+def _fold(folded: list | None, kept: bool, row: list) -> tuple[list, bool]:
+    """The folded row after one accepted row, and whether a row has set its details for good."""
+    mask, details = _AT["observed_fields"], _AT["details"]
+    if folded is None:
+        folded = [None] * len(_NAMES)
+        folded[mask], folded[details] = 0, row[details] if row[details] is not None else "{}"
+    for i in _FOLLOW:
+        folded[i] = row[i]
+    seen = row[mask] or 0
+    for bit, columns in _MASKED:
+        if seen & bit:
+            for i in columns:
+                folded[i] = row[i]
+    folded[mask] |= seen & _KNOWN_BITS
+    state = row[_AT["details_state"]]
+    if state is not None and state not in RETAINING_STATES:
+        folded[details], kept = row[details] if row[details] is not None else "{}", True
+    return folded, kept
+
+
+def folded_stream(stream: DataFrame, prepare: Prepare, show: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Rows of kind ``late``, ``current``, ``moved`` and ``rejected`` of a streamed log, and as ``shown`` what ``show`` leaves of it."""
+    prepared = prepare(stream)
+    obs, rejected = prepared if isinstance(prepared, tuple) else (prepared, None)
+    obs = obs.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in OBSERVATION])
+    out = obs.groupBy(*KEY).transformWithState(KeyFold(), outputStructType=OUT, outputMode="Append", timeMode="None")
+    if show is not None:
+        out = out.unionByName(show(obs).withColumn("kind", F.lit("shown")), allowMissingColumns=True)
+    if rejected is None:
+        return out
+    bad = rejected.select(F.lit("rejected").alias("kind"), F.to_json(F.struct("*")).alias("rejected"))
+    return out.unionByName(bad, allowMissingColumns=True)
 
-def batch_state(rows: DataFrame) -> DataFrame:
-    """Fold state of the sliced rows of one micro-batch."""
-    return merge_states(fold_state(rows, carry=(SLICE,)), SLICE)
+
+def bucket_of(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
 class Store:
-    """Written tables of one ingest."""
+    """Written tables of one ingest; only committed epochs are read."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path, buckets
 
-    def read(self, table: str) -> DataFrame | None:
-        """A table of the store, None where nothing has been written yet; any other trouble is raised."""
-        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-        if not place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-            return None
-        return self.spark.read.option("basePath", f"{self.path}/{table}").parquet(f"{self.path}/{table}")
+    def _place(self, name: str):
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
 
-    def write(self, table: str, part: str, number: int, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/{table}/{part}={number}")
+    def committed(self) -> list[int]:
+        """Numbers of the committed epochs."""
+        files, place = self._place("commits")
+        if not files.exists(place):
+            return []
+        return sorted(int(f.getPath().getName()) for f in files.listStatus(place) if f.getPath().getName().isdigit())
 
-    def states(self, before: int | None = None) -> DataFrame | None:
-        """Base and later epoch states with their order in ``epoch``."""
-        base, deltas = self.read("base"), self.read("state")
-        if deltas is None:
+    def commit(self, epoch: int) -> None:
+        """Make an epoch visible; a file is created as a whole or not at all."""
+        files, place = self._place(f"commits/{epoch}")
+        files.create(place, True).close()
+
+    def read(self, table: str, buckets: Iterable[int] | None = None, also: int | None = None) -> DataFrame | None:
+        """Committed rows of a table (and those of epoch ``also``), of some of its buckets; None where there is nothing."""
+        epochs = {*self.committed(), *([] if also is None else [also])}
+        places = [table] if buckets is None else [f"{table}/bucket={b}" for b in sorted(buckets)]
+        found = [p for p in places if (lambda fs, at: fs.exists(at))(*self._place(p))]
+        if not found or not epochs:
             return None
-        if before is not None:
-            deltas = deltas.where(F.col("epoch") < before)
-        if base is None:
-            return deltas
-        through = base.agg(F.max("through")).first()[0]
-        newest = base.where(F.col("through") == through).withColumnRenamed("through", "epoch")
-        return deltas.where(F.col("epoch") > through).unionByName(newest)
+        reader = self.spark.read.option("basePath", f"{self.path}/{table}")
+        if table in _SCHEMAS:
+            reader = reader.schema(_SCHEMAS[table])
+        rows = reader.parquet(*[f"{self.path}/{p}" for p in found])
+        return rows.where(F.col("epoch").isin(*epochs))
+
+    def write(self, table: str, epoch: int, rows: DataFrame, bucket_by: Sequence[str] = (), by: Sequence[str] = ()) -> None:
+        """Write an epoch of a table again from scratch, in buckets by the hash of some columns or in folders by others."""
+        if not bucket_by:
+            rows.write.mode("overwrite").partitionBy(*by).parquet(f"{self.path}/{table}/epoch={epoch}")
+            return
+        rows = rows.withColumn("bucket", bucket_of(bucket_by, self.buckets)).withColumn("epoch", F.lit(epoch))
+        # one task per bucket, several for one that a common item has made large
+        out = rows.hint("rebalance", "bucket").write.partitionBy("bucket", "epoch")
+        out.option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{self.path}/{table}")
+
+    def touched(self, rows: DataFrame, keys: Sequence[str]) -> list[int]:
+        """Buckets of some rows."""
+        return [r[0] for r in rows.select(bucket_of(keys, self.buckets).alias("b")).distinct().collect()]
+
+    def given(self, kind: str) -> DataFrame:
+        """What the operator gave out of one kind, with its epoch: ``late``, ``rejected``, ``shown``."""
+        rows = self.read("given").where(F.col("kind") == kind).drop("kind")
+        return rows.select("rejected", "epoch") if kind == "rejected" else rows.drop("rejected")
+
+    def outcome(self) -> DataFrame:
+        """Rows per epoch, kind and source."""
+        counted = self.read("given").where("kind <> 'shown'")
+        return counted.groupBy("epoch", "kind", "source").agg(F.count(F.lit(1)).alias("n_rows"))
 
     def snapshot(self) -> DataFrame:
         """Current row per source key."""
-        return finish(merge_states(self.states(), "epoch"))
+        rows = self.read("rows").where("kind = 'current'").drop("kind", "bucket")
+        return last_per_key(rows, KEY, "epoch").drop("epoch", ARRIVAL)
 
     def items(self) -> DataFrame:
-        """Current canonical row per item: the one of its latest epoch."""
-        return last_per_key(self.read("items"), [ITEM], "epoch").drop("epoch")
+        """Current canonical row per item: the one of its latest epoch, unless nothing names it any more."""
+        last = last_per_key(self.read("items"), [ITEM], "epoch")
+        return last.where("NOT gone").drop("epoch", "bucket", "gone")
+
+    def rows_of(self, items: DataFrame, buckets: Iterable[int], epoch: int) -> DataFrame:
+        """Current rows of ``items``, from their buckets, up to an epoch that may still be uncommitted."""
+        rows = self.read("rows", buckets, also=epoch).where(F.col("epoch") <= epoch)
+        mine = rows.join(items, ITEM, "left_semi")
+        last = last_per_key(mine, [ITEM, *KEY], "epoch")
+        return last.where("kind = 'current'").drop("kind", "bucket", "epoch", ARRIVAL)
 
     def compact(self, through: int) -> None:
-        """Merge all states up to an epoch into a new base."""
-        states = self.states()
-        merged = merge_states(states.where(F.col("epoch") <= through), "epoch")
-        self.write("base", "through", through, merged)
-
-
-def late_rows(batch: DataFrame, states: DataFrame | None, rows: DataFrame | None = None) -> DataFrame:
-    """Rows older than an earlier row of their key, in this batch or before it."""
-    marked = mark_late(batch, rows=rows)
-    if states is None:
-        return marked.where("late").drop("late")
-    known = states.groupBy(*KEY).agg(F.max("newest").alias("_known"))
-    joined = marked.join(known, list(KEY), "left")
-    older = F.col(CLOCK).isNull() | F.coalesce(F.col(CLOCK) < F.col("_known"), F.lit(False))
-    stale = F.col("late") | (F.col("_known").isNotNull() & older)
-    return joined.where(stale).select(*batch.columns)
-
-
-def affected_items(state: DataFrame, earlier: DataFrame | None) -> DataFrame:
-    """Items the batch names, and the items its keys were linked to before."""
-    now = state.select(F.col(f"row.{ITEM}").alias(ITEM))
-    if earlier is None:
-        return now.distinct()
-    touched = earlier.join(state.select(*KEY), list(KEY), "left_semi")
-    return now.union(touched.select(F.col(f"row.{ITEM}").alias(ITEM))).distinct()
-
-
-def affected_snapshot(states: DataFrame, affected: DataFrame) -> DataFrame:
-    """Current rows of the affected items; only keys that ever named one are merged."""
-    linked = states.select(*KEY, F.col(f"row.{ITEM}").alias(ITEM))
-    keys = linked.join(affected, ITEM, "left_semi").select(*KEY).distinct()
-    rows = finish(merge_states(states.join(keys, list(KEY), "left_semi"), "epoch"))
-    return rows.join(affected, ITEM, "left_semi")
-
-
-def ingest_batch(
-    store: Store, batch: DataFrame, epoch: int, prepare: Prepare, as_of: str | None = None,
-    freshness_minutes: int | None = None,
-) -> None:
-    """Store one micro-batch: state, late rows, outcome and, given a clock, its items."""
-    prepared = prepare(batch)
-    obs, rejected = prepared if isinstance(prepared, tuple) else (prepared, None)
-    rows = sliced(obs, KEY, [ARRIVAL], keep=True)
+        """Keep only the last row per item and key of the epochs up to one, under that epoch's number.
+
+        Readers may not run meanwhile: files of the older epochs go.
+        """
+        for table, key in (("rows", [ITEM, *KEY]), ("items", [ITEM])):
+            rows = self.read(table)
+            if rows is None:
+                continue
+            old = rows.where(F.col("epoch") <= through).drop("bucket")
+            kept = last_per_key(old, key, "epoch").drop("epoch")
+            kept.write.mode("overwrite").parquet(f"{self.path}/compact-{table}")
+            self.write(table, through, self.spark.read.parquet(f"{self.path}/compact-{table}"), [ITEM])
+            for bucket in range(self.buckets):
+                files, place = self._place(f"{table}/bucket={bucket}")
+                if files.exists(place):
+                    for entry in files.listStatus(place):
+                        name = entry.getPath().getName()
+                        if name.startswith("epoch=") and int(name[6:]) < through:
+                            files.delete(entry.getPath(), True)
+
+
+def write_epoch(store: Store, out: DataFrame, epoch: int, as_of: str | None = None, **golden) -> None:
+    """Write what the stateful operator gave out for one micro-batch, then commit it."""
+    if epoch in store.committed():
+        return
+    store.write("given", epoch, out, by=["kind"])
+    given = store.read("given", also=epoch).where(F.col("epoch") == epoch)
+    changed = given.where("kind IN ('current', 'moved')").select("kind", *OBSERVATION.names)
+    store.write("rows", epoch, changed, [ITEM])
+    if as_of is not None:
+        affected = changed.select(ITEM).distinct()
+        buckets = store.touched(affected, [ITEM])
+        if buckets:
+            current = store.rows_of(affected, buckets, epoch)
+            rows = golden_record(current, as_of, **golden)
+            named = affected.join(rows, ITEM, "left").withColumn("gone", F.col("source").isNull())
+            store.write("items", epoch, named, [ITEM])
+    store.commit(epoch)
+
+
+def run_available(out: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Give everything available on a stream to ``each``, batch by batch, and stop; the next call goes on from there."""
+    spark = out.sparkSession
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)  # keyed state needs a store that changes single keys; a query keeps the settings it starts with
     try:
-        if rejected is not None:
-            store.write("quarantine", "epoch", epoch, rejected)
-        earlier = store.states(before=epoch)
-        store.write("late", "epoch", epoch, late_rows(obs, earlier, rows))
-        store.write("state", "epoch", epoch, batch_state(rows))
-        counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
-        store.write("outcome", "epoch", epoch, counts)
-        if as_of is not None:
-            written = store.read("state").where(F.col("epoch") == epoch)
-            affected = affected_items(written, earlier)
-            current = affected_snapshot(store.states(before=epoch + 1), affected)
-            window = {} if freshness_minutes is None else {"freshness_minutes": freshness_minutes}
-            store.write("items", "epoch", epoch, golden_record(current, as_of, **window))
+        query = out.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
-        rows.unpersist()
+        spark.conf.set(STATE_STORE, before)
+    query.awaitTermination()
 
 
-def run_ingest(stream: DataFrame, path: str, checkpoint: str, prepare: Prepare, **kwargs) -> Store:
+def run_ingest(
+    stream: DataFrame, path: str, checkpoint: str, prepare: Prepare, as_of: str | None = None,
+    freshness_minutes: int | None = None, show: Callable[[DataFrame], DataFrame] | None = None, buckets: int = BUCKETS,
+) -> Store:
     """Ingest everything available on a stream and stop."""
-    store = Store(stream.sparkSession, path)
+    golden = {} if freshness_minutes is None else {"freshness_minutes": freshness_minutes}
 
-    def each(batch: DataFrame, epoch: int) -> None:
-        ingest_batch(store, batch, epoch, prepare, **kwargs)
+    def each(out: DataFrame, epoch: int) -> None:
+        write_epoch(Store(out.sparkSession, path, buckets), out, epoch, as_of, **golden)
 
-    query = (
-        stream.writeStream.foreachBatch(each)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return store
+    run_available(folded_stream(stream, prepare, show), checkpoint, each)
+    return Store(stream.sparkSession, path, buckets)
