@@ -30,6 +30,7 @@ def main() -> None:
     for name in names:
         taken = []
         for _ in range(runs + 1):
+            spark.catalog.clearCache()
             start = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             taken.append(time.perf_counter() - start)

@@ -53,7 +53,7 @@ def suffix_facts(facts: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
     A number that a label of the same page carries itself is passed over, so keys are unique.
     """
     keyed = clean_facts(facts).withColumn("_k", F.lower("label"))
-    counted = numbered(keyed, [PAGE, "_k"], [F.col(c) for c in order], "_n")
+    counted = numbered(keyed, [PAGE, "_k"], [F.col(c) for c in order], "_n", order[0])
     spelled = F.regexp_extract("_k", r"^(.+) ([2-9]|[1-9][0-9]+)$", 2)
     taken = (
         keyed.select(PAGE, F.regexp_extract("_k", r"^(.+) ([2-9]|[1-9][0-9]+)$", 1).alias("_k"), spelled.try_cast("long").alias("_t"))

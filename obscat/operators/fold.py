@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from obscat.operators.skew import SLICE, earlier_slices, join_slices, sliced
+from obscat.operators.skew import SLICE, Slices, earlier_slices
 from obscat.schema import (
     ALWAYS_OBSERVED,
     FIELD_BITS,
@@ -48,30 +48,26 @@ def sparse(obs: DataFrame) -> DataFrame:
     return obs.select(*out)
 
 
-def _marked(
-    obs: DataFrame, keys: Sequence[str], arrival: str, clock: str, rows: DataFrame | None = None,
-) -> DataFrame:
+def _marked(slices: Slices, columns: Sequence[str], arrival: str, clock: str) -> DataFrame:
     """The log with its slices and ``late``, partitioned by key and slice."""
-    rows = sliced(obs, keys, [arrival], keep=True) if rows is None else rows
+    keys = slices.keys
     inside = Window.partitionBy(*keys, SLICE).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    slices = rows.groupBy(*keys, SLICE).agg(F.max(clock).alias("_newest"))
-    earlier = slices.select(*keys, SLICE, F.max("_newest").over(earlier_slices(keys)).alias("_earlier"))
-    marked = join_slices(rows.withColumn("_inside", F.max(clock).over(inside)), earlier, keys)
-    newest = F.greatest("_inside", "_earlier")
+    rows = slices.rows.withColumn("_newest", F.max(clock).over(inside))
+    if slices.cut:
+        newest = slices.heavy().groupBy(*keys, SLICE).agg(F.max(clock).alias("_n"))
+        earlier = newest.select(*keys, SLICE, F.max("_n").over(earlier_slices(keys)).alias("_earlier"))
+        rows = slices.summed(rows, earlier).withColumn("_newest", F.greatest("_newest", "_earlier"))
+    newest = F.col("_newest")
     late = newest.isNotNull() & (F.col(clock).isNull() | F.coalesce(F.col(clock) < newest, F.lit(False)))
-    return marked.select(*obs.columns, SLICE, late.alias("late"))
+    return rows.select(*columns, SLICE, late.alias("late"))
 
 
-def mark_late(
-    obs: DataFrame, keys: Sequence[str] = KEY, arrival: str = ARRIVAL, clock: str = CLOCK,
-    rows: DataFrame | None = None,
-) -> DataFrame:
+def mark_late(obs: DataFrame, keys: Sequence[str] = KEY, arrival: str = ARRIVAL, clock: str = CLOCK) -> DataFrame:
     """Add ``late``: an earlier arrival of the same key has a newer ``clock``.
 
-    A row without a clock is older than any with one. ``rows`` are the sliced rows of ``obs`` where
-    the caller keeps them itself.
+    A row without a clock is older than any with one.
     """
-    return _marked(obs, list(keys), arrival, clock, rows).drop(SLICE)
+    return _marked(Slices(obs, keys, arrival), obs.columns, arrival, clock).drop(SLICE)
 
 
 def accepted(obs: DataFrame, **kwargs) -> DataFrame:
@@ -181,12 +177,16 @@ def _fields_of(states: DataFrame) -> dict[str, tuple[str, ...]]:
 def fold(
     obs: DataFrame, keys: Sequence[str] = KEY, arrival: str = ARRIVAL, clock: str = CLOCK
 ) -> DataFrame:
-    """Current row per key: states of the slices of each key, merged.
+    """Current row per key; the slices of a heavy key are folded apart and their states merged.
 
     Bits of the mask beyond the known fields are no observation and are dropped.
     """
-    states = fold_state(sliced(obs, keys, [arrival]), keys, arrival, clock, carry=(SLICE,))
-    return finish(merge_states(states, SLICE, keys), keys)
+    slices = Slices(obs, keys, arrival)
+    states = fold_state(slices.light().drop(SLICE), keys, arrival, clock)
+    if slices.cut:
+        heavy = fold_state(slices.heavy(), keys, arrival, clock, carry=(SLICE,))
+        states = states.unionByName(merge_states(heavy, SLICE, keys))
+    return finish(states, keys)
 
 
 def relinks(
@@ -195,14 +195,18 @@ def relinks(
     """Accepted rows whose item differs from the previous accepted row of the same key."""
     keys = list(keys)
     log = obs.select(*keys, arrival, clock, "entity_hash")
-    rows = _marked(log, keys, arrival, clock).where(~F.col("late")).drop("late")
+    slices = Slices(log, keys, arrival)
+    rows = _marked(slices, log.columns, arrival, clock).where(~F.col("late")).drop("late")
     inside = Window.partitionBy(*keys, SLICE).orderBy(arrival)
-    ends = rows.groupBy(*keys, SLICE).agg(F.max_by(F.struct("entity_hash"), arrival).alias("_end"))
-    carried = ends.select(*keys, SLICE, F.lag("_end").over(Window.partitionBy(*keys).orderBy(SLICE)).alias("_carried"))
+    previous = F.lag("entity_hash").over(inside)
     first = F.row_number().over(inside) == 1
-    joined = join_slices(rows.select("*", F.lag("entity_hash").over(inside).alias("_lag"), first.alias("_first")), carried, keys)
-    previous = F.when(F.col("_first"), F.col("_carried.entity_hash")).otherwise(F.col("_lag"))
-    return joined.select(*log.columns, previous.alias("previous_hash")).where(F.col("previous_hash") != F.col("entity_hash"))
+    rows = rows.select("*", previous.alias("previous_hash"), first.alias("_first"))
+    if slices.cut:
+        ends = rows.where(F.col(SLICE) > 0).groupBy(*keys, SLICE).agg(F.max_by(F.struct("entity_hash"), arrival).alias("_end"))
+        before = F.lag("_end").over(Window.partitionBy(*keys).orderBy(SLICE))
+        rows = slices.summed(rows, ends.select(*keys, SLICE, before.alias("_carried")))
+        rows = rows.withColumn("previous_hash", F.when(F.col("_first"), F.col("_carried.entity_hash")).otherwise(F.col("previous_hash")))
+    return rows.select(*log.columns, "previous_hash").where(F.col("previous_hash") != F.col("entity_hash"))
 
 
 def media_links(

@@ -132,8 +132,11 @@ def _canonical(best: DataFrame, as_of: str) -> DataFrame:
 def rank_observations(snapshot: DataFrame, sources=SOURCES) -> DataFrame:
     """Every current observation with its position inside its item, 1 best."""
     rows = snapshot.withColumn("_rank", rank_key(sources))
-    order = [F.desc("_rank")]
-    return numbered(rows, [ITEM], order, "position").drop("_rank")
+    # a number that never falls along the order: state, then minutes of the update and of the fetch, newest first
+    most = (1 << 26) - 1
+    minutes = lambda c: F.coalesce(F.least(F.greatest(F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / 60), F.lit(1)), F.lit(most)), F.lit(0))
+    along = (state_rank().cast("long") * (1 << 26) + most - minutes("source_updated_at")) * (1 << 26) + most - minutes("fetched_at")
+    return numbered(rows, [ITEM], [F.desc("_rank")], "position", along).drop("_rank")
 
 
 def size_conflicts(snapshot: DataFrame) -> DataFrame:

@@ -138,7 +138,8 @@ def sort_positions(items: DataFrame, modes: Sequence[str]) -> DataFrame:
     each = F.array(*[F.struct(F.lit(m).alias("mode"), whole(c).alias("by")) for m, c in columns.items()])
     rows = items.select("entity_hash", F.explode(each).alias("x")).select("entity_hash", "x.*")
     order = [F.desc_nulls_last("by"), F.asc("entity_hash")]
-    return numbered(rows, ["mode"], order, "position").select("mode", "entity_hash", "position")
+    falling = F.coalesce(F.bitwise_not("by"), F.lit((1 << 63) - 1))
+    return numbered(rows, ["mode"], order, "position", falling).select("mode", "entity_hash", "position")
 
 
 def catalog_rows(items: DataFrame) -> DataFrame:

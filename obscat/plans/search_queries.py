@@ -104,7 +104,8 @@ def top1_per_source(spark, sf_dir):
     "SELECT arrival_key, row_number() OVER (ORDER BY popularity DESC, secondary_popularity DESC, source_key, arrival_key) AS position FROM v_obs", "v_obs"))
 def popularity_order(spark, sf_dir):
     rows = view(spark, sf_dir, "v_obs").withColumn("_all", F.lit(0))
-    return numbered(rows, ["_all"], [*me.popularity_order(), F.col("arrival_key")], "position").select("arrival_key", "position")
+    falling = F.coalesce(F.bitwise_not(F.col("popularity").cast("long")), F.lit((1 << 63) - 1))
+    return numbered(rows, ["_all"], [*me.popularity_order(), F.col("arrival_key")], "position", falling).select("arrival_key", "position")
 
 
 @query("union_sources", oracle("SELECT source, arrival_key, CASE WHEN source = 'src_a' THEN quality END AS quality FROM v_obs", "v_obs"))

@@ -17,8 +17,13 @@ def spark():
 
 
 @pytest.fixture()
-def many_slices(spark):
-    """Cut small logs into many slices too, so that keys span several."""
+def many_slices(spark, monkeypatch):
+    """Cut every key with more than one row, and shuffle to more tasks."""
+    from obscat.operators import skew
+
+    monkeypatch.setattr(skew, "HEAVY_ROWS", 1)
+    monkeypatch.setattr(skew, "MOST_HEAVY", 5_000)
+    monkeypatch.setattr(skew, "SLICES", 5)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     yield

@@ -34,7 +34,7 @@ def test_query_equals_oracle(spark, duck, name):
 
 SLICED = [
     "late_rejected", "obs_fold", "details_retention", "relink_report", "rank_observations",
-    "fact_suffix", "golden_record", "orphan_items", "stream_ingest",
+    "fact_suffix", "golden_record", "orphan_items", "sort_modes", "popularity_order",
 ]
 
 
