@@ -32,10 +32,14 @@ from pyspark.sql import functions as F
 from obscat.llm.arrays import pieces
 from obscat.llm.registry import query, table
 
-#: Entries of a worker's table of encoded pieces. A full one becomes the older one, from which
-#: entries still in use move to the new one, so at most two tables of this size are held.
-TABLE_ENTRIES = 80_000
+#: Letters in a task's table of encoded pieces, and in its table of encoded words. A full one becomes the
+#: older one, from which entries still in use move to the new one, so at most two of this size are held.
+TABLE_LETTERS = 2_500_000
 BATCH_BYTES = 2 << 20
+#: What an entry counts besides its letters.
+SMALL_ENTRY = 8
+#: Pairs of tokens remembered to stay apart or not.
+MOST_PAIRS = 300_000
 #: Four control characters that str.split takes for white space and the vocabulary's rules don't.
 SPACES_OF_PYTHON_ONLY = re.compile("[\x1c-\x1f]")
 SPACES = re.compile(r"[^\S\x1c-\x1f]+")
@@ -100,9 +104,11 @@ class WordBpe:
         self.beginnings = {b[:n] for b in bodies for n in range(1, len(b) + 1)}
         #: By 65536 times the left token, or -1, plus the right one.
         self.apart: dict[int, bool] = {}
-        self.whole: dict[int, bool] = {}
-        self.table: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        if max(self.names) >= 1 << 16:
+            raise ValueError("pairs of tokens are kept in 32 bits: ids must stay below 65536")
+        self.ids = {i: i.to_bytes(4, "little") for i in self.names}
+        self.pieces = Table()
+        self.done = Table()
 
     def merged(self, parts: list[str]) -> list[str]:
         """Merge neighbours, always the pair with the lowest rank, the leftmost of equals."""
@@ -198,37 +204,80 @@ class WordBpe:
         """A word as letters of its bytes."""
         return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
 
-    def learn(self, texts: Iterable[str]) -> None:
-        """Add pieces to the table."""
+    def learn(self, texts: Iterable[str]) -> dict[str, tuple[bytes, str]]:
+        """Packed ids and decoded text of pieces, from the words already encoded and the new ones among theirs."""
         split = {t: self.pretokens(t) for t in texts}
-        ids = self.encode_words({w for words in split.values() for w in words if isinstance(w, str)})
+        known, new = self.done.find({w for words in split.values() for w in words if isinstance(w, str)})
+        fresh = {w: (b"".join([self.ids[i] for i in ids]), self.decode(ids)) for w, ids in self.encode_words(new).items()}
+        self.done.add(fresh)
+        known.update(fresh)
+        out = {}
         for text, words in split.items():
-            tokens = [i for w in words for i in (ids[w] if isinstance(w, str) else (w,))]
-            packed = b"".join(i.to_bytes(4, "little") for i in tokens)
-            self.table[text] = packed, self.decode(tokens)
+            if len(words) == 1 and isinstance(words[0], str):
+                out[text] = known[words[0]]
+                continue
+            found = [known[w] if isinstance(w, str) else (self.ids[w], self.names[w]) for w in words]
+            out[text] = b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
+        return out
 
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(map(self.names.__getitem__, ids))
 
+    def forget(self) -> None:
+        """Let go of all that was learned from texts, so that a reused worker holds the vocabulary alone."""
+        self.pieces, self.done = Table(), Table()
+        self.apart.clear()
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """``(ids as little-endian 32-bit integers, decoded text)`` of every text."""
         split = [SPACES.split(t) if SPACES_OF_PYTHON_ONLY.search(t) else t.split() for t in texts]
-        if len(self.table) > TABLE_ENTRIES:
-            self.table, self.older = {}, self.table
-        if len(self.apart) > 4 * TABLE_ENTRIES:
+        if len(self.apart) > MOST_PAIRS:
             self.apart.clear()
-        new = set().union(*split).difference(self.table)
-        new.discard("")
-        known = new.intersection(self.older)
-        self.table.update((t, self.older[t]) for t in known)
-        self.learn(new - known)
-        out, get = [], self.table.__getitem__
+        asked = set().union(*split)
+        asked.discard("")
+        known, new = self.pieces.find(asked)
+        learned = self.learn(new)
+        self.pieces.add(learned)
+        known.update(learned)
+        out, get = [], known.__getitem__
         for chunks in split:
             found = list(map(get, filter(None, chunks)))
             out.append((b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])))
         return out
 
 
+class Table:
+    """Encoded texts by what was encoded, of bounded size: new ones, and older ones that were not asked for since."""
+
+    def __init__(self):
+        self.new: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
+        self.letters = 0
+
+    def find(self, asked: set[str]) -> tuple[dict[str, tuple[bytes, str]], set[str]]:
+        """``(entries of those that are there, the others)``."""
+        if self.letters > TABLE_LETTERS:
+            self.new, self.old, self.letters = {}, self.new, 0
+        known = {t: self.new[t] for t in asked.intersection(self.new)}
+        again = {t: self.old[t] for t in asked.difference(known).intersection(self.old)}
+        self.add(again)
+        known.update(again)
+        return known, asked.difference(known)
+
+    def add(self, entries: dict[str, tuple[bytes, str]]) -> None:
+        """Add entries while there is room; the rest is not kept."""
+        room = 2 * TABLE_LETTERS - self.letters
+        if room <= 0:
+            return
+        for text, value in entries.items():
+            size = len(text) + SMALL_ENTRY
+            if size > room:
+                continue
+            room -= size
+            self.new[text] = value
+        self.letters = 2 * TABLE_LETTERS - room
+
+
 _loaded: dict[str, WordBpe] = {}
 
 
@@ -256,18 +305,21 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", with_val
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(spec.value)
-        for batch in batches:
-            for piece in pieces(batch, "text", BATCH_BYTES):
-                found = bpe.encode([t or "" for t in piece.column("text").to_pylist()])
-                if with_values:
-                    columns = {"ids": pa.array([memoryview(i).cast("I").tolist() if i else [] for i, _ in found], pa.list_(pa.int32())), "decoded": pa.array([d for _, d in found], pa.string())}
-                else:
-                    columns = {
-                        "n_tokens": pa.array([len(i) // 4 for i, _ in found], pa.int64()),
-                        "ids_sha256": pa.array([hashlib.sha256(i).hexdigest() for i, _ in found], pa.string()),
-                        "decoded_sha256": pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d in found], pa.string()),
-                    }
-                yield pa.RecordBatch.from_arrays([piece.column("kept"), *columns.values()], names=["kept", *columns])
+        try:
+            for batch in batches:
+                for piece in pieces(batch, "text", BATCH_BYTES):
+                    found = bpe.encode([t or "" for t in piece.column("text").to_pylist()])
+                    if with_values:
+                        columns = {"ids": pa.array([memoryview(i).cast("I").tolist() if i else [] for i, _ in found], pa.list_(pa.int32())), "decoded": pa.array([d for _, d in found], pa.string())}
+                    else:
+                        columns = {
+                            "n_tokens": pa.array([len(i) // 4 for i, _ in found], pa.int64()),
+                            "ids_sha256": pa.array([hashlib.sha256(i).hexdigest() for i, _ in found], pa.string()),
+                            "decoded_sha256": pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d in found], pa.string()),
+                        }
+                    yield pa.RecordBatch.from_arrays([piece.column("kept"), *columns.values()], names=["kept", *columns])
+        finally:
+            bpe.forget()
 
     return row.mapInArrow(run, f"kept {kept}, {kinds}").select("kept.*", *values)
 

@@ -39,7 +39,7 @@ def test_ids_and_decoded_text_are_the_librarys(own, library):
 
 
 def test_results_do_not_depend_on_a_full_table(library, monkeypatch):
-    monkeypatch.setattr(bpe, "TABLE_ENTRIES", 3)
+    monkeypatch.setattr(bpe, "TABLE_LETTERS", 30)
     with open(bpe.vocabulary_path(), encoding="utf-8") as file:
         small = bpe.WordBpe(file.read())
     for _ in range(3):
