@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from obscat.operators import fold as fo
 from obscat.operators import golden as go
+from obscat.operators import payload as pay
 from obscat.operators import validate as va
 from obscat.plans.registry import query
 from obscat.schema import FIELD_BITS, MASKED_COLUMNS, OBSERVATION, has
@@ -431,3 +432,46 @@ def cascade_delete(spark, sf_dir):
     gold = go.golden_record(snap, AS_OF_LINEITEM, GOLD_MINUTES)
     deleted = gold.where("popularity >= 45")
     return cascade(snap, deleted, ["entity_hash"]).select("source", "source_key", "entity_hash")
+
+
+# --- payload envelopes --------------------------------------------------------------------
+
+def _part(name: str, default: str) -> str:
+    return f"CASE WHEN json_type(node, '$.{name}') <> 'NULL' THEN CAST(json_extract(node, '$.{name}') AS VARCHAR) ELSE '{default}' END"
+
+
+ENVELOPE_SQL = f"""env AS (SELECT * EXCLUDE (node, payload), coalesce(CAST(json_extract_string(node, '$.schemaVersion') AS INT), 1) AS schema_version,
+  coalesce(json_extract_string(node, '$.parserVersion'), '') AS parser_version, {_part("list", "{}")} AS list, {_part("details", "{}")} AS details,
+  {_part("unmapped", "{}")} AS unmapped, coalesce(CAST(json_extract(node, '$.warnings') AS VARCHAR[]), CAST([] AS VARCHAR[])) AS warnings
+  FROM (SELECT *, CASE WHEN json_valid(payload) AND json_type(payload) = 'OBJECT' THEN CAST(payload AS JSON) END AS node FROM v_payloads))"""
+_ENVELOPE_OUT = "schema_version, parser_version, list, details, unmapped, array_to_string(warnings, ',') AS warnings"
+
+
+def _written(rows):
+    parts = pay.written_envelope("payload")
+    return rows.select(
+        "source", "source_key", "details_state", *[(F.array_join(c, ",") if name == "warnings" else c).alias(name) for name, c in parts.items()])
+
+
+@query("payload_retention", oracle(f"""+ {ENVELOPE_SQL}, {ACC_SQL.replace("FROM obs)", "FROM env)")},
+  snap AS (SELECT source, source_key, {", ".join(_last(c) for c in ("details_state", "schema_version", "parser_version", "list", "unmapped", "warnings"))},
+    {_last("details", "rn = 1 OR details_state IN ('fetched', 'not_required')")} FROM acc GROUP BY source, source_key)
+  SELECT source, source_key, details_state, {_ENVELOPE_OUT} FROM snap""", "v_payloads"))
+def payload_retention(spark, sf_dir):
+    return _written(pay.fold_payloads(view(spark, sf_dir, "v_payloads")))
+
+
+@query("payload_details", oracle(f"""+ {ENVELOPE_SQL},
+  l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, source_key ORDER BY arrival_key DESC) AS n FROM env WHERE details_state <> 'fetched') WHERE n = 1),
+  d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, source_key ORDER BY arrival_key DESC) AS n FROM env WHERE details_state = 'fetched') WHERE n = 1)
+  SELECT l.source, l.source_key, l.details_state, CASE WHEN d.n IS NULL THEN l.schema_version ELSE 1 END AS schema_version,
+    coalesce(d.parser_version, l.parser_version) AS parser_version, l.list, coalesce(d.details, l.details) AS details,
+    CASE WHEN d.n IS NULL THEN l.unmapped ELSE CAST(json_merge_patch(CAST(l.unmapped AS JSON), CAST(d.unmapped AS JSON)) AS VARCHAR) END AS unmapped,
+    array_to_string(CASE WHEN d.n IS NULL THEN l.warnings ELSE list_filter(list_concat(list_filter(l.warnings, lambda w: trim(w) <> ''), d.warnings),
+      lambda w, i: list_position(list_concat(list_filter(l.warnings, lambda w: trim(w) <> ''), d.warnings), w) = i) END, ',') AS warnings
+  FROM l LEFT JOIN d USING (source, source_key)""", "v_payloads"))
+def payload_details(spark, sf_dir):
+    rows = view(spark, sf_dir, "v_payloads").select("source", "source_key", "arrival_key", "details_state", "payload")
+    last = lambda r: fo.last_per_key(r, list(fo.KEY), "arrival_key").withColumn("payload", pay.envelope("payload"))
+    lists, details = last(rows.where("details_state <> 'fetched'")), last(rows.where("details_state = 'fetched'"))
+    return _written(pay.enrich_payloads(lists, details))

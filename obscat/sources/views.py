@@ -42,6 +42,24 @@ SELECT
 FROM {lineitem}
 """
 
+VIEWS["v_payloads"] = """
+SELECT
+  CASE l_suppkey % 7 WHEN 0 THEN 'src_a' WHEN 1 THEN 'src_b' WHEN 2 THEN 'src_c' WHEN 3 THEN 'src_d'
+    WHEN 4 THEN 'src_e' WHEN 5 THEN 'src_f' ELSE 'src_g' END AS source,
+  CAST(l_orderkey - l_orderkey % 8 AS VARCHAR(20)) AS source_key, l_shipdate AS fetched_at,
+  md5(concat_ws('|', CAST(l_orderkey AS VARCHAR(20)), CAST(l_linenumber AS VARCHAR(20)), CAST(l_partkey AS VARCHAR(20)), CAST(l_suppkey AS VARCHAR(20)),
+    CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR(20)))) AS arrival_key,
+  CAST(3 AS BIGINT) AS observed_fields,
+  CASE WHEN l_returnflag = 'A' THEN 'fetched' WHEN l_returnflag = 'R' THEN 'partial' WHEN l_linestatus = 'F' THEN 'not_required' ELSE 'failed' END AS details_state,
+  CASE l_partkey % 9 WHEN 0 THEN '[1,2]' WHEN 1 THEN NULL WHEN 2 THEN '{{"list":' WHEN 3 THEN concat('{{"list":{{"id":', CAST(l_orderkey AS VARCHAR(20)), '}}}}')
+    WHEN 4 THEN concat('{{"details":null,"unmapped":{{"s":', CAST(l_suppkey % 5 AS VARCHAR(4)), '}},"warnings":["late","w', CAST(l_linenumber AS VARCHAR(4)), '"," "]}}')
+    WHEN 5 THEN concat('{{"details":{{"deep":{{"x":[1,', CAST(l_linenumber AS VARCHAR(4)), ']}},"n":', CAST(l_linenumber AS VARCHAR(4)), '}},"parserVersion":"q"}}')
+    ELSE concat('{{"details":{{"n":', CAST(l_linenumber AS VARCHAR(4)), '}},"list":{{"id":', CAST(l_orderkey AS VARCHAR(20)), ',"t":"a b"}},"parserVersion":"p', CAST(l_suppkey % 3 AS VARCHAR(4)),
+      '","schemaVersion":', CAST(1 + l_partkey % 2 AS VARCHAR(4)), ',"unmapped":{{"a":', CAST(l_linenumber AS VARCHAR(4)), ',"s":"x"}},"warnings":["w', CAST(l_suppkey % 4 AS VARCHAR(4)), '"]}}')
+    END AS payload
+FROM {lineitem}
+"""
+
 VIEWS["v_titles"] = """
 SELECT
   p_partkey AS item_id,
@@ -128,9 +146,23 @@ TABLES = (
 ).split()
 
 
+#: Tables of fewer bytes are read by however few tasks their files allow.
+SPREAD_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table as it is."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One driver table; dealt out anew where it is not tiny and its files can feed fewer tasks than there are cores.
+
+    A table of many files or row groups is read as it lies.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    rows = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() >= cores:
+        return rows
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    return rows.repartition(cores) if size >= SPREAD_BYTES else rows
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
