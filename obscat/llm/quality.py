@@ -10,7 +10,8 @@ counts, and a join with the sharded model adds their share. ``HOT`` bounds what
 changes no result.
 
 A document's perplexity is compared with a high quantile of the perplexities of trusted documents
-of its language that the model was not trained on. Short texts are drawn towards the language's mean by ``PRIOR_CHARS`` characters.
+of its language that the model was not trained on. Short texts are drawn towards the language's mean by ``PRIOR_CHARS`` characters,
+and a text is only rejected where what it has above the limit adds up to ``EVIDENCE``: a few odd characters say nothing.
 
 Cases: a null or empty text has no perplexity and is rejected; texts count whole; repeated rows are
 counted and scored as often as they stand there; a null language is a language of its own, and one
@@ -39,6 +40,8 @@ CHAR = 16
 HOT = 1 << 21
 QUANTILE = 0.999
 PRIOR_CHARS = 300.0
+#: Nats above the limit, over all characters of a text, below which nothing is rejected.
+EVIDENCE = 30.0
 #: One in so many trusted documents stays out of the model and sets the limits.
 CALIBRATION = 5
 FLUSH = 1_000_000
@@ -297,7 +300,7 @@ def score_quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTIL
     limit = F.coalesce("own_limit", F.lit(overall).cast("double"), F.lit(float("inf")))
     return scored.join(limits, scored["lang"].eqNullSafe(limits["lang"]), "left").select(
         "kept_row.*", "n_scored", F.when(F.col("n_scored") > 0, F.exp(F.coalesce(drawn, "entropy"))).alias("perplexity"), F.exp(limit).alias("limit"),
-        ((F.col("n_scored") > 0) & (F.coalesce(drawn, "entropy") <= limit)).alias("kept"),
+        ((F.col("n_scored") > 0) & ((F.coalesce(drawn, "entropy") <= limit) | ((F.col("entropy") - limit) * F.col("n_scored") <= EVIDENCE))).alias("kept"),
     )
 
 
