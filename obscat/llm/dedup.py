@@ -12,10 +12,11 @@ so the estimate is close; pairs more than ``SIGMAS`` standard deviations below t
 
 No bucket is expanded to all pairs. First every member of a bucket is compared with one member,
 chosen by one of ``ORDERS`` orders; the links found give components. Only buckets whose members are
-still in different components are looked at further: their rows meet in blocks of bounded size, and
-a task gives out those pairs of different components whose sketches agree enough, each
-pair in the first table it shares only, so no pair of a bucket goes unseen and none is given out
-that cannot be similar. Pairs are checked on the full sets of their texts.
+still in different components are looked at further: their rows meet in blocks of bounded size. First, ``NEAREST``
+times over, a task gives out one pair for each of its components, that with the most agreeing sketches; the links among these tie
+a large group together from as many pairs as it has components. What is then still apart is looked at whole: a task gives out those
+pairs of different components whose sketches agree enough, each pair in the first table it shares only, so no pair of a
+bucket goes unseen and none is given out that cannot be similar. Pairs are checked on the full sets of their texts.
 
 Components come from alternating hooking on the smallest neighbour and pointer jumping over
 written tables; links never reach the driver.
@@ -45,6 +46,8 @@ from obscat.llm.store import written
 WIDTH = 2
 #: Orders by which a bucket chooses the member that all others are compared with.
 ORDERS = 3
+#: Rounds in which every component asks for its nearest neighbour only.
+NEAREST = 2
 #: Bins of the second sketch, and how far below the limit an estimate may lie.
 BINS = 1024
 SIGMAS = 4.0
@@ -93,6 +96,11 @@ def may_be_similar(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray,
     return sizes & (agree >= (limit - slack) * used)
 
 
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of the used bins in which two sketches agree."""
+    return ((a == b) & (a > 0)).sum(axis=1) / np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
+
+
 def _signatures(k: int, rows: int):
     hashes = 2 * rows * WIDTH
     schema = {"a": pa.int64(), "b": pa.int64(), "n": pa.int64()}
@@ -234,8 +242,20 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def _pairs_in_groups(rows: int, percent: int):
-    """Likely pairs of different components from rows sorted by group ``(key, lo, hi)``."""
+def _nearest(left: np.ndarray, right: np.ndarray, ids: np.ndarray, root: np.ndarray, bins: np.ndarray) -> pa.RecordBatch:
+    """For every component among the pairs the one whose sketches agree most."""
+    score = np.concatenate([np.zeros(0), *(agreement(bins[left[i : i + 8192]], bins[right[i : i + 8192]]) for i in range(0, len(left), 8192))])
+    asks, other, score = np.concatenate([left, right]), np.concatenate([right, left]), np.concatenate([score, score])
+    low, high = np.minimum(ids[asks], ids[other]), np.maximum(ids[asks], ids[other])
+    order = np.lexsort((high, low, -score, root[asks]))
+    first = np.ones(len(order), bool)
+    first[1:] = root[asks][order][1:] != root[asks][order][:-1]
+    best = order[first]
+    return pa.RecordBatch.from_arrays([pa.array(root[asks[best]]), pa.array(score[best]), pa.array(low[best]), pa.array(high[best])], names=["root", "score", "x", "y"])
+
+
+def _pairs_in_groups(rows: int, percent: int, nearest: bool):
+    """Likely pairs of different components from rows sorted by group ``(key, lo, hi)``; with ``nearest`` one for a component."""
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
         key, lo, hi, own, ids, n, root = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "own", "id", "n", "root"))
@@ -260,6 +280,9 @@ def _pairs_in_groups(rows: int, percent: int):
             left, right = left[first], right[first]
             fit = np.concatenate([np.zeros(0, bool), *(
                 may_be_similar(bins[left[i : i + 8192]], bins[right[i : i + 8192]], n[left[i : i + 8192]], n[right[i : i + 8192]], percent) for i in range(0, len(left), 8192))])
+            if nearest:
+                yield _nearest(left[fit], right[fit], ids, root, bins)
+                continue
             x, y = ids[left[fit]], ids[right[fit]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
 
@@ -289,21 +312,25 @@ def _pairs_in_groups(rows: int, percent: int):
     return run
 
 
-def unlinked_pairs(members: DataFrame, signatures: DataFrame, percent: int, rows: int) -> DataFrame:
+def unlinked_pairs(members: DataFrame, signatures: DataFrame, percent: int, rows: int, nearest: bool = False) -> DataFrame:
     """Likely pairs ``(x, y)`` of buckets that hold several components; ``members`` is ``(key, id, n, root)``.
 
-    A bucket of more than ``BLOCK`` members is cut into blocks by a hash, and every two blocks meet.
+    With ``nearest`` one pair for every component, the most promising. A bucket of more than ``BLOCK`` members is cut into blocks by a hash, and every two blocks meet.
     """
     split = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rest = members.join(split.select("key", blocks.alias("blocks")).hint("merge"), "key") \
         .select("key", "id", "n", "root", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return (
+    groups = (
         rest.join(signatures.select("id", "n", "mins", "bins").hint("merge"), ["id", "n"])
         .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "root", "mins", "bins")
         .repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-        .mapInArrow(_pairs_in_groups(rows, percent), "x long, y long")
     )
+    if not nearest:
+        return groups.mapInArrow(_pairs_in_groups(rows, percent, False), "x long, y long").distinct()
+    found = groups.mapInArrow(_pairs_in_groups(rows, percent, True), "root long, score double, x long, y long")
+    best = F.max_by(F.struct("x", "y"), F.struct("score", F.negative("x"), F.negative("y")))
+    return found.groupBy("root").agg(best.alias("p")).select("p.x", "p.y").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 8, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -333,8 +360,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     links = written(similar_pairs(asked, texts, k, percent), "links")
     found = components(links)
     sizes = reps.select("id", "n").dropDuplicates()
-    rooted = members.select("key", "id").join(sizes, "id").join(found, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    rest = written(unlinked_pairs(rooted, signatures, percent, rows).distinct().join(asked, ["x", "y"], "left_anti"), "pairs")
+    sized = members.select("key", "id").join(sizes, "id")
+    rooted = lambda: sized.join(found, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    for _ in range(NEAREST):
+        near = written(unlinked_pairs(rooted(), signatures, percent, rows, nearest=True).join(asked, ["x", "y"], "left_anti"), "pairs")
+        more = written(similar_pairs(near, texts, k, percent), "links")
+        if more.isEmpty():
+            break
+        asked, links = asked.unionByName(near), links.unionByName(more)
+        found = components(links)
+    rest = written(unlinked_pairs(rooted(), signatures, percent, rows).join(asked, ["x", "y"], "left_anti"), "pairs")
     more = similar_pairs(rest, texts, k, percent)
     root = lambda c, r: found.select(F.col("id").alias(c), F.col("root").alias(r))
     merges = more.join(root("x", "rx"), "x", "left").join(root("y", "ry"), "y", "left").select(F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y"))
