@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obscat.llm.arrays import pieces
+from obscat.llm.caches import only
 from obscat.llm.registry import query, table
 
-#: Letters in a task's table of encoded pieces, and in its table of encoded words. A full one becomes the
+#: Letters in a worker's table of encoded pieces, and in its table of encoded words. A full one becomes the
 #: older one, from which entries still in use move to the new one, so at most two of this size are held.
 TABLE_LETTERS = 2_500_000
 BATCH_BYTES = 2 << 20
@@ -223,11 +224,6 @@ class WordBpe:
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(map(self.names.__getitem__, ids))
 
-    def forget(self) -> None:
-        """Let go of all that was learned from texts, so that a reused worker holds the vocabulary alone."""
-        self.pieces, self.done = Table(), Table()
-        self.apart.clear()
-
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """``(ids as little-endian 32-bit integers, decoded text)`` of every text."""
         split = [SPACES.split(t) if SPACES_OF_PYTHON_ONLY.search(t) else t.split() for t in texts]
@@ -278,15 +274,9 @@ class Table:
         self.letters = 2 * TABLE_LETTERS - room
 
 
-_loaded: dict[str, WordBpe] = {}
-
-
 def worker_bpe(text: str) -> WordBpe:
-    """The tokenizer of this Python worker."""
-    if text not in _loaded:
-        _loaded.clear()
-        _loaded[text] = WordBpe(text)
-    return _loaded[text]
+    """The tokenizer of this Python worker, with its tables, until a task of another operator comes."""
+    return only(f"bpe-{hashlib.sha256(text.encode()).hexdigest()}", lambda: WordBpe(text))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", with_values: bool = False) -> DataFrame:
@@ -305,21 +295,18 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", with_val
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(spec.value)
-        try:
-            for batch in batches:
-                for piece in pieces(batch, "text", BATCH_BYTES):
-                    found = bpe.encode([t or "" for t in piece.column("text").to_pylist()])
-                    if with_values:
-                        columns = {"ids": pa.array([memoryview(i).cast("I").tolist() if i else [] for i, _ in found], pa.list_(pa.int32())), "decoded": pa.array([d for _, d in found], pa.string())}
-                    else:
-                        columns = {
-                            "n_tokens": pa.array([len(i) // 4 for i, _ in found], pa.int64()),
-                            "ids_sha256": pa.array([hashlib.sha256(i).hexdigest() for i, _ in found], pa.string()),
-                            "decoded_sha256": pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d in found], pa.string()),
-                        }
-                    yield pa.RecordBatch.from_arrays([piece.column("kept"), *columns.values()], names=["kept", *columns])
-        finally:
-            bpe.forget()
+        for batch in batches:
+            for piece in pieces(batch, "text", BATCH_BYTES):
+                found = bpe.encode([t or "" for t in piece.column("text").to_pylist()])
+                if with_values:
+                    columns = {"ids": pa.array([memoryview(i).cast("I").tolist() if i else [] for i, _ in found], pa.list_(pa.int32())), "decoded": pa.array([d for _, d in found], pa.string())}
+                else:
+                    columns = {
+                        "n_tokens": pa.array([len(i) // 4 for i, _ in found], pa.int64()),
+                        "ids_sha256": pa.array([hashlib.sha256(i).hexdigest() for i, _ in found], pa.string()),
+                        "decoded_sha256": pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d in found], pa.string()),
+                    }
+                yield pa.RecordBatch.from_arrays([piece.column("kept"), *columns.values()], names=["kept", *columns])
 
     return row.mapInArrow(run, f"kept {kept}, {kinds}").select("kept.*", *values)
 

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from obscat.llm.arrays import pieces
 from obscat.llm.bitmaps import bitmap, may_hold
+from obscat.llm.caches import only
 from obscat.llm.registry import query, table
 from obscat.llm.store import written
 
@@ -73,6 +74,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only(None)
     keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for batch in batches:
         for piece in pieces(batch, "text", PIECE):
@@ -227,6 +229,7 @@ def entropies(docs: DataFrame, model: Model, text: str) -> DataFrame:
     kind = rows.schema["kept"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(None)
         for batch in batches:
             for piece in pieces(batch, "text", PIECE):
                 packed, bounds = grams([t or "" for t in piece.column("text").to_pylist()])
