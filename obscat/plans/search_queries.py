@@ -9,12 +9,14 @@ from obscat.operators import fold as fo
 from obscat.operators import merge as me
 from obscat.operators import search as se
 from obscat.operators import state as st
+from obscat.operators import title_index as ti
 from obscat.operators import validate as va
 from obscat.operators.skew import numbered
 from obscat.plans.fold_queries import ACC_SQL, GOLD_OUT, GOLD_STEPS, OBS_SQL, SNAP_SQL, gold_sql, golden, obs
 from obscat.plans.registry import query
 from obscat.plans.state_queries import MAPS_SQL, SUMMARY_SQL, override_maps
 from obscat.schema import source_dimension
+from obscat.session import shared_dir
 from obscat.sources.views import csv_array, oracle, view
 
 _HITS_SQL = """hits AS (SELECT CASE source WHEN 'src_g' THEN 'src' ELSE source END AS source, arrival_key AS source_key, entity_hash AS item,
@@ -172,6 +174,24 @@ def search_many_titles(spark, sf_dir):
     return se.many_titles(titles, asked, item="item_id", limit=20)
 
 
+_INDEXED_SQL = """asked AS (SELECT s_suppkey AS query_id, concat('BRAND#', CAST(s_suppkey % 30 AS VARCHAR(4)), ' ', CASE s_suppkey % 4 WHEN 0 THEN 'rip'
+  WHEN 1 THEN 'hd' WHEN 2 THEN 's0' ELSE 'zzqq' END, ' ', CAST(s_suppkey % 90 + 10 AS VARCHAR(4))) AS query FROM {supplier} WHERE s_suppkey > 0)"""
+
+
+@query("search_title_index", oracle("+" + _INDEXED_SQL.format(supplier="supplier") + """, hits AS (SELECT DISTINCT query_id, item_id FROM
+  (SELECT query_id, unnest(string_split(lower(query), ' ')) AS token FROM asked) JOIN v_titles ON contains(lower(title), token)),
+  ranked AS (SELECT query_id, item_id AS item, row_number() OVER (PARTITION BY query_id ORDER BY item_id * 31 % 1000 DESC, item_id) AS rank FROM hits)
+  SELECT query_id, item, rank FROM ranked WHERE rank <= 50""", "v_titles"))
+def search_title_index(spark, sf_dir):
+    from obscat.sources.views import table
+
+    folder = shared_dir(spark, "titles")
+    asked = spark.sql("WITH " + _INDEXED_SQL + " SELECT * FROM asked", supplier=table(spark, sf_dir, "supplier"))
+    titles = view(spark, sf_dir, "v_titles").select("item_id", "title", (F.col("item_id") * 31 % 1000).alias("popularity"))
+    index = ti.build(titles, f"{folder}/index", item="item_id", block=200)
+    return ti.search(index, asked, f"{folder}/search", limit=50)
+
+
 _FILTER_OUT = "entity_hash, popularity, release_year, quality"
 
 
