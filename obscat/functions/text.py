@@ -342,6 +342,14 @@ def parsed_info(title: Column | str) -> Column:
     )
 
 
+def stored_info(title: Column | str) -> Column:
+    """Release attributes as canonical rows keep them: season and episode as lists, NULL when absent."""
+    info = parsed_info(title)
+    kept = [info[c].alias(c) for c in ("resolution", "quality", "codec", "audio", "group", "container", "region", "year")]
+    lists = [F.when(info[c].isNotNull(), F.array(info[c])).alias(f"{c}s") for c in ("season", "episode")]
+    return F.when(F.trim(col(title)) != "", F.struct(*kept, *lists, info["complete"].alias("complete")))
+
+
 def url_key(url: Column | str) -> Column:
     """Source key of a URL: its ``t``/``id`` number, its ``/torrent/n`` path, else the URL."""
     u = col(url)

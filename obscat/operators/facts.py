@@ -53,10 +53,11 @@ def suffix_facts(facts: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
     A number that a label of the same page carries itself is passed over, so keys are unique.
     """
     keyed = clean_facts(facts).withColumn("_k", F.lower("label"))
-    counted = numbered(keyed, [PAGE, "_k"], [F.col(c) for c in order], "_n", order[0])
+    counted = numbered(keyed, [PAGE, "_k"], [F.col(c) for c in order], "_n", order[0], (facts, [PAGE]))
     spelled = F.regexp_extract("_k", r"^(.+) ([2-9]|[1-9][0-9]+)$", 2)
+    # only a label with a digit can carry a number
     taken = (
-        keyed.select(PAGE, F.regexp_extract("_k", r"^(.+) ([2-9]|[1-9][0-9]+)$", 1).alias("_k"), spelled.try_cast("long").alias("_t"))
+        clean_facts(facts.where(F.col("label").rlike("[0-9]"))).withColumn("_k", F.lower("label")).select(PAGE, F.regexp_extract("_k", r"^(.+) ([2-9]|[1-9][0-9]+)$", 1).alias("_k"), spelled.try_cast("long").alias("_t"))
         .where(F.col("_t").isNotNull()).groupBy(PAGE, "_k").agg(F.array_sort(F.collect_set("_t")).alias("_taken"))
     )
     none = F.array().cast("array<bigint>")

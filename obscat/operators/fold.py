@@ -231,9 +231,7 @@ def orphan_items(obs: DataFrame, snapshot: DataFrame) -> DataFrame:
     return ever.join(snapshot.select("entity_hash").distinct(), "entity_hash", "left_anti")
 
 
-def backfill(
-    canonical: DataFrame, existing: DataFrame, media: DataFrame | None = None
-) -> DataFrame:
+def backfill(canonical: DataFrame, existing: DataFrame) -> DataFrame:
     """Seed observations from canonical rows; keys that already exist are left alone."""
     seeds = canonical.select(
         F.lower("source").alias("source"),
@@ -250,6 +248,16 @@ def backfill(
     return seeds.join(existing.select(*KEY).distinct(), list(KEY), "left_anti")
 
 
+def backfill_links(canonical: DataFrame, existing: DataFrame) -> DataFrame:
+    """Seed item to media links from canonical rows with a ``media_id``; links that already exist are left alone."""
+    seeds = canonical.where(F.col("media_id").isNotNull()).select(
+        "entity_hash", "media_id", F.col("updated_at").alias("first_seen_at"), F.col("updated_at").alias("last_seen_at"),
+        F.col("title").alias("query"), F.lit("legacy").alias("reason"),
+    )
+    keys = ["entity_hash", "media_id"]
+    return first_per_key(seeds, keys, "first_seen_at", "query").join(existing.select(*keys).distinct(), keys, "left_anti")
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
     """One row per key, the first by ``order``; combined before the shuffle."""
     return _one_per_key(df, keys, F.min_by, order)

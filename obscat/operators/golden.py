@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obscat.functions.links import announce_urls, build_link
+from obscat.functions.text import stored_info
 from obscat.operators.skew import numbered
 from obscat.schema import FIELD_BITS, SOURCES, has, source_ordinal, state_rank
 
@@ -126,7 +127,7 @@ def _canonical(best: DataFrame, as_of: str) -> DataFrame:
         *[F.coalesce(c, none).alias(c) for c in ("types", "languages", "voices")],
         F.coalesce("seasons", F.array().cast("array<int>")).alias("seasons"),
         F.lit(as_of).cast("timestamp_ntz").alias("updated_at"),
-    )
+    ).withColumn("parsed_info", stored_info("title"))
 
 
 def rank_observations(snapshot: DataFrame, sources=SOURCES) -> DataFrame:

@@ -151,7 +151,7 @@ def catalog_rows(items: DataFrame) -> DataFrame:
         F.coalesce("release_year", F.lit(0)).alias("release_year"),
         F.coalesce("quality", F.lit(0)).alias("quality"), "video_type", "types",
         distinct_ci("languages").alias("languages"), distinct_ci("voices").alias("voices"),
-        F.array_distinct("seasons").alias("seasons"),
+        F.array_distinct("seasons").alias("seasons"), "updated_at", "parsed_info",
     )
 
 

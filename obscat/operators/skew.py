@@ -40,11 +40,17 @@ def _image(by: Column, kind: T.DataType, low, high) -> Column:
 class Slices:
     """Rows with their slice in ``rows``; ``cut`` tells whether any key has more than one."""
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], by: Column | str):
-        """``by`` is a text or a whole number that never falls along the order inside a key; null is lowest."""
+    def __init__(self, df: DataFrame, keys: Sequence[str], by: Column | str, raw: tuple[DataFrame, Sequence[str]] | None = None):
+        """``by`` is a text or a whole number that never falls along the order inside a key; null is lowest.
+
+        ``raw`` names rows that are cheaper to sketch and hold all of ``df``, and some of the keys to tell them by.
+        """
         self.keys = list(keys)
+        # told by all their keys there are at most MOST_HEAVY heavy ones; raw keys may hold any number of others
+        self.few = raw is None
         by = F.col(by) if isinstance(by, str) else by
-        asked = df.select(F.xxhash64(*self.keys).alias("_h"), by.alias("_by"))
+        told, names = (df, self.keys) if raw is None else raw
+        asked = told.select(F.xxhash64(*names).alias("_h"), by.alias("_by"))
         kind = asked.schema["_by"].dataType
         seen = asked.agg(
             F.expr(f"approx_top_k(_h, {MOST_HEAVY}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("n"),
@@ -60,7 +66,7 @@ class Slices:
         steps = [i / SLICES for i in range(1, SLICES)]
         bounds = asked.where(F.col("_h").isin(hot)).groupBy("_h").agg(F.percentile_approx(image(F.col("_by")), steps, 10_000).alias("_bounds")).collect()
         table = df.sparkSession.createDataFrame([tuple(r) for r in bounds], "_h long, _bounds array<bigint>")
-        joined = df.withColumn("_h", F.xxhash64(*self.keys)).join(F.broadcast(table), "_h", "left")
+        joined = df.withColumn("_h", F.xxhash64(*names)).join(F.broadcast(table), "_h", "left")
         here = image(by)
         number = F.when(F.col("_bounds").isNotNull(), F.size(F.filter("_bounds", lambda b: b < here)) + 1).otherwise(0)
         self.rows = joined.withColumn(SLICE, number).drop("_h", "_bounds")
@@ -78,7 +84,7 @@ class Slices:
         same = F.lit(True)
         for k in names:
             same = same & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
-        return rows.join(F.broadcast(renamed), same, "left").drop(*[f"_s_{k}" for k in names])
+        return rows.join(F.broadcast(renamed) if self.few else renamed, same, "left").drop(*[f"_s_{k}" for k in names])
 
 
 def earlier_slices(keys: Sequence[str]):
@@ -86,10 +92,10 @@ def earlier_slices(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, by: Column | str) -> DataFrame:
-    """Add the position of every row inside its key group, from 1; ``by`` never falls along ``order``."""
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, by: Column | str, raw: tuple[DataFrame, Sequence[str]] | None = None) -> DataFrame:
+    """Add the position of every row inside its key group, from 1; ``by`` and ``raw`` as in :class:`Slices`."""
     keys = list(keys)
-    slices = Slices(df, keys, by)
+    slices = Slices(df, keys, by, raw)
     position = F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(*order)).cast("long")
     rows = slices.rows.withColumn(name, position)
     if slices.cut:

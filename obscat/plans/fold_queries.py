@@ -324,6 +324,17 @@ def backfill_insert_ignore(spark, sf_dir):
     )
 
 
+@query("backfill_links", gold_sql(
+    "SELECT g.entity_hash, m.media_id, updated_at AS first_seen_at, updated_at AS last_seen_at, title AS query, 'legacy' AS reason FROM "
+    f"(SELECT *, TIMESTAMP '{AS_OF_LINEITEM}' AS updated_at FROM golden) g JOIN (SELECT entity_hash, max(media_id) AS media_id FROM snap GROUP BY entity_hash) m ON m.entity_hash = g.entity_hash "
+    "WHERE m.media_id % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM acc a WHERE a.entity_hash = g.entity_hash AND a.media_id = m.media_id AND a.popularity > 25)"))
+def backfill_links(spark, sf_dir):
+    rows, snap = obs(spark, sf_dir), snapshot(spark, sf_dir)
+    media = snap.groupBy("entity_hash").agg(F.max("media_id").alias("media_id"))
+    gold = go.golden_record(snap, AS_OF_LINEITEM, GOLD_MINUTES).join(media.withColumn("media_id", F.when(F.col("media_id") % 5 != 0, F.col("media_id"))), "entity_hash")
+    return fo.backfill_links(gold, fo.media_links(fo.accepted(rows).where("popularity > 25"), query="source_url"))
+
+
 # --- validation ----------------------------------------------------------------------------
 
 _BATCH_SQL = """batch AS (SELECT source AS batch_source, arrival_key, media_id,

@@ -17,7 +17,7 @@ from obscat.plans.registry import query
 from obscat.plans.state_queries import MAPS_SQL, SUMMARY_SQL, override_maps
 from obscat.schema import source_dimension
 from obscat.session import shared_dir
-from obscat.sources.views import csv_array, oracle, view
+from obscat.sources.views import AS_OF_LINEITEM, csv_array, oracle, view
 
 _HITS_SQL = """hits AS (SELECT CASE source WHEN 'src_g' THEN 'src' ELSE source END AS source, arrival_key AS source_key, entity_hash AS item,
   title, popularity, secondary_popularity, size_bytes, fetched_at AS publish_date, voices_csv, languages_csv, quality, release_year,
@@ -247,12 +247,15 @@ def sort_modes(spark, sf_dir):
     "SELECT entity_hash, source, size_bytes, regexp_replace(regexp_replace(printf('%.2f', round(CASE WHEN size_bytes >= 1073741824 THEN size_bytes / 1073741824.0 "
     "WHEN size_bytes >= 1048576 THEN size_bytes / 1048576.0 WHEN size_bytes >= 1024 THEN size_bytes / 1024.0 ELSE size_bytes END, 2)), '0+$', ''), '\\.$', '') || "
     "CASE WHEN size_bytes >= 1073741824 THEN ' GB' WHEN size_bytes >= 1048576 THEN ' MB' WHEN size_bytes >= 1024 THEN ' KB' ELSE ' B' END AS size_label, "
-    "coalesce(release_year, 0) AS release_year, coalesce(quality, 0) AS quality, voices FROM golden"))
+    "coalesce(release_year, 0) AS release_year, coalesce(quality, 0) AS quality, voices, "
+    f"TIMESTAMP '{AS_OF_LINEITEM}' AS updated_at, title <> '' AS parsed, CAST(nullif(regexp_extract(title, '\\b((19|20)\\d{{2}})\\b', 1), '') AS INT) AS parsed_year, "
+    "nullif(lower(regexp_extract(title, '\\b(\\d{3,4}[pi]|4k)\\b', 1)), '') AS parsed_resolution FROM golden"))
 def catalog_projection(spark, sf_dir):
     rows = se.catalog_rows(golden(spark, sf_dir))
     return rows.select(
         "entity_hash", "source", "size_bytes", "size_label", "release_year", "quality",
         F.nullif(F.array_join("voices", ","), F.lit("")).alias("voices"),
+        "updated_at", F.col("parsed_info").isNotNull().alias("parsed"), F.col("parsed_info.year").alias("parsed_year"), F.col("parsed_info.resolution").alias("parsed_resolution"),
     )
 
 
