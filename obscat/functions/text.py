@@ -292,8 +292,21 @@ def fallback_name(title: Column | str) -> Column:
     return F.nullif(F.trim(F.get(F.split(col(title), r"[\[/(|]"), F.lit(0))), F.lit(""))
 
 
+#: Video types that titles of a flavour may name; flavours that are not listed may name any.
+FAMILIES = {"slash": "short", "cut": "broadcast", "movie": "remux"}
+
+
+def video_type_of(title: Column | str, flavour: Column | str, families: dict[str, str] | None = None) -> Column:
+    """Video type of a title by the family of its flavour."""
+    families = FAMILIES if families is None else families
+    out = video_type(title)
+    for name, family in families.items():
+        out = F.when(col(flavour) == name, video_type(title, family)).otherwise(out)
+    return out
+
+
 def title_table(df: DataFrame, title: str = "title", flavour: str = "flavour") -> DataFrame:
-    """Title attributes of a whole table; the parser is chosen per row by ``flavour``."""
+    """Title attributes of a whole table; the parser and the video types are chosen per row by ``flavour``."""
     slash, cyr = slash_names(title), cyrillic_names(title)
     club = cyrillic_names(title, r"\s+(?:/|\|)\s+", cut=True)
     simple = {"slash": slash, "cyrillic": cyr, "cut": club}
@@ -318,7 +331,7 @@ def title_table(df: DataFrame, title: str = "title", flavour: str = "flavour") -
             F.coalesce(F.nullif(F.col("_t.name"), F.lit("")), fallback_name(title)).alias("name"),
             F.col("_t.original_name").alias("original_name"),
             F.col("_t.release_year").alias("release_year"),
-            video_type(title).alias("video_type"),
+            video_type_of(title, kind).alias("video_type"),
             quality(title).alias("quality"),
         )
     )

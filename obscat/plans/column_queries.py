@@ -145,6 +145,24 @@ def title_attributes(spark, sf_dir):
     return text.title_table(rows)
 
 
+_KINDS_SQL = """kinds AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'slash' WHEN 1 THEN 'cut' WHEN 2 THEN 'movie' ELSE 'cyrillic' END AS flavour,
+  concat(title, CASE floor(item_id / 4) % 3 WHEN 0 THEN '' ELSE ' end' END) AS title FROM (SELECT p_partkey AS item_id, concat(p_name, ' [',
+    CASE p_size % 7 WHEN 0 THEN 'HDTVRip' WHEN 1 THEN 'Blu-Ray Remux' WHEN 2 THEN 'WEB-DL-HEVC' WHEN 3 THEN 'bdrip-AVC' WHEN 4 THEN 'UHD  BDRemux' WHEN 5 THEN 'HDRip-AVC' ELSE 'XWEBRip' END,
+    '] ', p_brand) AS title FROM {part}))"""
+
+
+def _family_sql(family):
+    pattern = fixed.VIDEO_TYPE_PATTERNS[family].replace("'", "''")
+    return f"nullif(regexp_extract(title, '{pattern}', 0), '')"
+
+
+@query("title_video_types", "WITH " + _KINDS_SQL.format(part="part") + f""" SELECT item_id, flavour, CASE flavour WHEN 'slash' THEN {_family_sql("short")}
+  WHEN 'cut' THEN {_family_sql("broadcast")} WHEN 'movie' THEN {_family_sql("remux")} ELSE {_family_sql("full")} END AS video_type FROM kinds""")
+def title_video_types(spark, sf_dir):
+    rows = spark.sql("WITH " + _KINDS_SQL + " SELECT * FROM kinds", part=table(spark, sf_dir, "part"))
+    return rows.select("item_id", "flavour", text.video_type_of("title", "flavour").alias("video_type"))
+
+
 @query("title_parsed_info", oracle("""SELECT item_id, CASE item_id % 4 WHEN 0 THEN '1080p' WHEN 1 THEN '720p' WHEN 2 THEN '2160p' END AS resolution,
   CASE item_id % 4 WHEN 0 THEN 'BDRip' WHEN 1 THEN 'WEB-DLRip' WHEN 2 THEN 'UHD BDRemux' ELSE 'HDRip' END AS quality, CASE WHEN item_id % 2 = 0 THEN 'x265' END AS codec,
   'dts' AS audio, CAST(1 + item_id % 3 AS INT) AS season FROM v_titles""", "v_titles"))
