@@ -100,3 +100,49 @@ def places(text, phrases):
 
 def spelled(spans):
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+class KneserNey:
+    """Interpolated Kneser-Ney on sequences of symbols, count by count, with one or three discounts."""
+
+    def __init__(self, grams, order, discounts):
+        """``grams`` are the n-grams of the highest order, with repeats."""
+        from collections import Counter
+
+        self.order = order
+        self.counts = {order: Counter(grams)}
+        for o in range(order - 1, 0, -1):
+            self.counts[o] = Counter(g[1:] for g in self.counts[o + 1])  # how many symbols stand before it
+        self.cuts = {o: discounts(Counter(c.values())) for o, c in self.counts.items()}
+        self.followers = {}
+        for o, counts in self.counts.items():
+            for g, n in counts.items():
+                total, rest = self.followers.get((o, g[:-1]), (0, 0.0))
+                self.followers[o, g[:-1]] = total + n, rest + min(n, self.cuts[o][min(n, 3) - 1])
+
+    def probability(self, gram):
+        """Of the last symbol after those before it."""
+        order = len(gram)
+        if order == 0:
+            return 1 / (len(self.counts[1]) + 1)
+        below = self.probability(gram[1:])
+        if (order, gram[:-1]) not in self.followers:
+            return below
+        total, rest = self.followers[order, gram[:-1]]
+        n = self.counts[order].get(gram, 0)
+        return (n - min(n, self.cuts[order][min(n, 3) - 1] if n else 0)) / total + rest / total * below
+
+
+def three_discounts(kinds):
+    """Of the modified form, from how many n-grams stand once, twice and so on."""
+    y = kinds[1] / (kinds[1] + 2 * kinds[2]) if kinds[1] + 2 * kinds[2] else None
+    out = []
+    for i in (1, 2, 3):
+        d = i - (i + 1) * y * kinds[i + 1] / kinds[i] if y is not None and kinds[i] and kinds[i + 1] else 0.5
+        out.append(max(d, 0.05))
+    return out
+
+
+def one_discount(kinds):
+    d = kinds[1] / (kinds[1] + 2 * kinds[2]) if kinds[1] + 2 * kinds[2] else 0
+    return [d or 0.5] * 3

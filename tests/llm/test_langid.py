@@ -82,3 +82,19 @@ def test_joined_trigrams_score_like_held_ones(spark, monkeypatch):
         found = langid.entropies(docs.select("doc_id", "text"), model).collect()
         assert len(found) == len(rows)
         np.testing.assert_allclose([r.entropies for r in found if r.doc_id == 10][0], plain, rtol=1e-5)
+
+
+def test_probabilities_equal_counts_by_hand(spark):
+    from tests.llm.plain import KneserNey, one_discount
+
+    texts = {"en": "the cat and the hat sat there then", "de": "die katze und der hut saßen dort dann das"}
+    windows = lambda w: [f"  {w} "[i : i + 3] for i in range(len(w) + 1)]
+    langs, parts = langid.sorted_arrays(langid.train(table(spark, [(i, t, lang) for i, (lang, t) in enumerate(texts.items())]).select("text", "lang")))
+    for column, lang in enumerate(langs):
+        by_hand = KneserNey([g for w in texts[lang].split() for g in windows(w)], 3, one_discount)
+        grams = [g for w in ["the", "katze", "zebra", "ßen"] for g in windows(w)]
+        packed = np.array([sum(ord(c) << (langid.CHAR * (2 - i)) for i, c in enumerate(g)) for g in grams], np.uint64)
+        low, last = packed & np.uint64((1 << 42) - 1), packed & np.uint64((1 << 21) - 1)
+        codes = {"p3": packed, "p2": low, "p1": last, "g2": packed >> np.uint64(21), "g1": low >> np.uint64(21)}
+        got = langid.log_probabilities(packed, {k: langid.spark_xxhash64(v) for k, v in codes.items()}, parts)[:, column]
+        np.testing.assert_allclose(got, [np.log(by_hand.probability(g)) for g in grams], rtol=2e-5, atol=2e-5)

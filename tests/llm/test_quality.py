@@ -84,3 +84,16 @@ def test_joined_grams_score_like_held_ones(spark, monkeypatch):
         got = {r.doc_id: r.entropy for r in quality.entropies(docs.select("doc_id", "text"), model, "text").collect()}
         assert got.pop(31) == 0 and got.keys() == want.keys()
         np.testing.assert_allclose([got[k] for k in want], list(want.values()), rtol=1e-5)
+
+
+def test_probabilities_equal_counts_by_hand(spark):
+    from tests.llm.plain import KneserNey, three_discounts
+
+    texts = [good(i) for i in range(12)] + ["Zahlen 12 und 345, Ähren.", "漢字 text", "aaaa", "b"]
+    windows = lambda t: [("\n\n\n" + t)[i : i + 4] for i in range(len(t))]
+    plain = lambda t: "".join("0" if "0" <= c <= "9" else c for c in t)
+    by_hand = KneserNey([g for t in texts for g in windows(plain(t))], 4, three_discounts)
+    parts = quality.sorted_arrays(quality.trained(spark.createDataFrame([(t,) for t in texts], "text string")))
+    for text in [texts[0], texts[12], "Unseen QQ text 99 漢", "zz"]:
+        want = [np.log(by_hand.probability(g)) for g in windows(plain(text))]
+        np.testing.assert_allclose(quality.log_probabilities(quality.grams([text])[0], parts), want, rtol=2e-5, atol=2e-5)
