@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _held: dict[str, object] = {}
 
 
 def only(name: str | None, make: Callable[[], object] | None = None):
     """The cache called ``name``, made if it isn't there; caches of other names are let go, all of them for None."""
-    for other in [k for k in _held if k != name]:
+    others = [k for k in _held if k != name]
+    for other in others:
         del _held[other]
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
     if name is None:
         return None
     if name not in _held:

@@ -260,6 +260,7 @@ def entropies(docs: DataFrame, model: Model, text: str) -> DataFrame:
 
 def _possible(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(None)
         for batch in batches:
             keep = may_hold(bits.value, batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64))
             yield batch.select(["id", "text"]).filter(pa.array(keep))
