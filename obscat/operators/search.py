@@ -18,6 +18,9 @@ SORTS = {
     "create": "publish_date",
 }
 NAME_COLUMNS = ("title", "name", "original_name")
+#: Distinct tokens of many queries that are broadcast, and parts in which the hits of one token are cut first.
+FEW_TOKENS = 1_000_000
+PARTS = 64
 
 
 def clamp_limit(limit: int = DEFAULT_LIMIT) -> int:
@@ -66,13 +69,30 @@ def many_titles(
 
     A token can only occur in a name that holds all its three-letter pieces (two-letter for
     two-letter tokens). Each token is looked up by its rarest piece only and the hit is then
-    checked, so neither all pairs nor all pieces meet in the join.
+    checked, so neither all pairs nor all pieces meet in the join. The best hits of a query are
+    among the best of its tokens, so a token's hits are cut before they meet the queries: a common
+    token costs a query ``limit`` rows, not all items.
     """
-    names = [c for c in NAME_COLUMNS if c in items.columns]
     asked = queries.select(
         "query_id", F.explode(F.transform(search_tokens("query"), lambda t: F.lower(t))).alias("token")
     ).distinct()
-    tokens = asked.select("token").distinct()
+    found = token_hits(items, asked.select("token").distinct(), item, limit).join(asked, "token")
+    best = Window.partitionBy("query_id").orderBy(F.desc("popularity"), item)
+    ranked = (
+        found.select("query_id", item, "popularity").distinct()
+        .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= clamp_limit(limit))
+    )
+    return ranked.select("query_id", item, F.col("rank").cast("long").alias("rank"))
+
+
+def token_hits(items: DataFrame, tokens: DataFrame, item: str = "entity_hash", limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """``(token, item, popularity)``: the most popular items with each of some distinct tokens in a name.
+
+    Up to ``FEW_TOKENS`` tokens are broadcast, so that the pieces of all names need not be shuffled.
+    """
+    names = [c for c in NAME_COLUMNS if c in items.columns]
+    few = tokens.limit(FEW_TOKENS + 1).count() <= FEW_TOKENS
+    near = F.broadcast if few else lambda df: df
     pieces = tokens.select(
         "token",
         F.explode(
@@ -84,7 +104,7 @@ def many_titles(
         F.concat(*[_grams(F.col(c), size) for c in names for size in (2, 3)])
     )
     wanted = pieces.select("gram").distinct()
-    posted = lowered.select("*", F.explode(grams).alias("gram")).join(wanted, "gram", "left_semi")
+    posted = lowered.select(F.explode(grams).alias("gram")).join(near(wanted), "gram", "left_semi")
     frequency = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = (
         pieces.join(frequency, "gram", "left")
@@ -92,11 +112,15 @@ def many_titles(
         .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     )
     contains = F.greatest(*[F.col(c).contains(F.col("token")) for c in names], F.lit(False))
-    hits = posted.join(rarest, "gram").where(contains).select("token", item, "popularity")
-    found = hits.join(asked, "token").select("query_id", item, "popularity").distinct()
-    best = Window.partitionBy("query_id").orderBy(F.desc("popularity"), item)
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= clamp_limit(limit))
-    return ranked.select("query_id", item, F.col("rank").cast("long").alias("rank"))
+    hits = lowered.select("*", F.explode(grams).alias("gram")).join(near(rarest), "gram").where(contains)
+    hits = hits.select("token", item, "popularity")
+    # dense ranks, as a row that comes twice is one hit; in parts first, so that no task sorts all hits of a token
+    order = [F.desc("popularity"), F.col(item)]
+    part = F.pmod(F.xxhash64(item), F.lit(PARTS))
+    for group in (["token", part], ["token"]):
+        hits = hits.withColumn("_n", F.dense_rank().over(Window.partitionBy(*group).orderBy(*order)))
+        hits = hits.where(F.col("_n") <= clamp_limit(limit)).drop("_n")
+    return hits.distinct()
 
 
 def apply_filters(
