@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from obscat.functions.text import distinct_ci, parsed_info, search_tokens, size_label
 from obscat.operators.merge import merge_duplicates
 from obscat.operators.skew import numbered
+from obscat.session import kept
 
 DEFAULT_LIMIT = 500
 MAX_LIMIT = 2_000
@@ -155,9 +156,11 @@ def sort_by(sort: str | None) -> list[Column]:
 def sort_positions(items: DataFrame, modes: Sequence[str]) -> DataFrame:
     """``(mode, entity_hash, position)`` of all items under every named sort, items read once.
 
-    Modes are numbered in slices, so no order of all items has to fit one task.
+    Modes are numbered in slices, so no order of all items has to fit one task. The ordering columns are kept, as
+    the slices take several looks at them.
     """
     columns = {m: SORTS.get(m.lower(), SORTS["create"]) for m in modes}
+    items = kept(items.select("entity_hash", *dict.fromkeys(columns.values())), "sorts")
     whole = lambda c: F.unix_micros(F.col(c).cast("timestamp")) if c == "publish_date" else F.col(c).cast("long")
     each = F.array(*[F.struct(F.lit(m).alias("mode"), whole(c).alias("by")) for m, c in columns.items()])
     rows = items.select("entity_hash", F.explode(each).alias("x")).select("entity_hash", "x.*")
@@ -239,11 +242,12 @@ def search_request(
     Filters come after the limit and the merge, so they see merged rows and never widen the hits.
     ``position`` is the order; there are at most as many rows as the limit allows.
     """
-    hits = by_title(items, title, limit).withColumn("source_key", F.coalesce("source_url", "entity_hash"))
+    # at most as many rows as the limit allows, which the merge and the order read several times
+    hits = kept(by_title(items, title, limit), "hits").withColumn("source_key", F.coalesce("source_url", "entity_hash"))
     merged = merge_duplicates(hits.drop("entity_hash"), title_source, demoted)
-    kept = apply_filters(merged, **filters)
+    passed = apply_filters(merged, **filters)
     order = Window.orderBy(*sort_by(sort))
-    placed = kept.withColumn("position", F.row_number().over(order).cast("long"))
+    placed = passed.withColumn("position", F.row_number().over(order).cast("long"))
     shaped = attach_overrides(result_rows(placed), summaries)
     return shaped.join(placed.select(F.col("entity_hash").alias("id"), "position"), "id")
 
@@ -252,11 +256,12 @@ def result_events(results: DataFrame, batch_size: int = 500) -> DataFrame:
     """One JSON line per non-empty batch of results, and a final ``done`` line.
 
     A source's results are cut into batches of about ``batch_size`` by their hash, so the
-    size of a line does not grow with the size of a source.
+    size of a line does not grow with the size of a source. Results are kept, as they are counted first.
     """
+    results = kept(results, "results")
     counts = results.groupBy("source").agg(F.count(F.lit(1)).alias("_rows"))
     bucket = F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long")
-    cut = results.join(counts, "source").withColumn(
+    cut = results.join(F.broadcast(counts), "source").withColumn(  # a row per source
         "batch", bucket % F.ceil(F.col("_rows") / F.lit(batch_size))
     )
     one = event_row(results.columns)

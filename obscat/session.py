@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -38,3 +38,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if base is None:
         return os.path.join(tempfile.mkdtemp(prefix=f"obscat-{purpose}-"), "t")
     return os.path.join(base, "obscat", purpose, spark.sparkContext.applicationId, uuid.uuid4().hex)
+
+
+def kept(df: DataFrame, purpose: str) -> DataFrame:
+    """Rows that several branches of a plan read, written once below the shared folder."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
