@@ -2,9 +2,10 @@
 
 Postings are the items of every two- and three-letter piece of their names. Those of a piece are numbered by
 popularity and cut into blocks of ``BLOCK`` items, so a piece that most names hold is many rows of a bounded size and
-no task gets it whole. A search looks every token up by its rarest piece and goes through the blocks from the most
-popular on, twice as many in every round; a query is done when its last wanted hit is more popular than anything in
-the blocks not seen yet, so a common piece is read to its end only where too few names match.
+no task gets it whole. A search looks every distinct token up by its rarest piece and goes through the blocks from the
+most popular on, twice as many in every round; a token is done when its last wanted hit is more popular than anything in
+the blocks not seen yet, so a common piece is read to its end only where too few names match. The best hits of a query are
+among the best of its tokens, so queries meet the hits of their tokens last, and many queries with one token read it once.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ def build(items: DataFrame, path: str, item: str = "entity_hash", block: int = B
     falling = F.bitwise_not("popularity")
     ranked = numbered(rows, ["gram"], [F.desc("popularity"), F.asc("item")], "_n", falling)
     cut = ranked.withColumn("block", F.floor((F.col("_n") - 1) / block).cast("long")).drop("_n")
-    cut.repartition("gram", "block").sortWithinPartitions("gram", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    # numbered rows of a piece, or of a slice of it, lie together already
+    cut.sortWithinPartitions("gram", "block").write.mode("overwrite").parquet(f"{path}/postings")
     sizes = spark.read.parquet(f"{path}/postings").groupBy("gram", "block").agg(F.max("popularity").alias("best"), F.count(F.lit(1)).alias("n"))
     sizes.write.mode("overwrite").parquet(f"{path}/blocks")
     return TitleIndex(spark, path)
@@ -69,29 +71,33 @@ def search(index: TitleIndex, queries: DataFrame, path: str, limit: int = DEFAUL
         rows.write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.schema(rows.schema).parquet(f"{path}/{name}")
 
-    open_ = keep(_lookups(index, queries), "lookups")
-    best = Window.partitionBy("query_id").orderBy(F.desc("popularity"), "item")
-    held = keep(open_.select("query_id", F.lit(None).cast(index.postings.schema["item"].dataType).alias("item"), F.lit(0).cast("long").alias("popularity")).limit(0), "hits-0")
+    asked = keep(_lookups(index, queries), "lookups")
+    open_ = keep(asked.select("token", "gram").distinct(), "open-0")
+    best = Window.partitionBy("token").orderBy(F.desc("popularity"), "item")
+    held = keep(open_.select("token", F.lit(None).cast(index.postings.schema["item"].dataType).alias("item"), F.lit(0).cast("long").alias("popularity")).limit(0), "hits-0")
     done: list[DataFrame] = []
     low, high, number = 0, 1, 0
     while not open_.isEmpty():
         number += 1
         seen = index.postings.where((F.col("block") >= low) & (F.col("block") < high))
-        found = seen.join(open_, "gram").where(F.contains("names", "token")).select("query_id", "item", "popularity")
+        found = seen.join(open_, "gram").where(F.contains("names", "token")).select("token", "item", "popularity")
         hits = held.unionByName(found).distinct().withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= limit)
         held = keep(hits.drop("_n"), f"hits-{number}")
-        left = index.blocks.where(F.col("block") == high).select("gram", "best")
-        ahead = open_.join(left, "gram").groupBy("query_id").agg(F.max("best").alias("ahead"))
-        last = held.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("popularity").alias("last"))
-        more = ahead.join(last, "query_id", "left").where((F.coalesce("n", F.lit(0)) < limit) | (F.col("ahead") >= F.col("last")))
-        still = keep(open_.join(more.select("query_id"), "query_id", "left_semi"), f"open-{number}")
-        ids = still.select("query_id").distinct()
-        done.append(held.join(ids, "query_id", "left_anti"))
-        open_, held, low, high = still, held.join(ids, "query_id", "left_semi"), high, 2 * high
+        left = index.blocks.where(F.col("block") == high).select("gram", F.col("best").alias("ahead"))
+        last = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("popularity").alias("last"))
+        ahead = open_.join(left, "gram").join(last, "token", "left")
+        more = ahead.where((F.coalesce("n", F.lit(0)) < limit) | (F.col("ahead") >= F.col("last")))
+        still = keep(more.select("token", "gram"), f"open-{number}")
+        tokens = still.select("token")
+        done.append(held.join(tokens, "token", "left_anti"))
+        open_, held, low, high = still, held.join(tokens, "token", "left_semi"), high, 2 * high
     out = held.limit(0)
     for part in done:
         out = out.unionByName(part)
-    return out.select("query_id", "item", F.row_number().over(best).cast("long").alias("rank"))
+    per_query = Window.partitionBy("query_id").orderBy(F.desc("popularity"), "item")
+    out = asked.join(out, "token").select("query_id", "item", "popularity").distinct()
+    ranked = out.select("query_id", "item", F.row_number().over(per_query).cast("long").alias("rank"))
+    return ranked.where(F.col("rank") <= limit)
 
 
 def postings_per_task(index: TitleIndex) -> int:

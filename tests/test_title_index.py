@@ -56,3 +56,12 @@ def test_no_items_and_no_queries(spark, tmp_path):
     assert ti.search(index, queries, str(tmp_path / "a")).count() == 0
     index = ti.build(items, str(tmp_path / "index2"))
     assert ti.search(index, queries.limit(0), str(tmp_path / "b")).count() == 0
+
+
+def test_many_queries_read_a_token_once(spark, tmp_path):
+    items, _ = tables(spark, 5, 60)
+    queries = spark.range(40).select(F.col("id").cast("int").alias("query_id"), F.lit("gamma al").alias("query"))
+    found = ti.search(ti.build(items, str(tmp_path / "index"), block=10), queries, str(tmp_path / "rounds"), 4)
+    assert found.groupBy("query_id").count().where("count = 4").count() == 40
+    # hits of two tokens, not of forty queries
+    assert spark.read.parquet(str(tmp_path / "rounds" / "hits-1")).count() <= 8
