@@ -166,3 +166,34 @@ def test_shown_and_final_results(spark, tmp_path):
     summaries = spark.createDataFrame([], "hash string, season_count long, file_count long, primary_source string, primary_season int, primary_offset int")
     final = watch.final_results(store, summaries, "some", sort="size", quality=1080).collect()
     assert [r.kind for r in final].count("done") == 1 and sorted(r.position for r in final if r.kind == "final") == [1, 2, 3, 4, 5, 6]
+
+
+class Counted:
+    """A state handle in memory that counts the calls for each key."""
+
+    def __init__(self):
+        self.held, self.calls = {}, {}
+
+    def getMapState(self, *args):
+        return self
+
+    def getValue(self, key):
+        self.calls[key] = self.calls.get(key, 0) + 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.calls[key] += 1
+        self.held[key] = value
+
+
+def test_keys_of_a_slot_come_together_and_cost_two_state_calls_each(spark):
+    """One call takes many keys, also without a source; each is read and written once."""
+    log = [observation(i, key=f"k{i % 7}", at=i) for i in range(35)] + [observation(40, key=None), observation(41, key="k0", at=0)]
+    rows = [(3, *r) for r in sparse(frame(spark, log)).select(*OBSERVATION.names).collect()]
+    fold_, state = ingest.KeyFold(), Counted()
+    fold_.init(state)
+    out = list(fold_.handleInputRows((3,), iter(rows[:20]), None)) + list(fold_.handleInputRows((3,), iter(rows[20:]), None))
+    assert len(state.held) == 8 and {len(k) for k in state.held} == {2} and max(state.calls.values()) == 4  # two batches
+    assert [r.source_key for r in out if r.kind == "late"] == ["k0"]
+    last = {r.source_key: r.fetched_at for r in out if r.kind == "current"}
+    assert len(last) == 8 and last["k6"] == max(r["fetched_at"] for r in log if r["source_key"] == "k6")
