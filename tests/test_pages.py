@@ -72,3 +72,18 @@ def test_source_registry(spark):
 def test_one_break_right_after_a_label_is_crossed():
     rows = list(page_rows("<div><b>About:</b><br>text <i>more</i><br>rest <b>Gap:</b><br><br>far <b>End:</b> x<br>y</div>"))
     assert [(label, value) for _, _, label, value in rows] == [("About:", "text more"), ("Gap:", ""), ("End:", "x")]
+
+
+def test_a_page_is_freed_without_the_collector():
+    import gc
+
+    from obscat.sources.pages import Node
+
+    gc.collect()
+    gc.disable()
+    try:
+        assert len(list(page_rows(PAGE))) > 4
+        next(page_rows(PAGE))
+        assert not [o for o in gc.get_objects() if isinstance(o, Node)]
+    finally:
+        gc.enable()
