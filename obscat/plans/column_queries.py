@@ -280,9 +280,9 @@ def identity_resolve(spark, sf_dir):
   (SELECT p_type, CASE WHEN item_id % 11 = 0 THEN NULL ELSE '&tr=https%3A%2F%2Ft' || item_id % 6 || '.example%2Fannounce' END AS tr
    FROM v_titles JOIN part ON item_id = p_partkey) GROUP BY p_type""", "v_titles"))
 def link_build(spark, sf_dir):
-    rows = titles(spark, sf_dir).join(
-        table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), "p_type"), "item_id"
-    )
+    # both sides have a row per part: neither is to be collected for a broadcast
+    kinds = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), "p_type")
+    rows = titles(spark, sf_dir).select("item_id", "link").join(kinds.hint("merge"), "item_id")
     each = rows.select("p_type", F.explode_outer(links.announce_urls("link")).alias("u"))
     urls = each.groupBy("p_type").agg(F.collect_set("u").alias("u"))
     h = F.concat(F.md5("p_type"), F.substring(F.md5("p_type"), 1, 8))

@@ -87,3 +87,10 @@ def test_a_page_is_freed_without_the_collector():
         assert not [o for o in gc.get_objects() if isinstance(o, Node)]
     finally:
         gc.enable()
+
+
+def test_parts_are_not_collected_for_a_join(spark):
+    from obscat.plans import QUERIES
+
+    found = QUERIES["link_build"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in found and "SortMergeJoin" in found
