@@ -25,6 +25,7 @@ from obscat.schema import (
     RETAINING_STATES,
     has,
 )
+from obscat.session import kept
 
 KEY = ("source", "source_key")
 CLOCK = "fetched_at"
@@ -227,6 +228,23 @@ def media_links(
     )
 
 
+#: Keys with a row of one media id that are broadcast, so that only their rows need be shuffled.
+FEW_KEYS = 1_000_000
+
+
+def keys_of_media(obs: DataFrame, media_id: int, keys: Sequence[str] = KEY) -> DataFrame:
+    """All rows of the keys that have a row of a media id, from which its links can be told.
+
+    Keys are told by their hash, as a key too many changes no link. Where more than ``FEW_KEYS`` have such a row,
+    the whole log is given back.
+    """
+    hashed = F.xxhash64(*keys)
+    found = kept(obs.where(F.col("media_id") == media_id).select(hashed.alias("_h")).distinct(), "keys")
+    if found.limit(FEW_KEYS + 1).count() > FEW_KEYS:
+        return obs
+    return obs.withColumn("_h", hashed).join(F.broadcast(found), "_h", "left_semi").drop("_h")
+
+
 def orphan_items(obs: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Items ever accepted that no current row points to any more."""
     ever = accepted(obs.select(*KEY, ARRIVAL, CLOCK, "entity_hash")).select("entity_hash").distinct()

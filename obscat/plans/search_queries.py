@@ -142,7 +142,7 @@ _MEDIA = 12
     f"SELECT {GOLD_OUT} FROM golden WHERE entity_hash IN (SELECT entity_hash FROM acc WHERE media_id = {_MEDIA}) "
     "ORDER BY popularity DESC, entity_hash LIMIT 500"))
 def search_by_media(spark, sf_dir):
-    links = fo.media_links(fo.accepted(obs(spark, sf_dir)), query="source_url")
+    links = fo.media_links(fo.accepted(fo.keys_of_media(obs(spark, sf_dir), _MEDIA)), query="source_url")
     return se.by_media(golden(spark, sf_dir), links, _MEDIA).select(*GOLD_OUT.split(", "))
 
 

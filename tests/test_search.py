@@ -23,3 +23,20 @@ def test_hits_of_a_common_token_are_cut_before_the_queries(spark):
         assert {tuple(r) for r in se.many_titles(items, queries, limit=5).collect()} == want
     finally:
         se.FEW_TOKENS = few
+
+
+def test_links_of_a_media_id_need_only_the_rows_of_its_keys(spark, monkeypatch):
+    from obscat.operators import fold as fo
+    from tests.test_fold import frame, random_log
+
+    rows = random_log(41, 120)
+    for i, row in enumerate(rows):
+        row["media_id"] = 12 if i % 9 == 0 and row["source_key"] in ("k1", "k3") else i % 5
+    log = fo.sparse(frame(spark, rows))
+    linked = lambda obs: sorted(map(str, fo.media_links(fo.accepted(obs)).where("media_id = 12").collect()))
+    few = fo.keys_of_media(log, 12)
+    keys = {(r["source"], r["source_key"]) for r in rows if r["media_id"] == 12}
+    assert few.count() == sum((r["source"], r["source_key"]) in keys for r in rows) < len(rows)
+    assert linked(few) == linked(log) != []
+    monkeypatch.setattr(fo, "FEW_KEYS", 0)
+    assert fo.keys_of_media(log, 12).count() == len(rows)
