@@ -13,9 +13,12 @@ so the estimate is close; pairs more than ``SIGMAS`` standard deviations below t
 No bucket is expanded to all pairs. First every member of a bucket is compared with one member,
 chosen by one of ``ORDERS`` orders; the links found give components. Only buckets whose members are
 still in different components are looked at further: their rows meet in blocks of bounded size, and
-a task gives out those pairs of different components whose sketches agree enough, each
-pair in the first table it shares only, so no pair of a bucket goes unseen and none is given out
-that cannot be similar. Pairs are checked on the full sets of their texts.
+a task looks at those pairs of different components whose sketches agree enough, each
+pair in the first table it shares only, so no pair of a bucket goes unseen. Members with at most
+``WHOLE`` shingles bring their full sets along: the task settles their pairs itself, gives out links
+only and joins their components at once, so a block gives out fewer links than it has components,
+however many pairs are close to the limit. Pairs with a larger set are given out where their
+components are still apart. All pairs given out are checked on the full sets of their texts.
 
 Components come from alternating hooking on the smallest neighbour and pointer jumping over
 written tables; links never reach the driver.
@@ -51,6 +54,8 @@ SIGMAS = 4.0
 #: Members of a block, and pairs that a task looks at in one go.
 BLOCK = 512
 PAIRS_AT_ONCE = 1 << 20
+#: Shingles of the largest set that goes along with a member of a block.
+WHOLE = 512
 _SEEDS = np.random.default_rng(5).integers(1, 1 << 63, (2, 64), dtype=np.uint64) | np.uint64(1)
 
 
@@ -166,19 +171,21 @@ def _agreement(percent: int):
     return run
 
 
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two full sets are similar enough."""
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common) and common > 0
+
+
 def _similar(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "tx"):
                 for part in pieces(piece, "ty"):
                     (vx, bx), (vy, by) = (shingle_sets(part.column(c), k) for c in ("tx", "ty"))
-                    keep = []
-                    for i in range(len(part)):
-                        x, y = vx[bx[i] : bx[i + 1]], vy[by[i] : by[i + 1]]
-                        both = np.concatenate([x, y])
-                        both.sort()
-                        common = int((both[1:] == both[:-1]).sum())
-                        keep.append(100 * common >= percent * (len(both) - common) and common > 0)
+                    keep = [alike(vx[bx[i] : bx[i + 1]], vy[by[i] : by[i + 1]], percent) for i in range(len(part))]
                     yield part.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -199,15 +206,36 @@ def _possible(bits):
     return run
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs ``(x, y)`` whose full sets are similar enough; ``texts`` is ``(id, text)``.
+def _texts_of(needed: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose ids are in ``needed``.
 
-    A bitmap of fixed size leaves most texts of no pair out before the shuffle; the join decides.
+    A bitmap of fixed size leaves most of the others out before the shuffle; the join decides.
     """
-    needed = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    bits = pairs.sparkSession.sparkContext.broadcast(bitmap(needed.select(F.xxhash64("id").alias("h")), "h"))
+    bits = needed.sparkSession.sparkContext.broadcast(bitmap(needed.select(F.xxhash64("id").alias("h")), "h"))
     near = texts.withColumn("h", F.xxhash64("id")).mapInArrow(_possible(bits), "id long, text string")
-    used = near.join(needed.hint("merge"), "id", "left_semi")
+    return near.join(needed.hint("merge"), "id", "left_semi")
+
+
+def _whole_sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                values, bounds = shingle_sets(piece.column("text"), k)
+                sizes = np.diff(bounds)
+                sets = [values[a:b].tobytes() if b - a <= WHOLE else b"" for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(sizes.astype(np.int64)), pa.array(sets, pa.binary())], names=["id", "n", "whole"])
+
+    return run
+
+
+def whole_sets(ids: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """``(id, n, whole)``: the sets of the texts of ``ids``, empty for those of more than ``WHOLE`` shingles."""
+    return _texts_of(ids, texts).mapInArrow(_whole_sets(k), "id long, n long, whole binary").distinct()
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs ``(x, y)`` whose full sets are similar enough; ``texts`` is ``(id, text)``."""
+    used = _texts_of(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), texts)
     text = lambda i, t: used.select(F.col("id").alias(i), F.col("text").alias(t)).hint("merge")
     return pairs.join(text("x", "tx"), "x").join(text("y", "ty"), "y").select("x", "y", "tx", "ty") \
         .mapInArrow(_similar(k, percent), "x long, y long").distinct()
@@ -234,10 +262,39 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def _pairs_in_groups(rows: int, percent: int):
-    """Likely pairs of different components from rows sorted by group ``(key, lo, hi)``."""
+def _joining(left: np.ndarray, right: np.ndarray, root: np.ndarray, whole: list[bytes], above: dict[int, int], percent: int) -> np.ndarray:
+    """Which pairs to give out: links that join components, and pairs without full sets of components still apart.
+
+    ``above`` tells of a component which one it was joined to.
+    """
+    def top(r: int) -> int:
+        while (up := above.get(r)) is not None:
+            above[r] = above.get(up, up)
+            r = up
+        return r
+
+    root = root.tolist()
+    sets = [np.frombuffer(w, np.uint64) for w in whole]
+    out, later = [], []
+    for i, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
+        if not len(sets[a]) or not len(sets[b]):
+            later.append((i, root[a], root[b]))
+            continue
+        ra, rb = top(root[a]), top(root[b])
+        if ra != rb and alike(sets[a], sets[b], percent):
+            above[ra] = rb
+            out.append(i)
+    out.extend(i for i, a, b in later if top(a) != top(b))
+    return np.array(out, np.int64)
+
+
+def _pairs_in_groups(rows: int, percent: int, full: bool = False):
+    """Likely pairs of different components from rows sorted by group ``(key, lo, hi)``; ``full`` where rows have full sets."""
+    above: dict[int, int] = {}
+
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
+        whole = t.column("whole").to_pylist() if full else []
         key, lo, hi, own, ids, n, root = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "own", "id", "n", "root"))
         compound, bins = _compound(_unpacked(t.column("mins"), rows)), _rows_of_bins(t.column("bins"))
         fresh = np.ones(len(ids), bool)
@@ -260,7 +317,11 @@ def _pairs_in_groups(rows: int, percent: int):
             left, right = left[first], right[first]
             fit = np.concatenate([np.zeros(0, bool), *(
                 may_be_similar(bins[left[i : i + 8192]], bins[right[i : i + 8192]], n[left[i : i + 8192]], n[right[i : i + 8192]], percent) for i in range(0, len(left), 8192))])
-            x, y = ids[left[fit]], ids[right[fit]]
+            left, right = left[fit], right[fit]
+            if full:
+                go = _joining(left, right, root, whole, above, percent)
+                left, right = left[go], right[go]
+            x, y = ids[left], ids[right]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,20 +350,30 @@ def _pairs_in_groups(rows: int, percent: int):
     return run
 
 
+def split_members(members: DataFrame) -> DataFrame:
+    """The members ``(key, id, n, root)`` of buckets that hold several components, with the number of their blocks."""
+    split = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    return members.join(split.select("key", blocks.alias("blocks")).hint("merge"), "key").select("key", "id", "n", "root", "blocks")
+
+
 def unlinked_pairs(members: DataFrame, signatures: DataFrame, percent: int, rows: int) -> DataFrame:
     """Likely pairs ``(x, y)`` of buckets that hold several components; ``members`` is ``(key, id, n, root)``.
 
     A bucket of more than ``BLOCK`` members is cut into blocks by a hash, and every two blocks meet.
     """
-    split = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rest = members.join(split.select("key", blocks.alias("blocks")).hint("merge"), "key") \
-        .select("key", "id", "n", "root", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return block_pairs(split_members(members), signatures, percent, rows)
+
+
+def block_pairs(split: DataFrame, signatures: DataFrame, percent: int, rows: int) -> DataFrame:
+    """Likely pairs ``(x, y)`` of different components; where ``signatures`` has full sets, only those that can join some."""
+    rest = split.select("key", "id", "n", "root", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    full = [c for c in signatures.columns if c == "whole"]
     return (
-        rest.join(signatures.select("id", "n", "mins", "bins").hint("merge"), ["id", "n"])
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "root", "mins", "bins")
+        rest.join(signatures.select("id", "n", "mins", "bins", *full).hint("merge"), ["id", "n"])
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "root", "mins", "bins", *full)
         .repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-        .mapInArrow(_pairs_in_groups(rows, percent), "x long, y long")
+        .mapInArrow(_pairs_in_groups(rows, percent, bool(full)), "x long, y long")
     )
 
 
@@ -334,7 +405,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     found = components(links)
     sizes = reps.select("id", "n").dropDuplicates()
     rooted = members.select("key", "id").join(sizes, "id").join(found, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    rest = written(unlinked_pairs(rooted, signatures, percent, rows).distinct().join(asked, ["x", "y"], "left_anti"), "pairs")
+    split = written(split_members(rooted), "split")
+    sets_too = signatures.join(whole_sets(split.select("id").distinct(), texts, k), ["id", "n"])
+    rest = written(block_pairs(split, sets_too, percent, rows).distinct().join(asked, ["x", "y"], "left_anti"), "pairs")
     more = similar_pairs(rest, texts, k, percent)
     root = lambda c, r: found.select(F.col("id").alias(c), F.col("root").alias(r))
     merges = more.join(root("x", "rx"), "x", "left").join(root("y", "ry"), "y", "left").select(F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y"))

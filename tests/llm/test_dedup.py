@@ -97,3 +97,37 @@ def test_no_pair_of_a_bucket_goes_unseen(spark, monkeypatch):
         found = [tuple(r) for r in dedup.unlinked_pairs(members, signed, 85, 7).collect()]
         assert len(want) > 20 and want <= set(found) <= shares and len(found) == len(set(found))
         assert sum(alike(*p) < 0.75 for p in found) == 0
+
+
+def test_pairs_close_to_the_limit_are_settled_in_their_block(spark, monkeypatch):
+    rnd = random.Random(8)
+    texts = []
+    for n, count, changes in ((120, 150, (1, 2, 2, 2, 2, 2, 2, 2)), (700, 14, (9, 10, 11, 12))):
+        base = [f"w{n}x{i}" for i in range(n)]
+        for _ in range(count):
+            copy = list(base)
+            for at in rnd.sample(range(n), rnd.choice(changes)):
+                copy[at] = f"y{rnd.random()}"
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    rnd.shuffle(rows)
+    asked, written = [], dedup.written
+
+    def counted(df, purpose, *more):
+        out = written(df, purpose, *more)
+        if purpose == "pairs":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(dedup, "written", counted)
+    check(spark, rows, 3, 85)
+    assert asked[1] < len(rows)
+    assert max(map(len, (dedup.shingle_sets(dedup.pa.array([t]), 3)[0] for t in texts))) > dedup.WHOLE
+
+
+def test_links_that_join_nothing_new_are_not_given_out():
+    sets = [dedup.np.arange(a, a + 100, dtype=dedup.np.uint64).tobytes() for a in (0, 2, 4, 500)] + [b""]
+    left, right = dedup.np.array([0, 0, 1, 0, 3, 4, 4]), dedup.np.array([1, 2, 2, 3, 4, 0, 1])
+    above = {}
+    go = dedup._joining(left, right, dedup.np.array([7, 8, 9, 5, 7]), sets, above, 85)
+    assert sorted(go.tolist()) == [0, 1, 4] and len(above) == 2
