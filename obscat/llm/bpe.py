@@ -96,7 +96,9 @@ class WordBpe:
         self.ranks = {pair: i for i, pair in enumerate(merges)}
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special = special
-        self.names = {i: t for t, i in [*self.vocab.items(), *special.items()]}
+        names = {i: t for t, i in [*self.vocab.items(), *special.items()]}
+        #: Lists by id, which are a tenth of dictionaries of numbers; an id without a token has an empty name.
+        self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.words = regex.compile(older_classes(split["pattern"]["Regex"])).findall
@@ -106,7 +108,7 @@ class WordBpe:
         self.inner: dict[str, tuple[int, ...] | None] = {b[:n]: None for b in bodies for n in range(1, len(b) + 1)} | {"": ()}
         self.final: dict[str, tuple[int, ...]] = {}
         #: Letters of every token, without the suffix.
-        self.sizes = {i: len(t.removesuffix(self.end)) for i, t in self.names.items()}
+        self.sizes = [len(t.removesuffix(self.end)) for t in self.names]
         #: Merges by 65536 times the left token plus the right one; of every merged token its rank and parts.
         self.pairs = {self.vocab[a] << 16 | self.vocab[b]: i for (a, b), i in self.ranks.items()}
         self.made = {self.vocab[a + b]: (i, self.vocab[a], self.vocab[b]) for (a, b), i in self.ranks.items()}
@@ -114,9 +116,9 @@ class WordBpe:
             raise ValueError("every token must come from one merge")
         #: By 65536 times the left token, or -1, plus the right one.
         self.apart: dict[int, bool] = {}
-        if max(self.names) >= 1 << 16:
+        if len(self.names) > 1 << 16:
             raise ValueError("pairs of tokens are kept in 32 bits: ids must stay below 65536")
-        self.ids = {i: i.to_bytes(4, "little") for i in self.names}
+        self.ids = [i.to_bytes(4, "little") for i in range(len(self.names))]
         self.pieces = Table()
         self.done = Table()
 

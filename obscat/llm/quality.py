@@ -271,13 +271,14 @@ def _possible(bits):
 def trusted_texts(docs: DataFrame, trusted: DataFrame, id_column: str, text: str) -> DataFrame:
     """``(id, text)`` of the documents whose id is in ``trusted`` (``id``).
 
-    A bitmap of fixed size leaves most other texts out before the shuffle; the join decides.
+    A bitmap of fixed size leaves most other texts out before the shuffle; the join decides. It is never a
+    broadcast one: what counts the texts would then share its stage with the bitmap, and every task need two Python workers.
     """
     spark = docs.sparkSession
     trusted = trusted.where("id IS NOT NULL").distinct()
     bits = spark.sparkContext.broadcast(bitmap(trusted.select(F.xxhash64("id").alias("h")), "h"))
     rows = docs.where(docs[id_column].isNotNull()).select(docs[id_column].cast("long").alias("id"), docs[text].cast("string").alias("text"))
-    return rows.withColumn("h", F.xxhash64("id")).mapInArrow(_possible(bits), "id long, text string").join(trusted, "id", "left_semi")
+    return rows.withColumn("h", F.xxhash64("id")).mapInArrow(_possible(bits), "id long, text string").join(trusted.hint("merge"), "id", "left_semi")
 
 
 def score_quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -97,3 +97,10 @@ def test_probabilities_equal_counts_by_hand(spark):
     for text in [texts[0], texts[12], "Unseen QQ text 99 漢", "zz"]:
         want = [np.log(by_hand.probability(g)) for g in windows(plain(text))]
         np.testing.assert_allclose(quality.log_probabilities(quality.grams([text])[0], parts), want, rtol=2e-5, atol=2e-5)
+
+
+def test_a_task_that_counts_trusted_text_needs_one_python_worker(spark):
+    texts = quality.trusted_texts(table(spark, ROWS), spark.range(120), "doc_id", "text").select("text").mapInArrow(quality._count, "gram long, n long")
+    steps = [x for x in str(texts._jdf.queryExecution().executedPlan()).splitlines() if "MapInArrow" in x or "Exchange hashpartitioning" in x]
+    arrow = [i for i, x in enumerate(steps) if "MapInArrow" in x]
+    assert len(arrow) == 2 and arrow[1] - arrow[0] > 1
