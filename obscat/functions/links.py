@@ -33,15 +33,8 @@ def _name(pair: Column) -> Column:
 
 
 def _value(pair: Column) -> Column:
-    return F.regexp_replace(pair, "^[^=]*=?", "")
-
-
-def link_pairs(link: Column | str) -> Column:
-    """``name=value`` parts of a link, NULL when it is not an item link."""
-    text = F.trim(col(link))
-    query = F.regexp_extract(text, r"(?i)^magnet:[^?#]*\?([^#]*)", 1)
-    pairs = F.filter(F.split(query, "&"), lambda p: p.contains("="))
-    return F.when(text.rlike("(?i)^magnet:"), pairs)
+    at = F.instr(pair, "=")
+    return F.when(at > 0, F.substr(pair, at + 1)).otherwise(F.when(pair.isNotNull(), ""))
 
 
 def _parameter(link: Column | str, name: str, value: str = "[^&#]*") -> Column:
@@ -80,27 +73,26 @@ def link_hash(link: Column | str) -> Column:
 
     A link that starts with a hex topic, the usual form, is read by one pattern.
     """
-    usual = F.regexp_extract(col(link), r"^magnet:\?xt=urn:btih:([0-9A-Fa-f]{40})(?:[&#]|$)", 1)
+    usual = F.nullif(F.regexp_extract(col(link), r"^magnet:\?xt=urn:btih:([0-9A-Fa-f]{40})(?:[&#]|$)", 1), F.lit(""))
     topic = unescape(_parameter(link, "xt", fixed.HASH_TOPIC_PATTERN))
     other = normalize_hash(F.regexp_replace(topic, fixed.HASH_PREFIX_PATTERN, ""))
-    return F.when(usual != "", F.lower(usual)).otherwise(other)
+    return F.coalesce(F.lower(usual), other)
 
 
 def is_safe_announce(url: Column) -> Column:
-    """Absolute URL without a sensitive query parameter."""
+    """Absolute URL without a sensitive query parameter; a query is only looked for where there is a question mark."""
     text = F.trim(url)
     query = F.regexp_extract(text, r"^[^?#]*\?([^#]*)", 1)
     unsafe = F.exists(
         F.split(query, "&"), lambda p: p.contains("=") & _name(p).rlike(fixed.SENSITIVE_PARAMETER)
     )
-    return text.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:.") & ~unsafe
+    return text.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:.") & ~(text.contains("?") & unsafe)
 
 
 def announce_urls(link: Column | str) -> Column:
     """Safe announce URLs of a link, in order."""
-    values = F.transform(
-        F.filter(link_pairs(link), lambda p: F.lower(_name(p)) == "tr"), lambda p: unescape(_value(p))
-    )
+    query = F.regexp_extract(F.trim(col(link)), r"(?i)^magnet:[^?#]*\?([^#]*)", 1)
+    values = F.transform(F.regexp_extract_all(query, F.lit("(?i)(?:^|&)tr=([^&]*)"), 1), unescape)
     named = col(link).rlike(r"(?i)[?&]tr=")
     empty = F.array().cast("array<string>")
     return F.coalesce(F.when(named, F.filter(values, is_safe_announce)), empty)
@@ -120,14 +112,19 @@ def canonical_link(hash_: Column | str) -> Column:
 
 def build_link(hash_: Column | str, announce: Column | str) -> Column:
     """Canonical link with the distinct safe announce URLs in order."""
-    urls = F.array_sort(
-        F.array_distinct(
-            F.transform(F.filter(col(announce), is_safe_announce), lambda u: F.trim(u))
-        )
-    )
+    return _with_announce(hash_, F.filter(col(announce), is_safe_announce))
+
+
+def rebuilt_link(hash_: Column | str, link: Column | str) -> Column:
+    """Canonical link with the distinct safe announce URLs of another link, in order."""
+    return _with_announce(hash_, announce_urls(link))
+
+
+def _with_announce(hash_: Column | str, safe: Column) -> Column:
+    # the URLs are named once: nothing keeps their value between two mentions
+    urls = F.sort_array(F.array_distinct(F.transform(safe, lambda u: F.trim(u))))
     tail = F.array_join(F.transform(urls, lambda u: F.concat(F.lit("&tr="), escape(u))), "")
-    tail = F.when(F.size(col(announce)) > 0, tail).otherwise(F.lit(""))
-    return F.concat(canonical_link(hash_), tail)
+    return F.concat(canonical_link(hash_), F.coalesce(tail, F.lit("")))
 
 
 def sanitize_link(link: Column | str) -> Column:

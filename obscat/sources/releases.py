@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obscat.functions import fixed
-from obscat.functions.links import announce_urls, build_link, link_hash, normalize_hash
+from obscat.functions.links import link_hash, normalize_hash, rebuilt_link
 from obscat.functions.text import quality
 from obscat.operators.fold import first_per_key
 from obscat.operators.validate import observed_mask
@@ -40,12 +40,14 @@ def release_items(found: DataFrame, bodies: DataFrame, host: str, body: str = "b
     items = bodies.select(
         "release_id", F.explode(F.from_json(body, ITEMS)).alias("i")
     ).select("release_id", "i.*")
-    stated, named = F.col("_stated"), F.col("_named")
+    stated, named = F.col("_h.stated"), F.col("_h.named")
     agree = stated.isNull() | named.isNull() | (stated == named)
+    # a filter would read the hashes again for every mention, but none is pushed below an explode of its column
+    read = F.struct(normalize_hash("hash").alias("stated"), link_hash("magnet").alias("named"))
     items = (
-        items.withColumns({"_stated": normalize_hash("hash"), "_named": link_hash("magnet")})
-        .where((F.col("id") > 0) & agree)
-        .withColumn("entity_hash", F.coalesce(stated, named))
+        items.where(F.col("id") > 0).withColumn("_h", F.explode(F.array(read)))
+        .where(agree)
+        .withColumns({"entity_hash": F.coalesce(stated, named), "_stated": stated})
     )
     r = found.select(
         F.col("id").alias("release_id"), F.col("year").alias("release_year"),
@@ -70,7 +72,7 @@ def release_items(found: DataFrame, bodies: DataFrame, host: str, body: str = "b
             F.lit("#item-"), "id",
         ).alias("source_url"),
         "entity_hash",
-        build_link("entity_hash", announce_urls("magnet")).alias("link"),
+        rebuilt_link("entity_hash", "magnet").alias("link"),
         F.when(named_release, F.col("name")).otherwise(fallback).alias("title"),
         "name", "original_name", F.col("size").alias("size_bytes"),
         F.coalesce("seeders", F.lit(0)).alias("popularity"),
