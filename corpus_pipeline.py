@@ -60,7 +60,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _keep(docs: DataFrame, rows: DataFrame, how: str = "left_semi") -> DataFrame:
-    return _numbered(docs).join(rows, KEY, how).select(*docs.columns)
+    return _numbered(docs).join(rows.hint("merge"), KEY, how).select(*docs.columns)
 
 
 STAGES = [

@@ -209,8 +209,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     windows = stretches.select("row", F.explode("windows").alias("w")).select("row", "w.start", "w.size", "w.fp")
     fingerprints = windows.select("size", "fp").distinct()
     near = within_radius(fingerprints, items.select("item", "size", F.col("fp").alias("item_fp")))
-    candidates = windows.join(near, ["size", "fp"]).select("row", "start", "size", "item")
-    whole = candidates.join(stretches.select("row", "kept", "offset", "words"), "row").join(items.select("item", F.col("words").alias("item_words")), "item")
+    # no join of rows of documents is a broadcast one: Spark sizes exploded windows far too low for it
+    candidates = windows.join(near.hint("merge"), ["size", "fp"]).select("row", "start", "size", "item")
+    whole = candidates.join(stretches.select("row", "kept", "offset", "words").hint("merge"), "row").join(items.select("item", F.col("words").alias("item_words")), "item")
     exact = whole.select("kept", "row", "item", (F.col("offset") + F.col("start")).alias("first"), "start", "size", "words", "item_words") \
         .mapInArrow(_exact(similarity), f"kept {kind}, row long, item long, first long, size long, similarity double")
     best = exact.groupBy("kept", "item").agg(F.max(F.struct("similarity", (-F.col("first")).alias("back"), "size")).alias("b"))

@@ -251,12 +251,12 @@ def components(edges: DataFrame) -> DataFrame:
     label = written(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")).select(F.col("x").alias("id"), "root"), "labels")
     while True:
         of = lambda c, r: label.select(F.col("id").alias(c), F.col("root").alias(r))
-        near = both.join(of("y", "other"), "y").groupBy("x").agg(F.min("other").alias("other"))
-        known = near.join(of("x", "root"), "x").join(of("root", "above"), "root")
+        near = both.join(of("y", "other").hint("merge"), "y").groupBy("x").agg(F.min("other").alias("other"))
+        known = near.join(of("x", "root").hint("merge"), "x").join(of("root", "above").hint("merge"), "root")
         least = F.least("root", "other", "above")
         told = known.select(F.explode(F.array("x", "root")).alias("id"), least.alias("new"))
         best = told.groupBy("id").agg(F.min("new").alias("new"))
-        after = written(best.join(label, "id").select("id", F.col("new").alias("root"), F.col("root").alias("before")), "labels")
+        after = written(best.join(label.hint("merge"), "id").select("id", F.col("new").alias("root"), F.col("root").alias("before")), "labels")
         label = after.select("id", "root")
         if after.where("root <> before").isEmpty():
             return label
@@ -404,23 +404,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     links = written(similar_pairs(asked, texts, k, percent), "links")
     found = components(links)
     sizes = reps.select("id", "n").dropDuplicates()
-    rooted = members.select("key", "id").join(sizes, "id").join(found, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    rooted = members.select("key", "id").join(sizes.hint("merge"), "id").join(found.hint("merge"), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
     split = written(split_members(rooted), "split")
-    sets_too = signatures.join(whole_sets(split.select("id").distinct(), texts, k), ["id", "n"])
-    rest = written(block_pairs(split, sets_too, percent, rows).distinct().join(asked, ["x", "y"], "left_anti"), "pairs")
+    sets_too = signatures.join(whole_sets(split.select("id").distinct(), texts, k).hint("merge"), ["id", "n"])
+    rest = written(block_pairs(split, sets_too, percent, rows).distinct().join(asked.hint("merge"), ["x", "y"], "left_anti"), "pairs")
     more = similar_pairs(rest, texts, k, percent)
     root = lambda c, r: found.select(F.col("id").alias(c), F.col("root").alias(r))
-    merges = more.join(root("x", "rx"), "x", "left").join(root("y", "ry"), "y", "left").select(F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y"))
-    rooted = classes.join(found, classes["rep"] == found["id"], "left").select("a", "b", "n", F.coalesce("root", "rep").alias("root"))
+    merges = more.join(root("x", "rx").hint("merge"), "x", "left").join(root("y", "ry").hint("merge"), "y", "left").select(F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y"))
+    rooted = classes.join(found.hint("merge"), classes["rep"] == found["id"], "left").select("a", "b", "n", F.coalesce("root", "rep").alias("root"))
     # ids that repeat with different texts tie the components of those texts together
     shared = sets.select("id", "a", "b", "n").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("id")
-    home = sets.join(shared, "id", "left_semi").join(rooted, ["a", "b", "n"]).groupBy("id").agg(F.collect_set("root").alias("roots")).where(F.size("roots") > 1)
+    home = sets.join(shared.hint("merge"), "id", "left_semi").join(rooted.hint("merge"), ["a", "b", "n"]).groupBy("id").agg(F.collect_set("root").alias("roots")).where(F.size("roots") > 1)
     ties = home.select(F.array_min("roots").alias("x"), F.explode("roots").alias("y"))
     joins = written(merges.unionByName(ties).where("x <> y").distinct(), "joins")
     if not joins.isEmpty():
         top = components(joins).select(F.col("id").alias("root"), F.col("root").alias("top"))
-        rooted = rooted.join(top, "root", "left").select("a", "b", "n", F.coalesce("top", "root").alias("root"))
-    out = signed.join(rooted, ["a", "b", "n"], "left")
+        rooted = rooted.join(top.hint("merge"), "root", "left").select("a", "b", "n", F.coalesce("top", "root").alias("root"))
+    out = signed.join(rooted.hint("merge"), ["a", "b", "n"], "left")
     own = F.col("kept.id").cast("long")
     component = F.coalesce("root", own)
     return out.select(

@@ -140,7 +140,7 @@ def modelled(counts: DataFrame) -> DataFrame:
             parts.append(total.select(F.lit("p0").alias("part"), F.lit(0).cast("long").alias("gram"), floor.alias("value")).limit(1))
         else:
             mask = (1 << (CHAR * (order - 1))) - 1
-            seen = total.withColumn("low", F.col("gram").bitwiseAND(mask)).join(lower.select(F.col("gram").alias("low"), F.col("value").alias("below")), "low").select(
+            seen = total.withColumn("low", F.col("gram").bitwiseAND(mask)).join(lower.select(F.col("gram").alias("low"), F.col("value").alias("below")).hint("merge"), "low").select(
                 "gram", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("rest") / F.col("total") * F.col("below")).alias("value"))
             parts.append(total.groupBy("context").agg(F.max(F.col("rest") / F.col("total")).alias("value")).select(F.lit(f"g{order - 1}").alias("part"), F.col("context").alias("gram"), "value"))
         lower = written(seen, "probabilities")
@@ -208,7 +208,7 @@ class Model:
         short = ("p1", "g1")
         asked = grams.select("gram", F.explode(F.array(*[F.struct(F.lit(k).alias("part"), c.alias("key")) for k, c in keys.items() if k not in short])).alias("k"))
         own = self.rows.where(~F.col("part").isin("p0", *short)).select("part", F.col("gram").alias("key"), "value")
-        found = asked.select("gram", "k.part", "k.key").join(own, ["part", "key"], "left").groupBy("gram").agg(
+        found = asked.select("gram", "k.part", "k.key").join(own.hint("merge"), ["part", "key"], "left").groupBy("gram").agg(
             *[F.max(F.when(F.col("part") == k, F.col("value"))).alias(k) for k in keys if k not in short])
         for k in short:
             values = self.rows.where(F.col("part") == k).select(F.col("gram").alias("key"), F.col("value").alias(k))
@@ -252,10 +252,11 @@ def entropies(docs: DataFrame, model: Model, text: str) -> DataFrame:
 
     part = written(rows.mapInArrow(run, f"kept {kind}, n_scored long, sum double, cold array<struct<gram:bigint,n:bigint>>"), "sums") \
         .withColumn("row", F.monotonically_increasing_id())
+    # Spark sizes what an explode gives by the arrays' table, far too low for a broadcast
     cold = part.where(F.size("cold") > 0).select("row", F.explode("cold").alias("c")).select("row", "c.gram", "c.n")
-    more = cold.join(model.resolved(cold.select("gram").distinct()), "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("log").cast("double")).alias("more"))
+    more = cold.join(model.resolved(cold.select("gram").distinct()).hint("merge"), "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("log").cast("double")).alias("more"))
     mean = -(F.col("sum") + F.coalesce("more", F.lit(0.0))) / F.greatest("n_scored", F.lit(1))
-    return part.drop("cold").join(more, "row", "left").select("kept.*", "n_scored", mean.alias("entropy"))
+    return part.drop("cold").join(more.hint("merge"), "row", "left").select("kept.*", "n_scored", mean.alias("entropy"))
 
 
 def _possible(bits):
@@ -297,7 +298,7 @@ def score_quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTIL
         return scores.select(*others, size.cast("long").alias("n_scored"), none.alias("perplexity"), none.alias("limit"), (size > 0).alias("kept"))
     inner = scores.select(F.struct(*others).alias("kept_row"), F.col(id_column).cast("long").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     scored = written(entropies(inner, model, "text"), "entropies")
-    sample = scored.join(trusted.where(aside).distinct(), "id", "left_semi").where("n_scored > 0")
+    sample = scored.join(trusted.where(aside).distinct().hint("merge"), "id", "left_semi").where("n_scored > 0")
     mean = F.lit(sample.agg(F.sum(F.col("entropy") * F.col("n_scored")) / F.sum("n_scored")).first()[0]).cast("double")
     drawn = (F.col("entropy") * F.col("n_scored") + mean * PRIOR_CHARS) / (F.col("n_scored") + PRIOR_CHARS)
     limits = sample.groupBy("lang").agg(F.percentile_approx(drawn, quantile, 10_000).alias("own_limit"))
