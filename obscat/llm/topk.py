@@ -8,14 +8,14 @@ blocks of a segment by falling bound, scores them through their forward index, a
 bound falls below its k-th score. Equal bounds are still visited, since an equal score with a
 smaller id wins.
 
-A query group meets every segment through an equi-join on the segment number (no cross join);
+A query group meets every segment through an equi-join on the segment number (no cross join, nothing broadcast);
 what leaves a task is at most k rows per query and segment, which a grouped merge reduces to k.
 
 Cases: a vector that is null, empty, or holds a null or non-finite component takes no part, nor
 does a row with a null id. Shorter vectors count as padded with zeros. Ties go to the smaller id.
 Rows that repeat an id are candidates each, never of a query with their id; a repeated query row
 gives its result once. Components are held in 64-bit integers: a component of 2**31 or more
-in size after scaling makes the query fail instead of giving a wrapped score. An empty table has no result.
+in size after scaling makes the query fail instead of giving a wrapped score; so 32 bits hold one between tasks. An empty table has no result.
 """
 
 from __future__ import annotations
@@ -30,9 +30,15 @@ from pyspark.sql import functions as F
 from obscat.llm.registry import query, table
 from obscat.llm.store import written
 
+#: Rows of a segment: one in ``SEGMENTS`` of all between these two numbers, so queries are sent to fewer segments of large tables.
 SEGMENT_ROWS = 4096
+MOST_SEGMENT_ROWS = 32_768
+SEGMENTS = 64
 BLOCK_ROWS = 64
 GROUP_QUERIES = 512
+#: Bytes of a packed segment or query group, and tasks that rows are dealt to by their order.
+GROUP_BYTES = 16 << 20
+PARTS = 512
 
 
 def integer_vectors(df: DataFrame, id_column: str, vector: str) -> DataFrame:
@@ -49,29 +55,51 @@ def integer_vectors(df: DataFrame, id_column: str, vector: str) -> DataFrame:
     )
 
 
-def _packed(key: str):
-    """Pack the rows of each Arrow group under ``key`` to one row of bytes."""
-
-    def pack(group: pa.Table) -> pa.Table:
-        vectors = group.column("v").to_pylist()
-        width = max(map(len, vectors))
-        matrix = np.zeros((len(vectors), width), np.int64)
+def _packed(rows: int):
+    """Pack sorted rows ``(id, v)`` of a task to rows of bytes, each of at most ``rows`` of them and ``GROUP_BYTES``; ``at`` numbers them."""
+    def group(ids: list[int], vectors: list[list[int]], width: int, at: int) -> pa.RecordBatch:
+        matrix = np.zeros((len(vectors), width), np.int32)
         for i, v in enumerate(vectors):
             matrix[i, : len(v)] = v
-        return pa.table({
-            key: group.column(key)[:1].combine_chunks().cast(pa.int64()), "n": pa.array([len(vectors)], pa.int64()),
-            "ids": pa.array([group.column("id").to_numpy().astype(np.int64).tobytes()], pa.binary()),
-            "m": pa.array([matrix.tobytes()], pa.binary()),
-        })
+        return pa.RecordBatch.from_pydict({
+            "at": pa.array([at], pa.int64()), "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "m": pa.array([matrix.tobytes()], pa.binary())})
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors, width, at = [], [], 0, 0
+        for batch in batches:
+            for one, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist()):
+                wider = max(width, len(v))
+                if ids and (len(ids) == rows or (len(ids) + 1) * wider * 4 > GROUP_BYTES):
+                    yield group(ids, vectors, width, at)
+                    ids, vectors, wider, at = [], [], len(v), at + 1
+                ids.append(one)
+                vectors.append(v)
+                width = wider
+        if ids:
+            yield group(ids, vectors, width, at)
 
     return pack
 
 
-def numbered_groups(df: DataFrame, order: list, rows: int, key: str) -> DataFrame:
-    """Deal rows in ``order`` to groups of about ``rows`` rows, numbered from 0 without gaps in use."""
-    total = df.count()
-    groups = max(1, -(-total // rows))
-    return df.repartitionByRange(groups, *order).withColumn(key, F.spark_partition_id().cast("long"))
+def groups_of(df: DataFrame, order: list, total: int, rows: int) -> DataFrame:
+    """``(part, at, ids, m)``: ``total`` rows dealt in ``order`` to groups of at most ``rows``.
+
+    The driver sees a sample of the order for ``PARTS`` tasks at most, however many groups there are.
+    """
+    parts = min(max(1, -(-total // rows)), PARTS)
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "v")
+    return dealt.mapInArrow(_packed(rows), "at long, ids binary, m binary").withColumn("part", F.spark_partition_id())
+
+
+def numbered(groups: DataFrame) -> tuple[DataFrame, int]:
+    """Written groups with a number in place of ``part`` and ``at``, from 0 without gaps, and how many there are."""
+    sizes = {r[0]: r[1] + 1 for r in groups.groupBy("part").agg(F.max("at")).collect()}
+    starts, n = [], 0
+    for part in range(max(sizes, default=0) + 1):
+        starts.append(n)
+        n += sizes.get(part, 0)
+    number = F.get(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("part")) + F.col("at")
+    return groups.select(number.alias("segment"), "ids", "m"), n
 
 
 def _score(k: int):
@@ -79,8 +107,8 @@ def _score(k: int):
         for batch in batches:
             for row in batch.to_pylist():
                 ids, qids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["qids"], np.int64)
-                data = np.frombuffer(row["m"], np.int64).reshape(len(ids), -1)
-                queries = np.frombuffer(row["qm"], np.int64).reshape(len(qids), -1)
+                data = np.frombuffer(row["m"], np.int32).reshape(len(ids), -1)
+                queries = np.frombuffer(row["qm"], np.int32).reshape(len(qids), -1)
                 width = max(data.shape[1], queries.shape[1])
                 data, queries = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (data, queries))
                 yield _search(ids, data, qids, queries, k)
@@ -134,17 +162,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
     at = F.array_position(F.transform("v", lambda x: F.abs(x)), largest)
     sided = vectors.withColumn("_at", at * F.signum(F.element_at("v", F.greatest(at, F.lit(1)).cast("int"))))
-    schema = lambda key: f"{key} long, n long, ids binary, m binary"
-    segments = written(
-        numbered_groups(sided, [F.col("_at"), -largest, "id"], SEGMENT_ROWS, "segment").select("segment", "id", "v")
-        .groupBy("segment").applyInArrow(_packed("segment"), schema("segment")), "segments")
-    groups = numbered_groups(queries.dropDuplicates(["id", "v"]), ["id"], GROUP_QUERIES, "grp").select("grp", "id", "v") \
-        .groupBy("grp").applyInArrow(_packed("grp"), schema("grp")).select(F.col("ids").alias("qids"), F.col("m").alias("qm"))
-    last = segments.agg(F.max("segment")).first()[0]
-    if last is None:
-        last = -1
-    spread = groups.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, last)).cast("long"))).alias("segment"), "qids", "qm")
-    found = spread.join(segments, "segment").select("ids", "m", "qids", "qm") \
+    total = vectors.count()
+    rows = min(max(SEGMENT_ROWS, -(-total // SEGMENTS)), max(SEGMENT_ROWS, MOST_SEGMENT_ROWS))
+    segments, n = numbered(written(groups_of(sided, [F.col("_at"), -largest, "id"], total, rows), "segments"))
+    asked = queries.dropDuplicates(["id", "v"])
+    groups = groups_of(asked, ["id"], queries.count(), GROUP_QUERIES).select(F.col("ids").alias("qids"), F.col("m").alias("qm"))
+    # a merge join by its hint: Spark takes the exploded groups for as small as one copy of them, and would broadcast them
+    spread = groups.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, n - 1)).cast("long"))).alias("segment"), "qids", "qm")
+    found = spread.join(segments.hint("merge"), "segment").select("ids", "m", "qids", "qm") \
         .mapInArrow(_score(k), "query_id long, vec_id long, score long")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (

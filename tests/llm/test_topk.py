@@ -42,3 +42,26 @@ def test_few_rows_and_ties(spark):
 def test_large_components_fail_instead_of_wrapping(spark):
     with pytest.raises(Exception, match="component too large"):
         found(spark, [(0, [1e30]), (1, [1.0])], 5, "true")
+
+
+def test_groups_that_meet_every_segment_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SEGMENT_ROWS", 40)
+    rows = [(i, [float(i % 11), float(i % 7) - 3]) for i in range(900)]
+    vectors = topk.integer_vectors(spark.createDataFrame([(i, v, "x", "y") for i, v in rows], KIND), "vec_id", "embedding")
+    plan = topk.top_k(vectors, vectors.where("id % 50 = 0"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_groups_are_numbered_without_gaps_over_few_tasks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "PARTS", 3)
+    vectors = topk.integer_vectors(spark.createDataFrame([(i, [0.5 * i] * (1 + i % 4), "x", "y") for i in range(200)], KIND), "vec_id", "embedding")
+    groups, n = topk.numbered(topk.written(topk.groups_of(vectors, ["id"], 200, 15), "test-groups"))
+    packed = groups.collect()
+    assert sorted(r.segment for r in packed) == list(range(n)) and n >= 14
+    ids = [np.frombuffer(r.ids, np.int64).tolist() for r in packed]
+    assert sorted(sum(ids, [])) == list(range(200)) and max(map(len, ids)) <= 15
+    monkeypatch.setattr(topk, "PARTS", 2)
+    monkeypatch.setattr(topk, "GROUP_BYTES", 100)
+    monkeypatch.setattr(topk, "SEGMENT_ROWS", 50)
+    rows = [(i, [float(i % 13), 1.0, float(i % 5)]) for i in range(300)]
+    assert found(spark, rows, 4, "id % 50 = 0") == brute(rows, 4, lambda q: q % 50 == 0)
