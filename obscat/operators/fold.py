@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from obscat.operators.packing import shuffled
 from obscat.operators.skew import SLICE, Slices, earlier_slices
 from obscat.schema import (
     ALWAYS_OBSERVED,
@@ -96,15 +97,15 @@ def _not_late(obs: DataFrame, group: Sequence[str], arrival: str, clock: str) ->
 
 def fold_state(
     obs: DataFrame, keys: Sequence[str] = KEY, arrival: str = ARRIVAL, clock: str = CLOCK,
-    carry: Sequence[str] = (),
+    carry: Sequence[str] = (), whole: bool = False,
 ) -> DataFrame:
     """Mergeable state of the log, one row per ``keys`` (plus ``carry``).
 
     One shuffle: the running maximum, the row numbers and the aggregation all use the same
-    partitioning and the same order.
+    partitioning and the same order. With ``whole`` its rows are packed.
     """
     group = [*carry, *keys]
-    rows = _not_late(obs, group, arrival, clock)
+    rows = _not_late(shuffled(obs, group) if whole else obs, group, arrival, clock)
 
     def last(columns: Sequence[str], when: Column | None = None) -> Column:
         at = F.col(clock).alias("at")
@@ -178,16 +179,17 @@ def _fields_of(states: DataFrame) -> dict[str, tuple[str, ...]]:
 
 
 def fold(
-    obs: DataFrame, keys: Sequence[str] = KEY, arrival: str = ARRIVAL, clock: str = CLOCK
+    obs: DataFrame, keys: Sequence[str] = KEY, arrival: str = ARRIVAL, clock: str = CLOCK, whole: bool = False,
 ) -> DataFrame:
     """Current row per key; the slices of a heavy key are folded apart and their states merged.
 
-    Bits of the mask beyond the known fields are no observation and are dropped.
+    Bits of the mask beyond the known fields are no observation and are dropped. ``whole`` says that most columns
+    are read: rows are then packed for the shuffle, which no column can leave by itself.
     """
     slices = Slices(obs, keys, arrival)
-    states = fold_state(slices.light().drop(SLICE), keys, arrival, clock)
+    states = fold_state(slices.light().drop(SLICE), keys, arrival, clock, whole=whole)
     if slices.cut:
-        heavy = fold_state(slices.heavy(), keys, arrival, clock, carry=(SLICE,))
+        heavy = fold_state(slices.heavy(), keys, arrival, clock, carry=(SLICE,), whole=whole)
         states = states.unionByName(merge_states(heavy, SLICE, keys))
     return finish(states, keys)
 

@@ -263,14 +263,15 @@ def gold_sql(body: str, *steps: str) -> str:
     return snap_sql(body, *GOLD_STEPS, *steps)
 
 
-def golden(spark, sf_dir):
+def golden(spark, sf_dir, whole=False):
+    """``whole``: the query reads most canonical columns."""
     log = obs(spark, sf_dir)
     # no canonical column comes from the details or the media id: they need not be shuffled
-    return golden_of(fo.fold(log.drop("details", "media_id")), log)
+    return golden_of(fo.fold(log.drop("details", "media_id"), whole=whole), log, whole)
 
 
-def golden_of(snap, log):
-    return go.golden_record(snap, AS_OF_LINEITEM, GOLD_MINUTES, log=log)
+def golden_of(snap, log, whole=False):
+    return go.golden_record(snap, AS_OF_LINEITEM, GOLD_MINUTES, log=log, whole=whole)
 
 
 def flat_golden(gold):
@@ -284,7 +285,7 @@ def flat_golden(gold):
 
 @query("golden_record", gold_sql(f"SELECT {GOLD_OUT}, types, languages, voices, seasons FROM golden"))
 def golden_record(spark, sf_dir):
-    return flat_golden(golden(spark, sf_dir))
+    return flat_golden(golden(spark, sf_dir, whole=True))
 
 
 @query("fresh_max", gold_sql("SELECT entity_hash, popularity, secondary_popularity FROM core"))
