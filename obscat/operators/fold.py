@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from obscat.operators.packing import shuffled
+from obscat.operators.packing import HASHES, shuffled
 from obscat.operators.skew import SLICE, Slices, earlier_slices
 from obscat.schema import (
     ALWAYS_OBSERVED,
@@ -50,11 +50,13 @@ def sparse(obs: DataFrame) -> DataFrame:
     return obs.select(*out)
 
 
-def _marked(slices: Slices, columns: Sequence[str], arrival: str, clock: str) -> DataFrame:
+def _marked(slices: Slices, columns: Sequence[str], arrival: str, clock: str, pack: str | None = None) -> DataFrame:
     """The log with its slices and ``late``, partitioned by key and slice."""
     keys = slices.keys
     inside = Window.partitionBy(*keys, SLICE).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    rows = slices.rows.withColumn("_newest", F.max(clock).over(inside))
+    # where no key is cut the slice is a constant, by which the window's rows need not be dealt
+    met = shuffled(slices.rows, [*keys, SLICE] if slices.cut else keys, pack) if pack else slices.rows
+    rows = met.withColumn("_newest", F.max(clock).over(inside))
     if slices.cut:
         newest = slices.heavy().groupBy(*keys, SLICE).agg(F.max(clock).alias("_n"))
         earlier = newest.select(*keys, SLICE, F.max("_n").over(earlier_slices(keys)).alias("_earlier"))
@@ -64,12 +66,12 @@ def _marked(slices: Slices, columns: Sequence[str], arrival: str, clock: str) ->
     return rows.select(*columns, SLICE, late.alias("late"))
 
 
-def mark_late(obs: DataFrame, keys: Sequence[str] = KEY, arrival: str = ARRIVAL, clock: str = CLOCK) -> DataFrame:
+def mark_late(obs: DataFrame, keys: Sequence[str] = KEY, arrival: str = ARRIVAL, clock: str = CLOCK, pack: str | None = None) -> DataFrame:
     """Add ``late``: an earlier arrival of the same key has a newer ``clock``.
 
     A row without a clock is older than any with one.
     """
-    return _marked(Slices(obs, keys, arrival), obs.columns, arrival, clock).drop(SLICE)
+    return _marked(Slices(obs, keys, arrival), obs.columns, arrival, clock, pack).drop(SLICE)
 
 
 def accepted(obs: DataFrame, **kwargs) -> DataFrame:
@@ -97,15 +99,15 @@ def _not_late(obs: DataFrame, group: Sequence[str], arrival: str, clock: str) ->
 
 def fold_state(
     obs: DataFrame, keys: Sequence[str] = KEY, arrival: str = ARRIVAL, clock: str = CLOCK,
-    carry: Sequence[str] = (), whole: bool = False,
+    carry: Sequence[str] = (), pack: str | None = None,
 ) -> DataFrame:
     """Mergeable state of the log, one row per ``keys`` (plus ``carry``).
 
     One shuffle: the running maximum, the row numbers and the aggregation all use the same
-    partitioning and the same order. With ``whole`` its rows are packed.
+    partitioning and the same order. ``pack`` says how rows are packed for it (:mod:`obscat.operators.packing`).
     """
     group = [*carry, *keys]
-    rows = _not_late(shuffled(obs, group) if whole else obs, group, arrival, clock)
+    rows = _not_late(shuffled(obs, group, pack) if pack else obs, group, arrival, clock)
 
     def last(columns: Sequence[str], when: Column | None = None) -> Column:
         at = F.col(clock).alias("at")
@@ -113,12 +115,14 @@ def fold_state(
         return F.max_by(F.struct(at, *columns), order)
 
     fields = _fields(obs.columns)
+    followers = _followers(obs.columns, group)
     known = F.col("observed_fields").bitwiseAND(F.lit(sum(FIELD_BITS.values())).cast("long"))
     states = [
         F.max(clock).alias("newest"),
         # the mask by itself, so that fields nobody reads need not be shuffled for it
         F.coalesce(F.bit_or(known), F.lit(0).cast("long")).alias("seen"),
-        last(_followers(obs.columns, group)).alias("row"),
+        # in one struct all of them are shuffled where one is read; each by itself costs more time where all are
+        *([last([c]).alias(f"row_{c}") for c in followers] if pack == HASHES else [last(followers).alias("row")]),
         *[last([], has(f)).alias(f"last_{f}") for f in FIELD_BITS if f not in fields],
         *[last(cols, has(f)).alias(f"last_{f}") for f, cols in fields.items()],
     ]
@@ -159,8 +163,8 @@ def merge_states(states: DataFrame, order: str, keys: Sequence[str] = KEY) -> Da
 def finish(states: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Current rows from per-key states."""
     names = states.columns
-    row = [f.name for f in states.schema["row"].dataType.fields if f.name != "at"]
-    out = [*keys, *[F.col("row")[c].alias(c) for c in row]]
+    rows = {f.name: [c for c in f.dataType.names if c != "at"] for f in states.schema if f.name == "row" or f.name.startswith("row_")}
+    out = [*keys, *[F.col(n)[c].alias(c) for n, columns in rows.items() for c in columns]]
     for field, cols in _fields_of(states).items():
         out += [F.col(f"last_{field}")[c].alias(c) for c in cols]
     out.append(F.col("seen").alias("observed_fields"))
@@ -179,17 +183,17 @@ def _fields_of(states: DataFrame) -> dict[str, tuple[str, ...]]:
 
 
 def fold(
-    obs: DataFrame, keys: Sequence[str] = KEY, arrival: str = ARRIVAL, clock: str = CLOCK, whole: bool = False,
+    obs: DataFrame, keys: Sequence[str] = KEY, arrival: str = ARRIVAL, clock: str = CLOCK, pack: str | None = None,
 ) -> DataFrame:
     """Current row per key; the slices of a heavy key are folded apart and their states merged.
 
-    Bits of the mask beyond the known fields are no observation and are dropped. ``whole`` says that most columns
-    are read: rows are then packed for the shuffle, which no column can leave by itself.
+    Bits of the mask beyond the known fields are no observation and are dropped. ``pack`` says how rows are packed for
+    the shuffle (:mod:`obscat.operators.packing`).
     """
     slices = Slices(obs, keys, arrival)
-    states = fold_state(slices.light().drop(SLICE), keys, arrival, clock, whole=whole)
+    states = fold_state(slices.light().drop(SLICE), keys, arrival, clock, pack=pack)
     if slices.cut:
-        heavy = fold_state(slices.heavy(), keys, arrival, clock, carry=(SLICE,), whole=whole)
+        heavy = fold_state(slices.heavy(), keys, arrival, clock, carry=(SLICE,), pack=pack)
         states = states.unionByName(merge_states(heavy, SLICE, keys))
     return finish(states, keys)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from obscat.functions.links import announce_urls, build_link
 from obscat.functions.text import stored_info
-from obscat.operators.packing import shuffled
+from obscat.operators.packing import as_bytes, as_text, shuffled
 from obscat.operators.skew import heavy_keys, numbered
 from obscat.schema import FIELD_BITS, SOURCES, has, source_ordinal, state_rank
 
@@ -64,12 +64,12 @@ SETS = ("types", "languages", "voices", "seasons", "announce")
 
 def golden_record(
     snapshot: DataFrame, as_of: str, freshness_minutes: int = FRESHNESS_MINUTES, sources=SOURCES,
-    log: DataFrame | None = None, whole: bool = False,
+    log: DataFrame | None = None, pack: str | None = None,
 ) -> DataFrame:
     """Canonical rows of all items with at least one current observation.
 
     ``log`` names rows that are cheaper to sketch and hold every row of the snapshot's items; without it the
-    rows of all items are aggregated before the shuffle. With ``whole`` rows are packed for the shuffle (:mod:`.packing`).
+    rows of all items are aggregated before the shuffle. ``pack`` says how rows are packed for it (:mod:`.packing`).
     """
     def combined(rows: DataFrame) -> DataFrame:
         elected = _elections(rows, as_of, freshness_minutes, rank_key(sources))
@@ -79,25 +79,26 @@ def golden_record(
     if heavy is None:
         return _canonical(combined(snapshot), as_of)
     if not heavy:
-        return _canonical(_together(snapshot, as_of, freshness_minutes, sources, whole), as_of)
+        return _canonical(_together(snapshot, as_of, freshness_minutes, sources, pack), as_of)
     is_heavy = F.xxhash64(ITEM).isin(heavy)
-    light = _together(snapshot.where(~is_heavy), as_of, freshness_minutes, sources, whole)
+    light = _together(snapshot.where(~is_heavy), as_of, freshness_minutes, sources, pack)
     return _canonical(light.unionByName(combined(snapshot.where(is_heavy))), as_of)
 
 
-def _together(rows: DataFrame, as_of: str, freshness_minutes: int, sources, whole: bool) -> DataFrame:
+def _together(rows: DataFrame, as_of: str, freshness_minutes: int, sources, pack: str | None) -> DataFrame:
     """Elections and value sets of items whose rows fit a task: one shuffle of the rows, one aggregation.
 
     Rows are numbered in the order of their rank, so an election holds a number, not the rank.
     """
     best = Window.partitionBy(ITEM).orderBy(F.desc("_rank"))
-    announced = rows.withColumn("_announce", announce_urls("link"))
-    met = shuffled(announced.drop("link"), [ITEM]) if whole else announced.repartition(ITEM)
+    announced = rows.withColumn("_announce", announce_urls("link")).drop("link")
+    met = shuffled(announced.withColumn(ITEM, as_bytes(F.col(ITEM))) if pack else announced, [ITEM], pack)
     placed = met.withColumn("_rank", rank_key(sources)).withColumn("_place", -F.row_number().over(best))
     united = [F.collect_set(F.when(has(c), F.col(c))).alias(c) for c in SETS[:4]]
     united.append(F.collect_set("_announce").alias("announce"))
     out = _elections(placed, as_of, freshness_minutes, F.col("_place"), *united)
-    return _distinct_values(_distinct_values(out, SETS[:3], F.lower), SETS[3:], lambda v: v)
+    out = _distinct_values(_distinct_values(out, SETS[:3], F.lower), SETS[3:], lambda v: v)
+    return out.withColumn(ITEM, as_text(F.col(ITEM))) if pack else out
 
 
 def _distinct_values(rows: DataFrame, columns, key) -> DataFrame:

@@ -8,6 +8,7 @@ from obscat.operators import fold as fo
 from obscat.operators import golden as go
 from obscat.operators import payload as pay
 from obscat.operators import validate as va
+from obscat.operators.packing import HASHES, ROWS
 from obscat.plans.registry import query
 from obscat.schema import FIELD_BITS, MASKED_COLUMNS, OBSERVATION, has
 from obscat.sources.views import AS_OF_LINEITEM, observations, oracle, view
@@ -263,15 +264,15 @@ def gold_sql(body: str, *steps: str) -> str:
     return snap_sql(body, *GOLD_STEPS, *steps)
 
 
-def golden(spark, sf_dir, whole=False):
-    """``whole``: the query reads most canonical columns."""
+def golden(spark, sf_dir, pack=None):
+    """``pack``: whole rows where the query reads most canonical columns, else hashes."""
     log = obs(spark, sf_dir)
     # no canonical column comes from the details or the media id: they need not be shuffled
-    return golden_of(fo.fold(log.drop("details", "media_id"), whole=whole), log, whole)
+    return golden_of(fo.fold(log.drop("details", "media_id"), pack=pack), log, pack)
 
 
-def golden_of(snap, log, whole=False):
-    return go.golden_record(snap, AS_OF_LINEITEM, GOLD_MINUTES, log=log, whole=whole)
+def golden_of(snap, log, pack=None):
+    return go.golden_record(snap, AS_OF_LINEITEM, GOLD_MINUTES, log=log, pack=pack)
 
 
 def flat_golden(gold):
@@ -285,7 +286,7 @@ def flat_golden(gold):
 
 @query("golden_record", gold_sql(f"SELECT {GOLD_OUT}, types, languages, voices, seasons FROM golden"))
 def golden_record(spark, sf_dir):
-    return flat_golden(golden(spark, sf_dir, whole=True))
+    return flat_golden(golden(spark, sf_dir, ROWS))
 
 
 @query("fresh_max", gold_sql("SELECT entity_hash, popularity, secondary_popularity FROM core"))
@@ -448,8 +449,8 @@ def cascade_delete(spark, sf_dir):
     from obscat.operators.state import cascade_delete as cascade
 
     log = obs(spark, sf_dir)
-    snap = fo.fold(log.drop("details", "media_id"))
-    gold = golden_of(snap, log)
+    snap = fo.fold(log.drop("details", "media_id"), pack=HASHES)
+    gold = golden_of(snap, log, HASHES)
     deleted = gold.where("popularity >= 45")
     return cascade(snap, deleted, ["entity_hash"]).select("source", "source_key", "entity_hash")
 

@@ -1,3 +1,5 @@
+from itertools import product
+
 from pyspark.sql import functions as F
 
 from obscat.operators import packing
@@ -15,8 +17,8 @@ ROWS = [
 
 def test_rows_come_back_as_they_were(spark):
     rows = spark.createDataFrame(ROWS, KIND)
-    for keys in (["source", "source_key"], ["entity_hash"], ["n"]):
-        out = packing.shuffled(rows, keys)
+    for keys, pack in product((["source", "source_key"], ["entity_hash"], ["n"]), (packing.ROWS, packing.HASHES)):
+        out = packing.shuffled(rows, keys, pack)
         assert out.dtypes == rows.dtypes
         assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
 
