@@ -338,10 +338,10 @@ def backfill_insert_ignore(spark, sf_dir):
     "WHERE m.media_id % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM acc a WHERE a.entity_hash = g.entity_hash AND a.media_id = m.media_id AND a.popularity > 25)"))
 def backfill_links(spark, sf_dir):
     rows = obs(spark, sf_dir)
-    snap = fo.fold(rows.drop("details"))
+    snap = fo.fold(rows.drop("details"), pack=HASHES)
     media = snap.groupBy("entity_hash").agg(F.max("media_id").alias("media_id"))
-    gold = golden_of(snap, rows).join(media.withColumn("media_id", F.when(F.col("media_id") % 5 != 0, F.col("media_id"))), "entity_hash")
-    return fo.backfill_links(gold, fo.media_links(fo.accepted(rows).where("popularity > 25"), query="source_url"))
+    gold = golden_of(snap, rows, HASHES).join(media.withColumn("media_id", F.when(F.col("media_id") % 5 != 0, F.col("media_id"))), "entity_hash")
+    return fo.backfill_links(gold, fo.media_links(fo.accepted(rows, pack=HASHES).where("popularity > 25"), query="source_url"))
 
 
 # --- validation ----------------------------------------------------------------------------

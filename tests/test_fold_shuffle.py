@@ -32,7 +32,7 @@ def test_packed_folds_give_the_same_rows(spark, many_slices, pack):
     assert plain.exceptAll(packed).isEmpty() and packed.exceptAll(plain).isEmpty()
 
 
-@pytest.mark.parametrize("name", ["cascade_delete", "backfill_insert_ignore"])
+@pytest.mark.parametrize("name", ["cascade_delete", "backfill_insert_ignore", "backfill_links"])
 def test_no_link_is_moved_that_is_not_read(spark, name):
     moved = exchanges(QUERIES[name](spark, SF_DIR))
     assert len(moved) >= 3 and sum("link" in m for m in moved) <= (name == "backfill_insert_ignore")
