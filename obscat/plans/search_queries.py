@@ -11,6 +11,7 @@ from obscat.operators import search as se
 from obscat.operators import state as st
 from obscat.operators import title_index as ti
 from obscat.operators import validate as va
+from obscat.operators.packing import ROWS
 from obscat.operators.skew import numbered
 from obscat.plans.fold_queries import ACC_SQL, GOLD_OUT, GOLD_STEPS, OBS_SQL, SNAP_SQL, gold_sql, golden, obs
 from obscat.plans.registry import query
@@ -313,7 +314,7 @@ _REQUEST_SQL = """ SELECT id, title, popularity, size_bytes, position, season_co
     "+" + ", ".join([OBS_SQL, ACC_SQL, SNAP_SQL, *GOLD_STEPS, MAPS_SQL, SUMMARY_SQL]) + _REQUEST_SQL, "v_obs", "v_override_log"))
 def search_request(spark, sf_dir):
     found = se.search_request(
-        golden(spark, sf_dir), st.override_summaries(override_maps(spark, sf_dir)), "item x", sort="size", limit=300, quality=1080)
+        golden(spark, sf_dir, ROWS), st.override_summaries(override_maps(spark, sf_dir)), "item x", sort="size", limit=300, quality=1080)
     return found.select("id", "title", "popularity", "size_bytes", "position", "season_count", "file_count")
 
 
